@@ -62,7 +62,9 @@ def nearest_by_words(
         q = F.create_map(*pairs)[F.col("word")]
     else:
         postings = postings.filter(F.lit(False))
-    matched = postings.groupBy("id").agg((F.lit(1.0) - F.sum(F.col("weight") * q)).alias("distance"))
+    # Rounded, so that equal texts tie whatever the order in which their parts were summed.
+    distance = F.round(F.lit(1.0) - F.sum(F.col("weight") * q), 12)
+    matched = postings.groupBy("id").agg(distance.alias("distance"))
     order = (F.col("distance"), F.col("id"))
     best = matched.orderBy(*order).limit(k)
     # Up to k of the first 2k ids may be matched ones, so k others are always among them.

@@ -467,7 +467,7 @@ counted AS (SELECT id, word, count(*)::DOUBLE AS n FROM (SELECT id, unnest(words
 lengths AS (SELECT id, sqrt(sum(n * n)) AS length FROM counted GROUP BY id),
 asked AS (SELECT word, count(*)::DOUBLE AS n FROM (SELECT unnest(list_filter(string_split_regex(
           lower('{question}'), '[^a-z0-9]+'), lambda w: w <> '')) AS word) GROUP BY word),
-matched AS (SELECT id, 1 - sum(c.n * a.n) / any_value(l.length) / (SELECT sqrt(sum(n * n)) FROM asked) AS distance
+matched AS (SELECT id, round(1 - sum(c.n * a.n) / any_value(l.length) / (SELECT sqrt(sum(n * n)) FROM asked), 12) AS distance
             FROM counted c JOIN asked a USING (word) JOIN lengths l USING (id) GROUP BY id),
 raw AS (SELECT docs.id, type, coalesce(distance, 1.0) AS distance FROM docs LEFT JOIN matched USING (id))"""
 
@@ -488,8 +488,8 @@ def k1_word_vectors(spark, folder):
 
 
 @query("WITH " + _WORDS.format(question=_QUESTION)
-       + " SELECT row_number() OVER (ORDER BY round(distance, 9), id)::INTEGER AS rank, id, round(distance, 6) AS distance "
-       "FROM raw ORDER BY round(distance, 9), id LIMIT 10")
+       + " SELECT row_number() OVER (ORDER BY distance, id)::INTEGER AS rank, id, round(distance, 6) AS distance "
+       "FROM raw ORDER BY distance, id LIMIT 10")
 def k1_nearest_by_words(spark, folder):
     docs = _documents(spark, folder)
     hits = ranking.nearest_by_words(ranking.word_vectors(docs), docs.select("id", "type"), _QUESTION)
