@@ -20,10 +20,16 @@ class _Text:
     def __init__(self, text: str):
         self.data = text.encode()
         self.starts = [0] + [m.end() for m in re.finditer(b"\n", self.data)]
+        self.char_starts = [0] + [m.end() for m in re.finditer("\n", text)]
 
     def at(self, line: int, column: int) -> int:
         return self.starts[line - 1] + column
 
+    def char_at(self, line: int, column: int) -> int:
+        """The same place counted in characters."""
+        begin = self.starts[line - 1]
+        return self.char_starts[line - 1] + len(self.data[begin : begin + column].decode())
+
     def of(self, node: ast.AST) -> str:
         begin, end = self.at(node.lineno, node.col_offset), self.at(node.end_lineno, node.end_col_offset)
         return self.data[begin:end].decode()
@@ -43,8 +49,7 @@ def _docstring(node, text: _Text) -> str | None:
 def _function(node, scope: str | None, text: _Text, outline: Outline, source: str) -> dict:
     args = node.args
     named = [a.arg for a in (*args.posonlyargs, *args.args, *args.kwonlyargs)]
-    start = len(text.data[: text.at(node.lineno, node.col_offset)].decode())
-    opening = outline.code.find("(", start)
+    opening = outline.code.find("(", text.char_at(node.lineno, node.col_offset))
     calls = [text.of(n.func) for part in node.body for n in ast.walk(part) if isinstance(n, ast.Call)]
     return {
         "kind": "function",

@@ -76,7 +76,7 @@ class Outline:
             i = self.find("{;", i)
             if i >= len(self.code) or self.code[i] == ";":
                 return -1
-            if not re.search(type_marks, self.code[:i][-40:].rstrip()):
+            if not re.search(type_marks, self.code[max(i - 40, 0) : i].rstrip()):
                 return i
             i = self.closing(i) + 1
 
@@ -100,8 +100,8 @@ def split_top(text: str) -> list[str]:
 def comment_above(lines: list[str], line: int, marks: tuple[str, ...]) -> str | None:
     """Comment lines right above a 1-based line; blank lines between them are stepped over."""
     found: list[str] = []
-    for text in reversed(lines[: line - 1]):
-        text = text.strip()
+    for i in range(line - 2, -1, -1):
+        text = lines[i].strip()
         mark = next((m for m in marks if text.startswith(m)), None)
         if mark:
             found.append(text[len(mark) :].strip())

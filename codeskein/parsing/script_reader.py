@@ -84,26 +84,27 @@ def _methods(o: Outline, source: str, body: int, scope: str, typed: bool) -> lis
 
 
 def _classes(o: Outline, source: str, typed: bool) -> list[dict]:
-    found = []
+    found, passed = [], 0
     for m in _CLASS.finditer(o.code):
         if o.depth(m.start(1)):
             continue
         body = o.find("{", m.end())
         heritage = re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", o.code[m.end() : body]))
         parents = re.search(r"\bextends\b(.*?)(?:\bimplements\b|\Z)", heritage, re.DOTALL)
-        before = _DECORATORS.search(o.code[: m.start(1)])
+        before = _DECORATORS.search(o.code[passed : m.start(1)])
         tags = re.findall(r"@([\w$.]+)", before.group()) if before else []
         found.append(
             {
                 "kind": "class",
                 "name": m.group(2),
-                "start_line": o.line(before.start() if before else m.start(1)),
+                "start_line": o.line(passed + before.start() if before else m.start(1)),
                 "end_line": o.line(o.closing(body)),
                 "bases": re.findall(rf"(?<![.\w$]){_NAME}", parents.group(1)) if parents else [],
                 "decorators": tags,
             }
         )
         found += _methods(o, source, body, m.group(2), typed)
+        passed = o.closing(body)
     return found
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codeskein.functions import paths
 from codeskein.operators import changes, symbols
 from codeskein.parsing.registry import ParserRegistry
-from codeskein.session import cut
+from codeskein.session import cut, spread
 from codeskein.sources import repo_files
 from codeskein.sources.git import GitTracker
 from codeskein.store import GraphStore
@@ -36,7 +36,7 @@ class CodeIndexer:
 
     def _declarations(self, files: DataFrame) -> DataFrame:
         """Parsed once and written once; nodes, edges and references are read off it."""
-        contents = repo_files.read_contents(files.repartition("path"), self.root)
+        contents = repo_files.read_contents(spread(files, "path"), self.root)
         return cut(symbols.parse_files(contents, self.registry), "declarations")
 
     def _store(self, gone: DataFrame, declarations: DataFrame) -> None:

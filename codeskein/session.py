@@ -45,6 +45,15 @@ def work_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Even out rows whose work lies in Python or in what they point to, not in their own size.
+
+    A few megabytes of paths may stand for terabytes of text, which adaptive execution cannot see;
+    a given number of partitions is left alone by it.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4, *columns)
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write `df` to the shared folder and read it back.
 

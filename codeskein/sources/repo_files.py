@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeskein.functions import paths
+from codeskein.session import spread
 
 CONTENTS = T.StructType(
     [
@@ -110,7 +111,7 @@ def scan(
     """Relative paths to index: right suffix, no ignored segment, not excluded by git."""
     path = F.col("path")
     found = list_files(spark, root, ignored).filter(paths.has_suffix(path, suffixes) & ~paths.ignored(path, ignored))
-    return not_git_ignored(found.repartition("path"), root)
+    return not_git_ignored(spread(found, "path"), root)
 
 
 def not_git_ignored(files: DataFrame, root: str) -> DataFrame:

@@ -121,7 +121,9 @@ class GraphStore:
         """
         if self.path is None:
             rows = kept(self._frames[name])
-            self._frames[name] = cut(rows.unionByName(added) if added is not None else rows, name)
+            rows = rows.unionByName(added) if added is not None else rows
+            key = ["id"] if name == "nodes" else ["source_id", "target_id"]
+            self._frames[name] = cut(rows.repartition(*key), name)
             return
         listed = [part.select("bucket") for part in (added, touched) if part is not None]
         hit = [r["bucket"] for r in reduce(DataFrame.unionByName, listed).distinct().collect()]
