@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -60,6 +61,8 @@ class FileWatcher:
         spark = self.indexer.store.spark
         spark.dataSource.register(TreeEvents)
         reader = spark.readStream.format("code_tree_events").option("settle_seconds", str(self.seconds))
+        # Changes count from now on, however long the stream takes to get going.
+        reader = reader.option("since_ns", str(time.time_ns()))
         return reader.option("ignored", "\n".join(self.indexer.ignored)).load(self.indexer.root)
 
     def _apply_tree(self, changed: DataFrame) -> None:
