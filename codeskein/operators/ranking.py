@@ -33,13 +33,13 @@ def word_vectors(documents: DataFrame) -> DataFrame:
     """(word, id, type, weight): unit-length bags of words as posting rows.
 
     One row per word and document instead of one wide vector per document, so a search reads
-    only the words it asks for. The count per document stays inside its row: nothing is grouped
-    by word, however common the word is.
+    only the words it asks for. A document is worked on within its own row: nothing is shuffled,
+    and a word that is in every document makes no large group.
     """
-    counted = documents.select("id", "type", F.explode(vectors.words(F.col("document"))).alias("word"))
-    counted = counted.groupBy("id", "type", "word").agg(F.count("*").cast("double").alias("n"))
-    lengths = counted.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
-    return counted.join(lengths, "id").select("word", "id", "type", (F.col("n") / F.col("length")).alias("weight"))
+    weighted = vectors.word_weights(F.col("document"))
+    # The outer form keeps the optimizer from computing the array once more to find empty ones.
+    rows = documents.select("id", "type", F.explode_outer(weighted).alias("entry"))
+    return rows.filter("entry IS NOT NULL").select("entry.word", "id", "type", "entry.weight")
 
 
 def nearest_by_words(

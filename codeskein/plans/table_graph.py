@@ -165,7 +165,10 @@ def stored(spark: SparkSession, folder: str) -> Graph:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _written:
         graph = build(spark, folder)
-        _written[key] = Graph(cut(graph.nodes, "nodes"), cut(graph.edges, "edges"), cut(graph.references, "references"))
+        # By type, as most questions name the types they follow.
+        _written[key] = Graph(
+            cut(graph.nodes, "nodes", "type"), cut(graph.edges, "edges", "type"), cut(graph.references, "references")
+        )
     return _written[key]
 
 

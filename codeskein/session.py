@@ -54,13 +54,14 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4, *columns)
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+def cut(df: DataFrame, label: str = "cut", partition_by: str | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back, if asked in one folder per column value.
 
     The plan behind it is forgotten, lost executors cost no recomputation, and the planner
     learns the real size, which is what decides whether a later join may broadcast it.
     """
     spark = df.sparkSession
     folder = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

@@ -37,7 +37,7 @@ class GraphStore:
             if self.path is None:
                 self._frames[name] = empty
             elif name == "resolved":
-                empty.drop("bucket").write.mode("ignore").parquet(f"{self.path}/{name}")
+                empty.drop("bucket").write.mode("ignore").partitionBy("type").parquet(f"{self.path}/{name}")
             else:
                 empty.write.mode("ignore").partitionBy("bucket").parquet(f"{self.path}/{name}")
 
@@ -151,7 +151,7 @@ class GraphStore:
         if self.path is None:
             self._frames["resolved"] = cut(rows.withColumn("bucket", F.lit(0)), "resolved")
         else:
-            rows.write.mode("overwrite").parquet(f"{self.path}/resolved")
+            rows.write.mode("overwrite").partitionBy("type").parquet(f"{self.path}/resolved")
 
     def add_nodes(self, nodes: DataFrame) -> None:
         """Insert or replace by id; `nodes` holds each id once."""
@@ -181,13 +181,16 @@ class GraphStore:
         self.remove_files(self.spark.createDataFrame([(f"file:{path}",)], "file_id string"))
 
     def replace_files(self, files: DataFrame, new: dict[str, DataFrame]) -> None:
-        """Remove files (file_id) and put the new `nodes`, `edges` and `references` in one go."""
+        """Remove files (file_id) and put the new `nodes`, `edges` and `references` in one go.
+
+        The new rows are read more than once: cut their plan first if it does heavy work.
+        """
         files = cut(files.select("file_id").distinct(), "files")
         gone = cut(sets.nodes_of_files(self.nodes, files).unionByName(files.select(F.col("file_id").alias("id"))).distinct(), "gone")
         self._replace(gone, files, new)
 
     def _replace(self, gone: DataFrame, files: DataFrame | None, new: dict[str, DataFrame]) -> None:
-        added = {name: cut(self._with_bucket(name, rows), name) for name, rows in new.items()}
+        added = {name: self._with_bucket(name, rows) for name, rows in new.items()}
 
         def at(rows: DataFrame, column: str, how: str) -> DataFrame:
             return rows.join(gone, rows[column] == gone["id"], how)
