@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 from codeskein.session import cut
 
 
+def undefined_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ids that edges mention and no node has: one aggregation, combined before its shuffle."""
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id"), F.lit(False).alias("defined"))
+    both = ends.unionByName(nodes.select("id", F.lit(True).alias("defined")))
+    return both.groupBy("id").agg(F.bool_or("defined").alias("defined")).filter("NOT defined").select("id")
+
+
 def type_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, type, n): nodes and edges per type; endpoints without a node count as `unknown`."""
-    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-    phantoms = ends.join(nodes.select("id"), "id", "left_anti").select(F.lit("unknown").alias("type"))
+    phantoms = undefined_ids(nodes, edges).select(F.lit("unknown").alias("type"))
     node_rows = nodes.select("type").unionByName(phantoms).select(F.lit("node").alias("kind"), "type")
     edge_rows = edges.select(F.lit("edge").alias("kind"), "type")
     return node_rows.unionByName(edge_rows).groupBy("kind", "type").agg(F.count("*").alias("n"))

@@ -12,8 +12,7 @@ def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, id, line): header, one line per vertex, one per edge, footer, in order of (part, id)."""
     spark: SparkSession = nodes.sparkSession
     quoted = F.concat(F.lit('  "'), F.col("id"), F.lit('" [label="'), F.col("label"), F.lit('"];'))
-    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-    phantoms = ends.join(nodes.select("id"), "id", "left_anti").select(
+    phantoms = aggregates.undefined_ids(nodes, edges).select(
         "id", F.concat(F.lit("unknown\\n"), F.col("id")).alias("label")
     )
     known = nodes.select("id", F.concat("type", F.lit("\\n"), "name").alias("label"))

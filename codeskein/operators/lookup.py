@@ -22,6 +22,22 @@ def nodes_of_type(nodes: DataFrame, *types: str) -> DataFrame:
     return nodes.filter(F.col("type").isin(*types)) if types else nodes
 
 
+# The fields of each node type beside id, type, name and metadata.
+FIELDS = {
+    "file": ("path", "language", "last_modified", "size_bytes", "line_count"),
+    "function": ("file_id", "signature", "docstring", "start_line", "end_line", "is_async", "is_method", "class_id",
+                 "parameters", "return_type"),
+    "class": ("file_id", "docstring", "start_line", "end_line", "bases", "decorators"),
+    "import": ("file_id", "module", "alias", "items", "line"),
+    "variable": ("file_id", "type_hint", "line", "scope", "class_id"),
+}
+
+
+def typed_nodes(nodes: DataFrame, node_type: str) -> DataFrame:
+    """Nodes of one type with the fields of that type only, so that no other column is read."""
+    return nodes_of_type(nodes, node_type).select("id", "type", "name", "metadata", *FIELDS[node_type])
+
+
 def nodes_by_name(nodes: DataFrame, name: str, exact: bool = True) -> DataFrame:
     """Exact: same letters, same case. Otherwise: contained, case ignored; '' is in every name."""
     if exact:

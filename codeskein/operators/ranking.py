@@ -69,7 +69,7 @@ def nearest_by_words(
     best = matched.orderBy(*order).limit(k)
     # Up to k of the first 2k ids may be matched ones, so k others are always among them.
     others = ids.select("id").orderBy("id").limit(2 * k)
-    others = others.join(F.broadcast(best.select("id")), "id", "left_anti").withColumn("distance", F.lit(1.0))
+    others = others.join(best.select("id"), "id", "left_anti").withColumn("distance", F.lit(1.0))
     return ranked(best.unionByName(others), k, *order)
 
 

@@ -43,7 +43,10 @@ def resolve(nodes: DataFrame, references: DataFrame) -> DataFrame:
 
 def resolved_edges(nodes: DataFrame, references: DataFrame) -> DataFrame:
     """`resolve` with each (source, target, type) kept once."""
-    edges = resolve(nodes, references)
+    return once_each(resolve(nodes, references))
+
+
+def once_each(edges: DataFrame) -> DataFrame:
     firsts = edges.groupBy("source_id", "target_id", "type").agg(
         F.min("ord").alias("ord"), F.min("owner").alias("owner")
     )

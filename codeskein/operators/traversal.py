@@ -20,10 +20,17 @@ from codeskein.operators import lookup
 from codeskein.session import cut
 
 
-def neighbours(edges: DataFrame, frontier: DataFrame, direction: str, carry: Sequence[str] = ()) -> DataFrame:
-    """Ends of the edges that leave (`out`), enter (`in`) or touch (`both`) the frontier's ids."""
+def neighbours(
+    edges: DataFrame, frontier: DataFrame | str, direction: str, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Ends of the edges that leave (`out`), enter (`in`) or touch (`both`) the frontier's ids.
+
+    A frontier of one id is a filter, which reaches the scan.
+    """
 
     def hop(near: str, far: str) -> DataFrame:
+        if isinstance(frontier, str):
+            return edges.filter(F.col(near) == frontier).select(F.col(far).alias("id"))
         ends = edges.select(F.col(near).alias("id"), F.col(far).alias("next_id"))
         return frontier.join(ends, "id").select(*carry, F.col("next_id").alias("id"))
 
@@ -48,19 +55,23 @@ def _new_only(reached: DataFrame, known: Sequence[DataFrame], keys: Sequence[str
 
 def bfs(
     edges: DataFrame,
-    seeds: DataFrame,
+    seeds: DataFrame | str,
     max_depth: int | None,
     direction: str = "both",
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """Ids reachable from `seeds` with their least distance (1 and up), seeds themselves excluded.
 
-    `carry` names columns of `seeds` that keep several searches apart. `max_depth=None` runs until
+    `seeds` is a table of ids or a single id. `carry` names columns of `seeds` that keep several searches apart. `max_depth=None` runs until
     a hop finds nothing new. A bounded search leaves its last hop lazy, so depth 1 starts no job.
     """
     keys = [*carry, "id"]
-    frontier = seeds.select(*keys).distinct()
-    levels = [frontier]
+    if isinstance(seeds, str):
+        frontier = seeds
+        levels = [edges.sparkSession.range(0, 1, 1, 1).select(F.lit(seeds).alias("id"))]
+    else:
+        frontier = seeds.select(*keys)
+        levels = [frontier]
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -81,10 +92,6 @@ def bfs(
     return reduce(DataFrame.unionByName, found[1:])
 
 
-def _one(nodes_or_edges: DataFrame, node_id: str) -> DataFrame:
-    return nodes_or_edges.sparkSession.range(0, 1, 1, 1).select(F.lit(node_id).alias("id"))
-
-
 def _of_types(edges: DataFrame, types: Iterable[str] | None) -> DataFrame:
     types = list(types or ())
     return edges.filter(F.col("type").isin(*types)) if types else edges
@@ -98,19 +105,19 @@ def related(
     edge_types: Iterable[str] | None = None,
 ) -> DataFrame:
     """Nodes within `max_depth` steps, edges taken both ways."""
-    found = bfs(_of_types(edges, edge_types), _one(edges, node_id), max_depth)
+    found = bfs(_of_types(edges, edge_types), node_id, max_depth)
     return nodes.join(found, "id")
 
 
 def callers(nodes: DataFrame, edges: DataFrame, function_id: str, max_depth: int = 3) -> DataFrame:
     """Functions that reach this one over calls; distances up to `max_depth + 1`."""
-    found = bfs(_of_types(edges, ["calls"]), _one(edges, function_id), max_depth + 1, "in")
+    found = bfs(_of_types(edges, ["calls"]), function_id, max_depth + 1, "in")
     return nodes.join(found, "id")
 
 
 def callees(nodes: DataFrame, edges: DataFrame, function_id: str, max_depth: int = 3) -> DataFrame:
     """Functions this one reaches over calls; distances up to `max_depth + 1`."""
-    found = bfs(_of_types(edges, ["calls"]), _one(edges, function_id), max_depth + 1, "out")
+    found = bfs(_of_types(edges, ["calls"]), function_id, max_depth + 1, "out")
     return nodes.join(found, "id")
 
 
@@ -137,7 +144,7 @@ def inheritance_chain(nodes: DataFrame, edges: DataFrame, class_id: str) -> Data
 
 def subclasses(nodes: DataFrame, edges: DataFrame, class_id: str, recursive: bool = True) -> DataFrame:
     """All classes below this one, or only the direct ones."""
-    found = bfs(_of_types(edges, ["inherits"]), _one(edges, class_id), None if recursive else 1, "in")
+    found = bfs(_of_types(edges, ["inherits"]), class_id, None if recursive else 1, "in")
     return nodes.join(found, "id")
 
 

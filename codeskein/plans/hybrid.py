@@ -71,4 +71,4 @@ def rank_hits(
             near.select("id", "score", F.lit(True).alias("is_neighbour"), "seed_rank", "depth")
         )
     best = ranking.ranked(found, max_results, F.desc("score"), *[F.col(c) for c in FINAL_ORDER])
-    return nodes.join(F.broadcast(best), "id")
+    return nodes.join(best, "id")

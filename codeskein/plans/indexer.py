@@ -39,19 +39,20 @@ class CodeIndexer:
         contents = repo_files.read_contents(spread(files, "path"), self.root)
         return cut(symbols.parse_files(contents, self.registry), "declarations")
 
-    def _store(self, gone: DataFrame, declarations: DataFrame) -> None:
-        nodes = symbols.file_nodes(declarations).unionByName(symbols.symbol_nodes(declarations))
-        self.store.replace_files(
-            gone,
-            {
-                "nodes": nodes,
-                "edges": symbols.symbol_edges(declarations),
-                "references": symbols.symbol_references(declarations),
-            },
-        )
+    @staticmethod
+    def _tables(declarations: DataFrame) -> dict[str, DataFrame]:
+        return {
+            "nodes": symbols.file_nodes(declarations).unionByName(symbols.symbol_nodes(declarations)),
+            "edges": symbols.symbol_edges(declarations),
+            "references": symbols.symbol_references(declarations),
+        }
+
+    def _replace(self, gone: DataFrame, declarations: DataFrame) -> None:
+        files = gone.unionByName(declarations.filter("kind = 'file'").select("file_id"))
+        self.store.replace_files(files, self._tables(declarations))
 
     def index_full(self, progress: Progress | None = None) -> dict[str, int]:
-        """Scan, parse and store the whole tree; files that are gone leave the graph."""
+        """Scan, parse and store the whole tree in place of what was stored."""
         report = progress or (lambda *_: None)
         report("scan", 1, 3)
         files = repo_files.scan(
@@ -60,8 +61,7 @@ class CodeIndexer:
         report("parse", 2, 3)
         declarations = self._declarations(files)
         report("store", 3, 3)
-        stored = self.store.nodes.filter("type = 'file'").select(F.col("id").alias("file_id"))
-        self._store(stored.unionByName(declarations.select("file_id")), declarations)
+        self.store.replace_all(self._tables(declarations))
         self._remember_commit()
         return symbols.index_counts(declarations).first().asDict()
 
@@ -81,7 +81,7 @@ class CodeIndexer:
         declarations = self._declarations(repo_files.not_git_ignored(wanted, self.root))
         report("store", 3, 3)
         removed = changes.removed_paths(found).select(paths.file_id(F.col("path")).alias("file_id"))
-        self._store(removed.unionByName(declarations.select("file_id")), declarations)
+        self._replace(removed, declarations)
         self._remember_commit()
         return changes.change_counts(found, symbols.indexed_files(declarations)).first().asDict()
 
@@ -90,7 +90,7 @@ class CodeIndexer:
         is_deleted = F.col("event_type") == "deleted"
         declarations = self._declarations(events.filter(~is_deleted).select("path").distinct())
         deleted = events.filter(is_deleted).select(paths.file_id(F.col("path")).alias("file_id"))
-        self._store(deleted.unionByName(declarations.select("file_id")), declarations)
+        self._replace(deleted, declarations)
         self.store.resolve()
 
     def resolve_references(self) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,6 +13,7 @@ from codeskein.functions import paths, text, vectors
 from codeskein.operators import aggregates, changes, export, lookup, ranking, resolve, sets, traversal
 from codeskein.plans import hybrid, table_graph
 from codeskein.plans import suite_sql as sql
+from codeskein.session import work_folder
 from codeskein.streaming import events as file_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,6 +197,12 @@ def f7_find_definition(spark, folder):
     return lookup.find_definition(table_graph.stored(spark, folder).nodes, "Class_77").select(*_BRIEF, "score")
 
 
+@query(sql.graph("SELECT id, name, file_id, class_id, is_async, start_line, end_line FROM nodes WHERE type = 'function'"))
+def f9_functions(spark, folder):
+    functions = lookup.typed_nodes(table_graph.stored(spark, folder).nodes, "function")
+    return functions.select("id", "name", "file_id", "class_id", "is_async", "start_line", "end_line")
+
+
 @query(
     sql.graph(
         """SELECT id, replace(coalesce(file_id, ''), 'file:', '') || CASE WHEN file_id IS NOT NULL AND start_line IS NOT NULL
@@ -418,6 +426,13 @@ def _hybrid_oracle(k: int, depth: int) -> tuple[str, ...]:
     return (_HITS, _RANKED_HITS.format(k=k), _HYBRID.format(k=k, depth=depth))
 
 
+@query(sql.graph("SELECT rank::INTEGER AS rank, id, round(score, 6) AS score FROM hits", _HITS, _RANKED_HITS.format(k=25)))
+def j1_hits_with_nodes(spark, folder):
+    g = table_graph.stored(spark, folder)
+    hits = ranking.nearest(table_graph.embedded(spark, folder), _query_vector(spark, folder), 25)
+    return hybrid.hits_with_nodes(hits, g.nodes, 25).select("rank", "id", F.round("score", 6).alias("score"))
+
+
 @query(sql.graph(_RESULT, *_hybrid_oracle(10, 1)))
 def i5_hybrid(spark, folder):
     g = table_graph.stored(spark, folder)
@@ -661,6 +676,10 @@ code AS (SELECT * FROM split WHERE path LIKE '%.py' OR path LIKE '%.ts' OR path
 
 
 def _file_events(spark: SparkSession, folder: str) -> DataFrame:
+    return _as_file_events(_table(spark, folder, "events"))
+
+
+def _as_file_events(events: DataFrame) -> DataFrame:
     number = F.col("user_id").cast("string")
     ending = F.get(F.array(F.lit(".py"), F.lit(".ts"), F.lit(".txt")), (F.col("event_id") % 3).cast("int"))
     other = F.when(F.col("event_id") % 2 == 0, ".go").otherwise(".md")
@@ -670,7 +689,7 @@ def _file_events(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("event_type") == "purchase", "moved")
         .otherwise("modified")
     )
-    return _table(spark, folder, "events").select(
+    return events.select(
         F.concat(F.lit("src/u"), number, ending).alias("path"),
         F.concat(F.lit("src/u"), number, F.lit("_new"), other).alias("dest_path"),
         kind.alias("event_type"),
@@ -697,6 +716,22 @@ def w1_debounced_events(spark, folder):
     return file_events.debounce(events, 7200).select("path", "event_type", F.unix_micros("ts").alias("at"))
 
 
+@query("WITH " + _MOVED_EVENTS + """ SELECT path, event_type, epoch_us(ts) AS at FROM (
+ SELECT path, event_type, ts, lead(ts) OVER (PARTITION BY path ORDER BY ts) AS following FROM (
+   SELECT path, ts, arg_max(event_type, seq) AS event_type FROM code GROUP BY path, ts))
+ WHERE (following IS NULL OR epoch_us(following) - epoch_us(ts) > 7200000000::BIGINT)
+ AND epoch_us(ts) + 7200000000::BIGINT <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM code) - 600000000::BIGINT""")
+def w1_streamed_bursts(spark, folder):
+    """The same bursts by a stream that stops at the end of the table: those its watermark closed."""
+    rows = spark.readStream.schema(_table(spark, folder, "events").schema).option("pathGlobFilter", "events.parquet")
+    events = file_events.code_events(_as_file_events(rows.parquet(folder)), _CODE_SUFFIXES)
+    base = f"{work_folder(spark)}/bursts-{uuid.uuid4().hex}"
+    closed = file_events.debounce_stream(events, 7200, "10 minutes")
+    writer = closed.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+    writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("path", "event_type", F.unix_micros("ts").alias("at"))
+
+
 _CHANGES = f"""
 listed AS (SELECT event_id, {_CHANGE_PATH} AS path, 'src/old' || user_id || '.py' AS former,
            CASE event_type WHEN 'signup' THEN 'A' WHEN 'error' THEN 'D' WHEN 'purchase' THEN 'R' WHEN 'view' THEN 'T'

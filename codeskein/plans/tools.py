@@ -14,7 +14,7 @@ from codeskein.search import VectorStore
 from codeskein.store import GraphStore
 
 # Tool names, and which node types a caller may ask for.
-TOOLS = ("ckg_query", "ckg_find_definition", "ckg_find_references", "ckg_file_summary", "ckg_graph_stats", "ckg_index")
+TOOLS = ("query", "find_definition", "find_references", "file_summary", "graph_stats", "index")
 SELECTABLE_TYPES = ("function", "class", "file", "import")
 
 
@@ -35,7 +35,7 @@ class Tools:
         if name not in TOOLS:
             return f"Unknown tool: {name}"
         try:
-            return getattr(self, name.removeprefix("ckg_"))(**arguments)
+            return getattr(self, name)(**arguments)
         except Exception as error:
             return f"Error: {error}"
 

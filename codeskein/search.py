@@ -49,7 +49,7 @@ class VectorStore:
         if self.embed:
             tables = {"documents": documents, "embeddings": documents.select("id", "type", self.embed(F.col("document")).alias("embedding"))}
         else:
-            words = ranking.word_vectors(documents)
+            words = cut(ranking.word_vectors(documents), "words")  # range partitioning reads it twice
             # By id as well: a word of very many documents is spread over several files.
             ordered = words.repartitionByRange("word", "id").sortWithinPartitions("word", "id")
             tables = {"documents": documents, "postings": ordered}

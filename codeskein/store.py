@@ -134,13 +134,26 @@ class GraphStore:
         marks = self.spark.createDataFrame([(b,) for b in hit], "bucket int")
         marked = rows.unionByName(marks, allowMissingColumns=True)
         (
-            marked.repartition("bucket", F.pmod(F.xxhash64("id" if name == "nodes" else "target_id"), F.lit(8)))
+            # One file per bucket, several where a bucket has grown large.
+            marked.hint("rebalance", "bucket")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("bucket")
             .parquet(f"{self.path}/{name}")
         )
 
+    def replace_all(self, new: dict[str, DataFrame]) -> None:
+        """Make the new `nodes`, `edges` and `references` the whole graph, nothing resolved yet."""
+        for name in _TABLES:
+            rows = self._with_bucket(name, new[name])
+            if self.path is None:
+                self._frames[name] = cut(rows, name)
+            else:
+                writer = rows.hint("rebalance", "bucket").write.mode("overwrite")
+                writer = writer.option("partitionOverwriteMode", "static").partitionBy("bucket")
+                writer.parquet(f"{self.path}/{name}")
+        self._write_resolved(self.spark.createDataFrame([], EDGES))
+
     def _drop_resolved(self, gone: DataFrame) -> None:
         if self.resolved.isEmpty():
             return
@@ -223,8 +236,9 @@ class GraphStore:
 
     def resolve(self) -> int:
         """Recompute the edges behind references; the number of references that were resolved."""
-        self._write_resolved(resolve.resolved_edges(self.nodes, self.references))
-        return resolve.resolve(self.nodes, self.references).count()
+        found = cut(resolve.resolve(self.nodes, self.references), "found")
+        self._write_resolved(resolve.once_each(found))
+        return found.count()
 
     # --- small facts ---
 

@@ -243,14 +243,14 @@ def test_status_lines(spark):
 
 def test_tools_and_dot(spark, tree, small_graph, tmp_path):
     tools = Tools(spark, str(tree))
-    assert tools.call("ckg_index", {"incremental": False}).startswith("Full index complete:\n- Files processed: 2\n- Functions: 6\n")
-    assert "- function: 6\n" in tools.call("ckg_graph_stats", {})
-    assert tools.call("ckg_find_definition", {"symbol": "nope"}) == "No definition found for 'nope'"
-    assert tools.call("ckg_find_references", {"symbol": "nope"}) == "Symbol 'nope' not found"
-    assert tools.call("ckg_file_summary", {"file_path": "app.ts"}).startswith("File: app.ts\nFunctions: 1\nClasses: 1\nImports: 1\n\n")
-    assert tools.call("ckg_query", {"query": "users", "type": "function"}).startswith("# FUNCTION: ")
+    assert tools.call("index", {"incremental": False}).startswith("Full index complete:\n- Files processed: 2\n- Functions: 6\n")
+    assert "- function: 6\n" in tools.call("graph_stats", {})
+    assert tools.call("find_definition", {"symbol": "nope"}) == "No definition found for 'nope'"
+    assert tools.call("find_references", {"symbol": "nope"}) == "Symbol 'nope' not found"
+    assert tools.call("file_summary", {"file_path": "app.ts"}).startswith("File: app.ts\nFunctions: 1\nClasses: 1\nImports: 1\n\n")
+    assert tools.call("query", {"query": "users", "type": "function"}).startswith("# FUNCTION: ")
     assert tools.call("other", {}) == "Unknown tool: other"
-    assert tools.call("ckg_query", {}).startswith("Error: ")
+    assert tools.call("query", {}).startswith("Error: ")
     export.write_dot(*small_graph, str(tmp_path / "dot"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "dot").glob("part-*")))
     lines = text.splitlines()
