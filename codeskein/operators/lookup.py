@@ -64,12 +64,12 @@ def search_nodes(
     """Nodes that satisfy a predicate.
 
     A Column stays inside the compiled plan. A Python callable gets the named columns as a
-    dict per row, after the type filter; only those columns leave the JVM.
+    dict per row, after the type filter; only those columns leave the JVM, in Arrow batches.
     """
     kept = nodes_of_type(nodes, *types)
     if not isinstance(predicate, Column):
         test = predicate
-        accepts = F.udf(lambda row: bool(test(row.asDict(recursive=True))), T.BooleanType())
+        accepts = F.udf(lambda row: bool(test(row.asDict(recursive=True))), T.BooleanType(), useArrow=True)
         predicate = accepts(F.struct(*columns))
     return kept.filter(predicate)
 

@@ -125,16 +125,16 @@ def inheritance_chain(nodes: DataFrame, edges: DataFrame, class_id: str) -> Data
     """First parent, its first parent and so on; `depth` is the place in the chain.
 
     Only the first edge of a class counts (least `ord`, then target). A cycle or an undefined
-    parent ends the chain. Each step is one filtered lookup that returns one row.
+    parent ends the chain. Each step is two lookups by id, whose filters reach the scans, and
+    returns one row.
     """
-    parents = _of_types(edges, ["inherits"]).join(
-        nodes.select(F.col("id").alias("target_id"), F.lit(True).alias("defined")), "target_id", "left"
-    )
+    parents = _of_types(edges, ["inherits"]).select("source_id", "ord", "target_id")
     chain, current = [], class_id
     while True:
-        first = parents.filter(F.col("source_id") == current).select("ord", "target_id", "defined")
-        row = first.orderBy("ord", "target_id").first()
-        if row is None or not row["defined"] or row["target_id"] in (class_id, *chain):
+        row = parents.filter(F.col("source_id") == current).orderBy("ord", "target_id").first()
+        if row is None or row["target_id"] in (class_id, *chain):
+            break
+        if lookup.node(nodes, row["target_id"]).select("id").isEmpty():
             break
         current = row["target_id"]
         chain.append(current)

@@ -8,18 +8,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeskein.functions import text
-from codeskein.operators import lookup, traversal
+from codeskein.operators import aggregates, lookup, traversal
 from codeskein.plans.hybrid import QueryResult, rank_hits
 from codeskein.search import VectorStore
 from codeskein.session import cut
 from codeskein.store import GraphStore
 
 
+class GraphTraversal:
+    """The graph operators bound to one store."""
+
+    def __init__(self, store: GraphStore):
+        self.store = store
+
+    def get_related_symbols(
+        self, node_id: str, max_depth: int = 2, edge_types: Iterable[str] | None = None
+    ) -> DataFrame:
+        return traversal.related(self.store.nodes, self.store.edges, node_id, max_depth, edge_types)
+
+    def find_callers(self, function_id: str, max_depth: int = 3) -> DataFrame:
+        return traversal.callers(self.store.nodes, self.store.edges, function_id, max_depth)
+
+    def find_callees(self, function_id: str, max_depth: int = 3) -> DataFrame:
+        return traversal.callees(self.store.nodes, self.store.edges, function_id, max_depth)
+
+    def find_inheritance_chain(self, class_id: str) -> DataFrame:
+        return traversal.inheritance_chain(self.store.nodes, self.store.edges, class_id)
+
+    def find_subclasses(self, class_id: str, recursive: bool = True) -> DataFrame:
+        return traversal.subclasses(self.store.nodes, self.store.edges, class_id, recursive)
+
+    def get_file_symbols(self, file_id: str) -> DataFrame:
+        return lookup.file_symbols(self.store.nodes, self.store.edges, file_id)
+
+    def find_dependencies(self, file_id: str) -> DataFrame:
+        return lookup.dependencies(self.store.nodes, self.store.edges, file_id)
+
+    def find_dependents(self, module_name: str) -> DataFrame:
+        return lookup.dependents(self.store.nodes, module_name)
+
+    def get_complexity_score(self, node_id: str) -> float:
+        return aggregates.complexity_of(self.store.edges, node_id).first()["complexity"]
+
+    def find_central_nodes(self, top_k: int = 10) -> DataFrame:
+        return aggregates.central_nodes(self.store.nodes, self.store.edges, top_k)
+
+    def search_nodes(self, predicate, node_types: Iterable[str] = ()) -> DataFrame:
+        return lookup.search_nodes(self.store.nodes, predicate, node_types)
+
+
 class QueryEngine:
     """Symbol lookup, references, file summaries and the hybrid query over one store."""
 
     def __init__(self, store: GraphStore, vector_store: VectorStore | None = None, vector_path: str | None = None):
         self.store = store
+        self.traversal = GraphTraversal(store)
         self.vectors = vector_store or VectorStore(store.spark, vector_path)
 
     def index_vectors(self) -> int:
@@ -74,6 +117,3 @@ class QueryEngine:
         return QueryResult(
             symbols, [lookup.bucket_order(), F.col("ord"), F.col("id")], {"file_path": file_path, **counts.asDict()}
         )
-
-    def related(self, node_id: str, max_depth: int = 2, edge_types: Iterable[str] | None = None) -> DataFrame:
-        return traversal.related(self.store.nodes, self.store.edges, node_id, max_depth, edge_types)

@@ -172,6 +172,15 @@ class GraphStore:
         old = self._table("nodes").join(new.select("id"), "id", "left_semi") if self.path else None
         self._rewrite("nodes", lambda rows: rows.join(new.select("id"), "id", "left_anti"), new, old)
 
+    def add_node(self, **fields) -> None:
+        """Insert or replace one node given by its fields."""
+        row = {f.name: fields.get(f.name) for f in NODES.fields}
+        self.add_nodes(self.spark.createDataFrame([row], NODES))
+
+    def add_edge(self, source_id: str, target_id: str, type: str, metadata: dict | None = None) -> None:
+        row = (source_id, target_id, type, metadata, 0, source_id)
+        self.add_edges(self.spark.createDataFrame([row], EDGES))
+
     def add_edges(self, edges: DataFrame) -> None:
         """Insert or replace by (source, target, type)."""
         new = cut(self._with_bucket("edges", edges), "new-edges")

@@ -5,7 +5,7 @@ import pytest
 from conftest import edge_frame, node_frame
 from pyspark.sql import functions as F
 
-from codeskein import CodeIndexer, GraphStore, QueryEngine, VectorStore
+from codeskein import CodeIndexer, GraphStore, GraphTraversal, QueryEngine, VectorStore, cli
 from codeskein.functions import paths
 from codeskein.operators import changes, export
 from codeskein.plans.tools import Tools
@@ -264,3 +264,38 @@ def test_language_map(spark):
     df = spark.createDataFrame([(n,) for n in names], "path string").select("path", paths.language(F.col("path")).alias("l"))
     wanted = ["python", "typescript", "go", "rust", "unknown", "unknown", "unknown", "unknown"]
     assert [r["l"] for r in df.collect()] == wanted
+
+
+def test_traversal_of_a_store(spark):
+    store = GraphStore(spark)
+    for i in "abc":
+        store.add_node(id=i, type="class", name=i.upper(), file_id="file:f")
+    store.add_node(id="file:f", type="file", name="f", path="f")
+    store.add_node(id="import:os", type="import", name="os", module="os", file_id="file:f")
+    store.add_edge("b", "a", "inherits")
+    store.add_edge("c", "b", "inherits", {"note": "x"})
+    store.add_edge("file:f", "import:os", "imports")
+    walk = GraphTraversal(store)
+    assert [r["id"] for r in walk.find_inheritance_chain("c").orderBy("depth").collect()] == ["b", "a"]
+    assert walk.find_subclasses("a").count() == 2
+    assert [r["module"] for r in walk.find_dependencies("file:f").collect()] == ["os"]
+    assert [r["id"] for r in walk.find_dependents("os").collect()] == ["file:f"]
+    assert walk.get_complexity_score("b") == 1.0
+    assert walk.find_central_nodes(1).first()["id"] == "a"
+    assert [r["id"] for r in walk.search_nodes(lambda n: n["name"] == "C").collect()] == ["c"]
+    assert walk.get_related_symbols("a", 1).first()["id"] == "b"
+    assert walk.get_file_symbols("file:f").first()["bucket"] == "imports"
+    assert store.get_edges_from("c").first()["metadata"] == {"note": "x"}
+
+
+def test_command_line(spark, tree, capsys):
+    def run(*args):
+        cli.main(["-r", str(tree), *args])
+        return capsys.readouterr().out
+
+    assert "Files processed: 2\nFunctions: 6\n" in run("index", "--no-vectors")
+    assert "FUNCTION: load\n  Signature: def load(self) -> dict\n  Location: main.py:13-15" in run("find", "load")
+    assert run("find", "nothing") == "No definition found for 'nothing'\n"
+    assert "Classes: 1\n" in run("file", "app.ts")
+    assert run("graph").startswith("digraph CodeKnowledgeGraph {\n")
+    assert run("query", "anything") == "No results found\n"  # no vectors yet
