@@ -17,11 +17,25 @@ def undefined_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def type_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(kind, type, n): nodes and edges per type; endpoints without a node count as `unknown`."""
-    phantoms = undefined_ids(nodes, edges).select(F.lit("unknown").alias("type"))
-    node_rows = nodes.select("type").unionByName(phantoms).select(F.lit("node").alias("kind"), "type")
-    edge_rows = edges.select(F.lit("edge").alias("kind"), "type")
-    return node_rows.unionByName(edge_rows).groupBy("kind", "type").agg(F.count("*").alias("n"))
+    """(kind, type, n): nodes and edges per type; endpoints without a node count as `unknown`.
+
+    Both tables are read once: an edge yields its two ends and its type, ends meet the node of
+    the same id in one aggregation, and what has no type after that is undefined.
+    """
+
+    def row(kind: str, key: str, type_of: F.Column) -> F.Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), type_of.alias("type"))
+
+    untyped = F.lit(None).cast("string")
+    parts = F.array(
+        row("node", "source_id", untyped), row("node", "target_id", untyped), row("edge", "type", F.col("type"))
+    )
+    rows = edges.select(F.explode(parts).alias("row")).unionByName(
+        nodes.select(row("node", "id", F.col("type")).alias("row"))
+    )
+    keyed = rows.select("row.*").groupBy("kind", "key").agg(F.max("type").alias("type"), F.count("*").alias("seen"))
+    counted = F.sum(F.when(F.col("kind") == "edge", F.col("seen")).otherwise(F.lit(1)))
+    return keyed.groupBy("kind", F.coalesce("type", F.lit("unknown")).alias("type")).agg(counted.alias("n"))
 
 
 def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
