@@ -5,7 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from codeskein.llm._tables import Scratch
+from codeskein.llm.decontaminate import contaminated
+from codeskein.llm.language import fit_languages, predict_languages
+from codeskein.llm.mixing import mixed, n_words
+from codeskein.llm.near_copies import near_copies
 from codeskein.llm.token_files import token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +37,30 @@ def query(name: str, oracle: str | None = None):
 @query("op4_token_files")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
+
+
+@query("op10_language")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    model = fit_languages(docs, fold != 1)
+    got = predict_languages(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_near_copies")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op9_benchmark_leaks")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_mixture")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    sized = Scratch(spark, "mixture").keep(docs, "sizes")
+    mix = mixed(sized, size=F.col("size"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
