@@ -13,8 +13,8 @@ import pyarrow.compute as pc
 
 #: Fixed odd multipliers of the 64-bit mixing steps.
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 PIECE_BYTES = 4 << 20
 
@@ -55,7 +55,7 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = P
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and for each text the n + 1 offsets into the words."""
     word = np.zeros(len(data) + 1, bool)
-    np.logical_not(_SPACE[data], out=word[:-1])
+    np.logical_not(SPACE[data], out=word[:-1])
     first = word.copy()
     first[1:] &= ~word[:-1]
     edges = off[(off > 0) & (off < len(data))]

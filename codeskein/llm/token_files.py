@@ -15,19 +15,18 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeskein.llm._tables import Scratch, in_ranges, partitions
-from codeskein.llm._words import column, pieces
+from codeskein.llm._words import SPACE, buffers, column, pieces, span_hashes, word_spans
 
 MAGIC = b"EFTOKEN1"
 SAMPLE = 256
@@ -111,56 +110,113 @@ def unpack(blob: bytes) -> tuple[np.ndarray, Boundaries]:
     return ids, Boundaries(n_docs + 1, low_bits, a, b, c)
 
 
+def runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the runs of all texts in order, and offsets by text.
+
+    A run is a word with the one space before it, or white space that joins no word: of a gap before a
+    word all but the last byte, and the last byte if it is no space; at the end of a text the whole gap.
+    """
+    starts, ends, words = word_spans(data, off)
+    n = np.diff(words)
+    text = np.repeat(np.arange(len(n)), n)
+    before = off[text]  # where the gap before each word begins
+    inner = np.ones(len(starts), bool)
+    inner[words[:-1][n > 0]] = False
+    before[inner] = ends[np.flatnonzero(inner) - 1]
+    gap = starts - before
+    joins = (gap > 0) & (data[np.maximum(starts - 1, 0)] == 32)
+    head, last = np.flatnonzero(gap > 1), np.flatnonzero((gap > 0) & ~joins)
+    tail_from = np.where(n > 0, ends[np.maximum(words[1:] - 1, 0)] if len(ends) else 0, off[:-1])
+    tail = np.flatnonzero(tail_from < off[1:])
+    a = np.concatenate([starts - joins, before[head], starts[last] - 1, tail_from[tail]])
+    b = np.concatenate([ends, starts[head] - 1, starts[last], off[1:][tail]])
+    order = np.argsort(a, kind="stable")
+    return a[order], b[order], np.searchsorted(a[order], off)
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library, which is asked once for each distinct run of letters or signs.
+    """Ids of texts by the tokenizers library, which is asked once for each distinct run.
 
-    Byte-level BPE never joins across the cuts of its own pattern, so a text's ids are those of its
-    cut runs in order. The cuts of `RUN` are a subset of that pattern's for characters below U+0300
-    but for a few signs that classify differently; texts with other characters go to the library whole.
-    Tables of runs are emptied at `keep` entries.
+    Byte-level BPE cuts a text where white space meets a word as `runs` does, so a text's ids are those of its
+    runs in order. New runs with a space in front go to the library side by side: a token that begins with the
+    space's sign begins a run. Texts with other white space than space and 0x09 to 0x0D go to it whole. The table of runs
+    is keyed by 64-bit hashes and starts anew with the runs at hand when it would pass `keep`.
     """
 
-    WHOLE = re.compile("[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbè-\U0010ffff]")
-    RUN = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-    CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    OTHERSPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # such strings in a text are ordinary text
         self.keep = keep
-        self.forget()
-
-    def forget(self) -> None:
-        self.runs: dict[str, bytes] = {}
-        self.cuts: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, runs: set[str]) -> None:
-        if len(self.runs) + len(runs) > self.keep:
-            self.runs = {}
-        if len(self.cuts) + len(runs) > self.keep:
-            self.cuts = {}
-        cut = {run: self.CUT.findall(run) for run in runs}
-        new = list({c for cs in cut.values() for c in cs if c not in self.cuts})
-        self.cuts.update(zip(new, self._library(new)))
-        get = self.cuts.__getitem__
-        for run, cs in cut.items():
-            self.runs[run] = get(cs[0]) if len(cs) == 1 else b"".join(map(get, cs))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian u32."""
-        split = [None if self.WHOLE.search(text) else self.RUN.findall(text) for text in texts]
-        new = {run for runs in split for run in runs or () if run not in self.runs}
-        if len(self.runs) + len(new) > self.keep:
-            new = {run for runs in split for run in runs or ()}
-        self._learn(new)
-        get = self.runs.__getitem__
-        return [self._library([t])[0] if runs is None else b"".join(map(get, runs)) for t, runs in zip(texts, split)]
+        self.opens = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.tok.get_vocab_size())])
+        self.hashes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct runs, concatenated, and their numbers."""
+        spaced = (data[a] == 32) & (b - a > 1) & ~SPACE[data[np.minimum(a + 1, len(data) - 1)]]
+        n = np.zeros(len(a), np.int64)
+        own = np.flatnonzero(spaced)
+        raw = data.tobytes()
+        parts = []
+        if len(own):
+            cuts = np.flatnonzero(np.diff(np.cumsum(b[own] - a[own]) >> 16)) + 1
+            blocks = [b"".join([raw[x:y] for x, y in zip(a[i].tolist(), b[i].tolist())]).decode() for i in np.split(own, cuts)]
+            parts = self._library(blocks)
+            ids = np.concatenate(parts)
+            first = np.flatnonzero(self.opens[ids])
+            if len(first) != len(own):
+                raise ValueError("this vocabulary does not mark the space in front of a word")
+            n[own] = np.diff(np.append(first, len(ids)))
+        rest = np.flatnonzero(~spaced)
+        others = self._library([raw[a[i] : b[i]].decode() for i in rest])
+        n[rest] = [len(x) for x in others]
+        order = np.concatenate([own, rest])
+        ids = np.concatenate([*parts, *others, np.zeros(0, np.uint32)])
+        at = np.zeros(len(a), np.int64)
+        at[order] = np.cumsum(n[order]) - n[order]
+        return _take(ids, at, n), n
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and offsets by text."""
+        whole = np.array(pc.match_substring_regex(texts, self.OTHERSPACE), bool)
+        plain = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
+        data, off = buffers(plain)
+        a, b, at = runs(data, off)
+        keys, first, back = np.unique(span_hashes(data, a, b), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, keys)
+        place[place == len(self.hashes)] = 0
+        new = np.flatnonzero(self.hashes[place] != keys) if len(self.hashes) else np.arange(len(keys))
+        if len(self.hashes) + len(new) > self.keep:
+            new = np.arange(len(keys))
+            self.hashes, self.at, self.n, self.ids = self.hashes[:0], self.at[:0], self.n[:0], self.ids[:0]
+        ids, n = self._new(data, a[first[new]], b[first[new]])
+        put = np.searchsorted(self.hashes, keys[new])
+        self.at = np.insert(self.at, put, len(self.ids) + np.cumsum(n) - n)
+        self.n = np.insert(self.n, put, n)
+        self.hashes = np.insert(self.hashes, put, keys[new])
+        self.ids = np.concatenate([self.ids, ids])
+        place = np.searchsorted(self.hashes, keys)[back]
+        out = _take(self.ids, self.at[place], self.n[place])
+        edge = np.concatenate([[0], np.cumsum(self.n[place])])[at]
+        if whole.any():
+            each = [out[x:y] for x, y in zip(edge[:-1], edge[1:])]
+            for i in np.flatnonzero(whole):
+                each[i] = self._library([texts[int(i)].as_py()])[0]
+            out, edge = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        return out, edge
+
+
+def _take(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """values[start : start + n] of all places, concatenated."""
+    return values[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
 @functools.lru_cache(maxsize=2)
@@ -173,10 +229,10 @@ def encode_texts(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shar
     """Sorted rows (range_no, doc_id, text) to shard rows, one range after the other."""
     coder, part, seq = encoder(path), None, 0
     names, parts, lengths, held = [], [], [], 0
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
 
     def shard() -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(parts), "<u4")
+        ids = np.concatenate(parts)
         row = {"part": part, "seq": seq, "n_docs": len(names), "n_ids": len(ids), "doc_ids": list(names), "blob": pack(ids, np.array(lengths, np.int64))}
         types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types)], names=list(row))
@@ -184,16 +240,16 @@ def encode_texts(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shar
     for batch in pieces(batches):
         ranges = batch.column(batch.schema.get_field_index("range_no")).to_pylist()
         doc_ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-        for at, doc_id, got in zip(ranges, doc_ids, coder.encode(column(batch, "text").to_pylist())):
+        ids, edge = coder.encode(column(batch, "text"))
+        for at, doc_id, x, y in zip(ranges, doc_ids, edge[:-1], edge[1:]):
             if names and (at != part or held >= shard_ids):
                 yield shard()
                 seq = seq + 1 if at == part else 0
                 names, parts, lengths, held = [], [], [], 0
             part = at
-            got += end
             names.append(doc_id)
-            parts.append(got)
-            lengths.append(len(got) // 4)
+            parts += [ids[x:y], end]
+            lengths.append(int(y - x) + 1)
             held += lengths[-1]
     if names:
         yield shard()
