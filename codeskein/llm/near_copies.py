@@ -158,10 +158,10 @@ def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, similar: float = SIMILAR, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """Per row of `docs`: doc_id, class_id, text_id, n_links.
+    """Per row of `docs`: doc_id, class_id, text_id.
 
     class_id is the smallest doc_id of the texts that links of similarity >= `similar` connect; text_id
-    the smallest doc_id with exactly this text; n_links the number of checked links of the text to others.
+    the smallest doc_id with exactly this text.
     Only `doc_id` and `text` are looked at. A null text is an empty one; texts without words are similar to
     equal texts only. Rows may repeat; a null doc_id takes part and names a class only if all its ids are null.
 
@@ -225,12 +225,9 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, star_rounds: int = ST
     )
     checked(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "rest")
 
-    names = comps.join(texts.select("node", "text_id"), "node").withColumn("text_id", F.col("text_id"))
-    class_ids = names.groupBy("comp").agg(F.min("text_id").alias("class_id"))
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-    degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
-    linked = scratch.keep(comps.join(class_ids, "comp").join(degree, "node", "left").select("node", "class_id", "n_links"), "linked")
+    class_ids = comps.join(texts.select("node", "text_id"), "node").groupBy("comp").agg(F.min("text_id").alias("class_id"))
+    linked = scratch.keep(comps.join(class_ids, "comp").select("node", "class_id"), "linked")
     scratch.drop("seats", "seats-rest", "involved", "bodies")
     whole = texts.select("node", "text_id").join(linked, "node", "left")
     found = rows.select("node", "doc_id").join(whole, "node")
-    return found.select("doc_id", F.coalesce("class_id", "text_id").alias("class_id"), "text_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return found.select("doc_id", F.coalesce("class_id", "text_id").alias("class_id"), "text_id")

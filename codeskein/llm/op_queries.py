@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeskein.llm._tables import Scratch
+from codeskein.llm.chat import format_chats, read_chats
+from codeskein.llm.class_lm import scored_texts
 from codeskein.llm.decontaminate import contaminated
+from codeskein.llm.fingerprints import fingerprinted
 from codeskein.llm.language import fit_languages, predict_languages
 from codeskein.llm.mixing import mixed, n_words
 from codeskein.llm.near_copies import near_copies
@@ -64,3 +67,23 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = Scratch(spark, "mixture").keep(docs, "sizes")
     mix = mixed(sized, size=F.col("size"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op3_chats")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_chats(format_chats(rows.unionByName(extra)))
+
+
+@query("op7_class_scores")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7))
+    got = scored_texts(table(spark, sf_dir, "documents"), fold != 2)
+    return got.select("doc_id", (~F.col("training") & F.col("doc_id").isNotNull()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op8_fingerprints")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprinted(table(spark, sf_dir, "documents"))
