@@ -23,6 +23,7 @@ from codeskein.llm._words import M2, M3, column, mix, multisets, pieces, shingle
 REGISTERS, BAND = 125, 5
 SIMILAR = 0.8
 STAR_ROUNDS = 3
+BLOCK = 128
 
 
 def signatures(values: np.ndarray, counts: np.ndarray, off: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
@@ -124,7 +125,74 @@ def _check_rows(similar: float):
                 bags.append([(v[x:y], c[x:y]) for x, y in zip(off[:-1], off[1:])])
             at = zip(left.indices.to_pylist(), right.indices.to_pylist())
             ok = pa.array([similarity(bags[0][i], bags[1][j]) >= similar for i, j in at])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ok], names=["a", "b", "linked"])
+            names = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")]
+            yield pa.RecordBatch.from_arrays(names, names=["a", "b"]).filter(ok)
+
+    return rows
+
+
+def all_similar(values: np.ndarray, counts: np.ndarray, off: np.ndarray, similar: float) -> np.ndarray:
+    """Which pairs of n multisets are similar, n x n: overlaps are sums of products of the indicators `count >= k`."""
+    n = len(off) - 1
+    owner = np.repeat(np.arange(n), np.diff(off))
+    _, feature, seen = np.unique(values, return_inverse=True, return_counts=True)
+    shared = seen[feature] > 1
+    owner, feature, times = owner[shared], feature[shared], counts[shared]
+    low = np.zeros((n, n), np.float32)
+    k = 1
+    while len(times):
+        _, dense = np.unique(feature, return_inverse=True)
+        order = np.argsort(dense, kind="stable")
+        o, f = owner[order], dense[order]
+        for begin in range(0, int(f[-1]) + 1, 4096):
+            x, y = np.searchsorted(f, [begin, begin + 4096])
+            part = np.zeros((n, min(4096, int(f[-1]) + 1 - begin)), np.float32)
+            part[o[x:y], f[x:y] - begin] = 1.0
+            low += part @ part.T
+        more = times > k
+        owner, feature, times, k = owner[more], feature[more], times[more], k + 1
+    size = np.zeros(n)
+    np.add.at(size, np.repeat(np.arange(n), np.diff(off)), counts)
+    return low / np.maximum(size[:, None] + size - low, 1) >= similar
+
+
+def _block_rows(similar: float):
+    """Rows (task, node, text), sorted by task, to links that connect all similar texts of a task."""
+
+    def links(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        nodes = [n for b in batches for n in b.column(1).to_pylist()]
+        bags = [multisets(*shingles(*word_hashes(column(p, "text")))) for p in pieces(iter(batches))]
+        sizes = np.concatenate([np.diff(off) for _, _, off in bags])
+        off = np.concatenate([[0], np.cumsum(sizes)])
+        near = all_similar(np.concatenate([v for v, _, _ in bags]), np.concatenate([c for _, c, _ in bags]), off, similar)
+        left = np.ones(len(nodes), bool)
+        out: list[tuple] = []
+        for root in range(len(nodes)):  # trees that span what is connected
+            todo = [root] if left[root] else []
+            left[root] = False
+            while todo:
+                i = todo.pop()
+                for j in np.flatnonzero(near[i] & left):
+                    left[j] = False
+                    out.append((nodes[i], nodes[j]))
+                    todo.append(int(j))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tasks = batch.column(0).to_pylist()
+            cuts = [0, *[i for i in range(1, len(tasks)) if tasks[i] != tasks[i - 1]], len(tasks)]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                if held and tasks[x] != last:
+                    yield links(held)
+                    held = []
+                held.append(batch.slice(x, y - x))
+                last = tasks[x]
+        if held:
+            yield links(held)
 
     return rows
 
@@ -165,10 +233,11 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, star_rounds: int = ST
     Only `doc_id` and `text` are looked at. A null text is an empty one; texts without words are similar to
     equal texts only. Rows may repeat; a null doc_id takes part and names a class only if all its ids are null.
 
-    Candidates are texts that share a band. First each text is compared with one other in each round, the one
-    its buckets agree on, so a group of thousands of copies costs one comparison a copy, then falls together.
-    Then all pairs of a bucket that are still in different components, and whose sizes allow it, are compared:
-    no candidate pair between different components stays unchecked. A pair within a component changes nothing.
+    Candidates are texts that share a band; texts that bands connect form a group. A group of at most BLOCK texts is
+    compared in whole by one task. In a larger one each text is first compared with one other a round, the head of one of its
+    buckets, so that thousands of copies fall together at a comparison a copy. What then still shares a bucket with
+    another component is compared block against block: no candidate pair between different components stays unchecked,
+    and a pair within a component changes nothing.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-copies")
@@ -185,49 +254,84 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, star_rounds: int = ST
     involved = scratch.keep(seats.select("node").distinct(), "involved")
     bodies = scratch.keep(base.select("node", "text").join(involved, "node", "left_semi").dropDuplicates(["node"]), "bodies")
 
-    pairs_seen, links, comps = None, None, None
-
-    def checked(pairs: DataFrame, name: str) -> None:
-        nonlocal pairs_seen, links, comps
-        pairs = pairs.distinct()
-        if pairs_seen is not None:
-            pairs = pairs.join(pairs_seen.select("a", "b"), ["a", "b"], "left_anti")
-        right = pairs.join(bodies.selectExpr("node b", "text text_b"), "b")
-        full = right.join(bodies.selectExpr("node a", "text text_a"), "a").select("a", "b", "text_a", "text_b")
-        done = scratch.keep(full.mapInArrow(_check_rows(similar), "a binary, b binary, linked boolean"), f"checked-{name}")
-        pairs_seen = done if pairs_seen is None else pairs_seen.unionByName(done)
-        links = pairs_seen.where("linked").select("a", "b")
-        comps = components(links, scratch, f"comps-{name}")
-
-    def placed() -> DataFrame:
-        """Seats of buckets that hold more than one component."""
-        own = F.coalesce("comp", "node")
-        now = (seats if comps is None else seats.join(comps, "node", "left")).withColumn("comp", own if comps is not None else F.col("node"))
-        split = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-        return now.join(split, "bucket")
-
-    fits = (F.col("size") >= similar * F.col("head.size")) & (F.col("head.size") >= similar * F.col("size"))
-    for r in range(star_rounds):
-        now = scratch.keep(placed(), f"seats-{r}")
-        order = F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "comp", "size")
-        heads = now.groupBy("bucket").agg(F.min(order).alias("head"))
-        rivals = now.join(heads, "bucket").where((F.col("comp") != F.col("head.comp")) & fits)
-        chosen = rivals.groupBy("node").agg(F.min("head").alias("head"))
-        checked(chosen.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")), str(r))
-        scratch.drop(f"seats-{r}")
-    rest = scratch.keep(placed(), "seats-rest")
-    one, two = rest.alias("x"), rest.alias("y")
-    cross = one.join(
-        two,
-        F.expr(
-            f"x.bucket = y.bucket AND x.node < y.node AND x.comp <> y.comp AND x.size >= {similar} * y.size AND y.size >= {similar} * x.size"
-        ),
-    )
-    checked(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "rest")
+    def grouped(table: DataFrame, name: str) -> DataFrame:
+        """(node, grp): nodes that share buckets of `table`, directly or by way of others."""
+        heads = table.groupBy("bucket").agg(F.min("node").alias("b"))
+        edges = table.join(heads, "bucket").where("node <> b").select(F.col("node").alias("a"), "b")
+        return scratch.keep(components(edges, scratch, name).withColumnRenamed("comp", "grp"), f"{name}-members")
+
+    def in_blocks(members: DataFrame, name: str) -> DataFrame:
+        """Links among (grp, node, comp): all pairs of different components of a group, block against block.
+
+        The largest component of a group, if it fills a block, is compared with the rest only.
+        """
+        sizes = members.groupBy("grp", "comp").agg(F.count("*").alias("n"))
+        of = sizes.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"))
+        rows = members.join(of, "grp").withColumn("core", (F.col("comp") == F.col("main.comp")) & (F.col("main.n") > BLOCK))
+        core = F.when(F.col("main.n") > BLOCK, F.col("main.n")).otherwise(0)
+        last_p, last_q = (F.greatest(F.ceil(x / BLOCK), F.lit(1)) - 1 for x in (core, F.col("n") - core))
+        rows = rows.select("grp", "node", "core", last_p.alias("last_p"), last_q.alias("last_q"), (core > 0).alias("some"))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("core"), F.col("last_p")).otherwise(F.col("last_q")) + 1))
+        others = F.sequence(F.lit(0), F.when(F.col("core"), F.col("last_q")).otherwise(F.col("last_p"))).cast("array<long>")
+        side = F.transform(
+            F.when(F.col("some"), others).otherwise(F.array().cast("array<long>")),
+            lambda k: F.struct(
+                F.lit(0).alias("kind"), F.when(F.col("core"), F.col("own")).otherwise(k).alias("i"), F.when(F.col("core"), k).otherwise(F.col("own")).alias("j")
+            ),
+        )
+        rest = F.transform(
+            F.sequence(F.lit(0), F.col("last_q")).cast("array<long>"),
+            lambda k: F.struct(F.lit(1).alias("kind"), F.least("own", k).alias("i"), F.greatest("own", k).alias("j")),
+        )
+        tasks = F.when(F.col("core"), side).otherwise(F.concat(side, rest))
+        dealt = rows.join(bodies, "node").select("grp", F.explode(tasks).alias("t"), "node", "text")
+        dealt = dealt.select(F.concat_ws(":", F.hex("grp"), "t.kind", "t.i", "t.j").alias("task"), "node", "text")
+        dealt = dealt.repartition("task").sortWithinPartitions("task")
+        return scratch.keep(dealt.mapInArrow(_block_rows(similar), "a binary, b binary"), f"links-{name}")
+
+    groups = grouped(seats, "groups")
+    members = groups.select("grp", "node", F.col("node").alias("comp"))
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
+    large = scratch.keep(groups.join(sizes.where(F.col("n") > BLOCK).select("grp"), "grp").select("node"), "large")
+    small = members.join(sizes.where(F.col("n") <= BLOCK).select("grp"), "grp")
+    links = in_blocks(small, "small")
+
+    if not large.isEmpty():
+        crowd = scratch.keep(seats.join(large, "node"), "crowd")
+        comps = None
+        found = None
+
+        def placed() -> DataFrame:
+            """Seats of buckets that hold more than one component."""
+            if comps is None:
+                now = crowd.withColumn("comp", F.col("node"))
+            else:
+                now = crowd.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            split = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+            return now.join(split.select("bucket"), "bucket")
+
+        fits = (F.col("size") >= similar * F.col("head.size")) & (F.col("head.size") >= similar * F.col("size"))
+        for r in range(star_rounds):
+            now = scratch.keep(placed(), f"seats-{r}")
+            order = F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "comp", "size")
+            heads = now.groupBy("bucket").agg(F.min(order).alias("head"))
+            rivals = now.join(heads, "bucket").where((F.col("comp") != F.col("head.comp")) & fits)
+            chosen = rivals.groupBy("node").agg(F.min("head").alias("head"))
+            pairs = chosen.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+            full = pairs.join(bodies.selectExpr("node b", "text text_b"), "b").join(bodies.selectExpr("node a", "text text_a"), "a")
+            new = full.select("a", "b", "text_a", "text_b").mapInArrow(_check_rows(similar), "a binary, b binary")
+            new = scratch.keep(new, f"links-{r}")
+            found = new if found is None else found.unionByName(new)
+            comps = components(found, scratch, f"comps-{r}")
+            scratch.drop(f"seats-{r}")
+        rest = scratch.keep(placed(), "rest")
+        own = rest.select("node", "comp").distinct().join(grouped(rest, "rest-groups"), "node")
+        links = links.unionByName(found).unionByName(in_blocks(own.select("grp", "node", "comp"), "rest"))
+    comps = components(links, scratch, "comps")
 
     class_ids = comps.join(texts.select("node", "text_id"), "node").groupBy("comp").agg(F.min("text_id").alias("class_id"))
     linked = scratch.keep(comps.join(class_ids, "comp").select("node", "class_id"), "linked")
-    scratch.drop("seats", "seats-rest", "involved", "bodies")
+    scratch.drop("seats", "involved", "bodies", "large", "crowd", "rest")
     whole = texts.select("node", "text_id").join(linked, "node", "left")
     found = rows.select("node", "doc_id").join(whole, "node")
     return found.select("doc_id", F.coalesce("class_id", "text_id").alias("class_id"), "text_id")
