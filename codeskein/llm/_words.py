@@ -52,10 +52,13 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = P
             yield batch.slice(a, b - a)
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and for each text the n + 1 offsets into the words."""
+def word_spans(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and for each text the n + 1 offsets into the words.
+
+    `space` says of each byte value whether it parts words.
+    """
     word = np.zeros(len(data) + 1, bool)
-    np.logical_not(SPACE[data], out=word[:-1])
+    np.logical_not(space[data], out=word[:-1])
     first = word.copy()
     first[1:] &= ~word[:-1]
     edges = off[(off > 0) & (off < len(data))]

@@ -13,8 +13,10 @@ from codeskein.llm.class_lm import scored_texts
 from codeskein.llm.decontaminate import contaminated
 from codeskein.llm.fingerprints import fingerprinted
 from codeskein.llm.language import fit_languages, predict_languages
+from codeskein.llm.licenses import license_scan
 from codeskein.llm.mixing import mixed, n_words
 from codeskein.llm.near_copies import near_copies
+from codeskein.llm.personal import KINDS, personal_data, span_text
 from codeskein.llm.token_files import token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +89,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_fingerprints")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprinted(table(spark, sf_dir, "documents"))
+
+
+@query("op1_licenses")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op2_personal_data")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("base_spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_text("base_spans"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
