@@ -22,8 +22,10 @@ from codeskein.llm._words import M2, M3, column, mix, multisets, pieces, shingle
 
 REGISTERS, BAND = 125, 5
 SIMILAR = 0.8
-STAR_ROUNDS = 3
+STAR_BANDS = 4
 BLOCK = 128
+#: Words of 64 bits in the map that spares texts without candidates the shuffle; 8 MB at most.
+MAP_WORDS = 1 << 20
 
 
 def signatures(values: np.ndarray, counts: np.ndarray, off: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
@@ -204,8 +206,9 @@ def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     smallest one, then the smallest tells all. Both sides of a hot node are grouped sums, and a written
     table ends each round. Long chains shrink by half or more a round.
     """
-    spark, r = links.sparkSession, 0
+    r = 0
     edges = scratch.keep(links.selectExpr("greatest(a, b) u", "least(a, b) v").distinct(), f"{label}-0")
+    was = None
     while True:
         both = edges.unionByName(edges.selectExpr("v u", "u v"))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
@@ -215,17 +218,29 @@ def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
         small = large.join(near, "u").where("v <> low").selectExpr("v u", "low v")
         joined = small.unionByName(near.selectExpr("u", "low v")).where("u <> v").distinct()
         r += 1
-        fresh = scratch.keep(joined, f"{label}-{r}")
-        was, now = (e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for e in (edges, fresh))
+        edges = scratch.keep(joined, f"{label}-{r}")
         scratch.drop(f"{label}-{r - 1}")
-        edges = fresh
-        if was == now:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == was or not now[0]:
             break
+        was = now
     ends = edges.selectExpr("u node", "v comp")
     return ends.unionByName(edges.selectExpr("v node", "v comp").distinct())
 
 
-def near_copies(docs: DataFrame, similar: float = SIMILAR, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose node may be among the wanted ones: by a map of MAP_WORDS words, which has a fixed size and is broadcast.
+
+    A full map lets all rows pass; the exact join that follows is what decides.
+    """
+    h = F.xxhash64("node")
+    word, bit = F.pmod(F.shiftrightunsigned(h, 6), F.lit(MAP_WORDS)).alias("word"), F.pmod(h, F.lit(64)).cast("int")
+    bits = wanted.select(word, F.expr("shiftleft(1L, cast(pmod(xxhash64(node), 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marked = rows.select("*", word).join(F.broadcast(bits), "word")
+    return marked.where(F.getbit("bits", bit) == 1).drop("word", "bits")
+
+
+def near_copies(docs: DataFrame, similar: float = SIMILAR, star_bands: int = STAR_BANDS) -> DataFrame:
     """Per row of `docs`: doc_id, class_id, text_id.
 
     class_id is the smallest doc_id of the texts that links of similarity >= `similar` connect; text_id
@@ -234,10 +249,10 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, star_rounds: int = ST
     equal texts only. Rows may repeat; a null doc_id takes part and names a class only if all its ids are null.
 
     Candidates are texts that share a band; texts that bands connect form a group. A group of at most BLOCK texts is
-    compared in whole by one task. In a larger one each text is first compared with one other a round, the head of one of its
-    buckets, so that thousands of copies fall together at a comparison a copy. What then still shares a bucket with
-    another component is compared block against block: no candidate pair between different components stays unchecked,
-    and a pair within a component changes nothing.
+    compared in whole by one task. In a larger one each text is first compared with the heads of its buckets in the first
+    `star_bands` bands, so that thousands of copies fall together at a few comparisons a copy. What then still shares a
+    bucket with another component is compared block against block: no candidate pair between different components stays
+    unchecked, and a pair within a component changes nothing.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-copies")
@@ -248,11 +263,11 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, star_rounds: int = ST
     texts = scratch.keep(
         rows.groupBy("node").agg(F.min("doc_id").alias("text_id"), F.min("size").alias("size"), F.min("bands").alias("bands")), "texts"
     )
-    seats = texts.select("node", "size", F.explode("bands").alias("bucket"))
+    seats = texts.select("node", "size", F.posexplode("bands").alias("band", "bucket"))
     shared = seats.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     seats = scratch.keep(seats.join(shared, "bucket"), "seats")
     involved = scratch.keep(seats.select("node").distinct(), "involved")
-    bodies = scratch.keep(base.select("node", "text").join(involved, "node", "left_semi").dropDuplicates(["node"]), "bodies")
+    bodies = scratch.keep(_likely(base.select("node", "text"), involved).join(involved, "node", "left_semi").dropDuplicates(["node"]), "bodies")
 
     def grouped(table: DataFrame, name: str) -> DataFrame:
         """(node, grp): nodes that share buckets of `table`, directly or by way of others."""
@@ -298,33 +313,16 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, star_rounds: int = ST
 
     if not large.isEmpty():
         crowd = scratch.keep(seats.join(large, "node"), "crowd")
-        comps = None
-        found = None
-
-        def placed() -> DataFrame:
-            """Seats of buckets that hold more than one component."""
-            if comps is None:
-                now = crowd.withColumn("comp", F.col("node"))
-            else:
-                now = crowd.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            split = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-            return now.join(split.select("bucket"), "bucket")
-
+        heads = crowd.where(F.col("band") < star_bands).groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size")).alias("head"))
         fits = (F.col("size") >= similar * F.col("head.size")) & (F.col("head.size") >= similar * F.col("size"))
-        for r in range(star_rounds):
-            now = scratch.keep(placed(), f"seats-{r}")
-            order = F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "comp", "size")
-            heads = now.groupBy("bucket").agg(F.min(order).alias("head"))
-            rivals = now.join(heads, "bucket").where((F.col("comp") != F.col("head.comp")) & fits)
-            chosen = rivals.groupBy("node").agg(F.min("head").alias("head"))
-            pairs = chosen.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
-            full = pairs.join(bodies.selectExpr("node b", "text text_b"), "b").join(bodies.selectExpr("node a", "text text_a"), "a")
-            new = full.select("a", "b", "text_a", "text_b").mapInArrow(_check_rows(similar), "a binary, b binary")
-            new = scratch.keep(new, f"links-{r}")
-            found = new if found is None else found.unionByName(new)
-            comps = components(found, scratch, f"comps-{r}")
-            scratch.drop(f"seats-{r}")
-        rest = scratch.keep(placed(), "rest")
+        rivals = crowd.join(heads, "bucket").where((F.col("node") != F.col("head.node")) & fits)
+        pairs = rivals.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+        full = pairs.join(bodies.selectExpr("node b", "text text_b"), "b").join(bodies.selectExpr("node a", "text text_a"), "a")
+        found = scratch.keep(full.select("a", "b", "text_a", "text_b").mapInArrow(_check_rows(similar), "a binary, b binary"), "star-links")
+        stars = components(found, scratch, "stars")
+        now = crowd.join(stars, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        split = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        rest = scratch.keep(now.join(split.select("bucket"), "bucket"), "rest")
         own = rest.select("node", "comp").distinct().join(grouped(rest, "rest-groups"), "node")
         links = links.unionByName(found).unionByName(in_blocks(own.select("grp", "node", "comp"), "rest"))
     comps = components(links, scratch, "comps")
