@@ -16,7 +16,7 @@ M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.ui
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,6 +50,7 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = P
         cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [batch.num_rows]])
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # the worker lives on and may sit idle
 
 
 def word_spans(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
