@@ -1,8 +1,8 @@
 """Brown class bigrams: words in classes by exchange, class transitions and word emissions give scores.
 
 The counts cover all training texts: one pass counts words, one writes the texts as word numbers, and the rest work on those.
-Words go by the number of times they occur: the HEAD_WORDS most frequent ones (twice at least) have numbers and
-classes of their own, all others are of the class TAIL, which also stands for words never seen. Exchange runs over the
+Words go by the number of times they occur: the most frequent ones, HEAD_WORDS at most and twice each at least, have
+numbers and classes of their own, all others are of the class TAIL, which also stands for words never seen. Exchange runs over the
 pair counts of the CLUSTERED most frequent words; then every other numbered word takes the class that gains most
 from the classes before it. The end of a text is a class of its own and stands before its first word.
 """
@@ -237,7 +237,13 @@ def scored_texts(docs: DataFrame, training: Column, head_words: int = HEAD_WORDS
     texts = rows.where("training").count()
     all_words, all_tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
 
-    top = words.where("n > 1").orderBy(F.desc("n"), "word").limit(head_words).toArrow()
+    # the head is cut where counts change by a 64th of a power of two, so that no task ranks the words
+    level = F.floor(F.log2(F.col("n").cast("double")) * 64)
+    levels = words.where("n > 1").groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()
+    fitting = np.cumsum([r["words"] for r in levels]) <= head_words
+    least = levels[int(fitting.sum()) - 1]["level"] if fitting.any() else None
+    top = words.where(F.lit(False) if least is None else (F.col("n") > 1) & (level >= least)).toArrow()
+    top = top.sort_by([("n", "descending"), ("word", "ascending")])
     hashes = top.column(0).to_numpy().view(np.uint64)
     # numbers in order of frequency; the last two places are TAIL_ID and END_ID
     counts = np.append(top.column(1).to_numpy(), [0, texts]).astype(np.int64)

@@ -135,7 +135,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
     """Rows (doc_id, license, coverage, copies, start, end): templates that a document covers to at least `coverage`.
 
     coverage is that of the best passage, start and end the code points its matched words span (the first of equally
-    good ones), copies the number of passages that reach the bound. Words are runs of letters and digits, case aside.
+    good ones), copies the number of passages that reach the bound. Of templates on overlapping passages the one with the
+    largest coverage, then the most words, counts. Words are runs of letters and digits, case aside.
     Null and empty texts have no rows; repeated rows have rows each. Only doc_id and text are looked at.
 
     A text is aligned only with templates of which it has enough words at all; no more can be matched than that.
@@ -165,24 +166,28 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
             could = most >= coverage - 1e-9
             data, _ = buffers(column(batch, "text"))
             found: list[tuple] = []
+            per_doc: dict[int, list[tuple]] = {}
             edges = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             for i, k in zip(*np.nonzero(could)):
                 seq = sequences[k]
                 own = word[edges[i] : edges[i + 1]]
                 use = np.flatnonzero(np.isin(own, seq))
                 text, where = own[use].tolist(), at[edges[i] : edges[i + 1]][use]
-                best, copies = None, 0
                 for low, high in passages(text, seq):
                     got = aligned(text[low:high], seq)
                     share = len(got) / len(seq)
                     if share >= coverage - 1e-9:
-                        copies += 1
-                        if best is None or share > best[0]:
-                            best = (share, where[low + got[0][0]], where[low + got[-1][0]])
-                if best:
+                        per_doc.setdefault(int(i), []).append((-share, -len(got), where[low + got[0][0]], where[low + got[-1][0]], int(k)))
+            for i, matches in per_doc.items():
+                kept: list[tuple] = []
+                for m in sorted(matches):
+                    if not any(a <= m[3] and m[2] <= b for _, _, a, b, _ in kept):
+                        kept.append(m)
+                for k in sorted({m[4] for m in kept}):
+                    own = [m for m in kept if m[4] == k]
                     begin = text_off[i]
-                    span = [len(data[begin:x].tobytes().decode()) for x in (starts[best[1]], ends[best[2]])]
-                    found.append((int(i), names[k], best[0], copies, *span))
+                    span = [len(data[begin:x].tobytes().decode()) for x in (starts[own[0][2]], ends[own[0][3]])]
+                    found.append((i, names[k], -own[0][0], len(own), *span))
             cols = list(zip(*found)) or [[]] * 6
             ids = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(cols[0], pa.int64()))
             types = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
