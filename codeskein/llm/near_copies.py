@@ -228,16 +228,17 @@ def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     return ends.unionByName(edges.selectExpr("v node", "v comp").distinct())
 
 
-def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows whose node may be among the wanted ones: by a map of MAP_WORDS words, which has a fixed size and is broadcast.
+def _likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be among the wanted ones: by a map of MAP_WORDS words, which has a fixed size and is broadcast.
 
     A full map lets all rows pass; the exact join that follows is what decides.
     """
-    h = F.xxhash64("node")
-    word, bit = F.pmod(F.shiftrightunsigned(h, 6), F.lit(MAP_WORDS)).alias("word"), F.pmod(h, F.lit(64)).cast("int")
-    bits = wanted.select(word, F.expr("shiftleft(1L, cast(pmod(xxhash64(node), 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    marked = rows.select("*", word).join(F.broadcast(bits), "word")
-    return marked.where(F.getbit("bits", bit) == 1).drop("word", "bits")
+    h = F.xxhash64(key)
+    word = F.pmod(F.shiftrightunsigned(h, 6), F.lit(MAP_WORDS)).alias("_word")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))").alias("_bit")
+    bits = wanted.select(word, bit).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.select("*", word).join(F.broadcast(bits), "_word")
+    return marked.where(F.getbit("_bits", F.pmod(h, F.lit(64)).cast("int")) == 1).drop("_word", "_bits")
 
 
 def near_copies(docs: DataFrame, similar: float = SIMILAR, star_bands: int = STAR_BANDS) -> DataFrame:
@@ -264,10 +265,8 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, star_bands: int = STA
         rows.groupBy("node").agg(F.min("doc_id").alias("text_id"), F.min("size").alias("size"), F.min("bands").alias("bands")), "texts"
     )
     seats = texts.select("node", "size", F.posexplode("bands").alias("band", "bucket"))
-    shared = seats.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    seats = scratch.keep(seats.join(shared, "bucket"), "seats")
-    involved = scratch.keep(seats.select("node").distinct(), "involved")
-    bodies = scratch.keep(_likely(base.select("node", "text"), involved).join(involved, "node", "left_semi").dropDuplicates(["node"]), "bodies")
+    shared = scratch.keep(seats.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
+    seats = scratch.keep(_likely(seats, shared, "bucket").join(shared, "bucket"), "seats")
 
     def grouped(table: DataFrame, name: str) -> DataFrame:
         """(node, grp): nodes that share buckets of `table`, directly or by way of others."""
@@ -275,6 +274,11 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, star_bands: int = STA
         edges = table.join(heads, "bucket").where("node <> b").select(F.col("node").alias("a"), "b")
         return scratch.keep(components(edges, scratch, name).withColumnRenamed("comp", "grp"), f"{name}-members")
 
+    def compared(dealt: DataFrame, name: str) -> DataFrame:
+        """Links among the texts of each task."""
+        ordered = dealt.repartition("task").sortWithinPartitions("task")
+        return scratch.keep(ordered.mapInArrow(_block_rows(similar), "a binary, b binary"), f"links-{name}")
+
     def in_blocks(members: DataFrame, name: str) -> DataFrame:
         """Links among (grp, node, comp): all pairs of different components of a group, block against block.
 
@@ -299,17 +303,16 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, star_bands: int = STA
             lambda k: F.struct(F.lit(1).alias("kind"), F.least("own", k).alias("i"), F.greatest("own", k).alias("j")),
         )
         tasks = F.when(F.col("core"), side).otherwise(F.concat(side, rest))
-        dealt = rows.join(bodies, "node").select("grp", F.explode(tasks).alias("t"), "node", "text")
-        dealt = dealt.select(F.concat_ws(":", F.hex("grp"), "t.kind", "t.i", "t.j").alias("task"), "node", "text")
-        dealt = dealt.repartition("task").sortWithinPartitions("task")
-        return scratch.keep(dealt.mapInArrow(_block_rows(similar), "a binary, b binary"), f"links-{name}")
+        dealt = rows.join(bodies.select("node", "text"), "node").select("grp", F.explode(tasks).alias("t"), "node", "text")
+        return compared(dealt.select(F.concat_ws(":", F.hex("grp"), "t.kind", "t.i", "t.j").alias("task"), "node", "text"), name)
 
     groups = grouped(seats, "groups")
-    members = groups.select("grp", "node", F.col("node").alias("comp"))
     sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
-    large = scratch.keep(groups.join(sizes.where(F.col("n") > BLOCK).select("grp"), "grp").select("node"), "large")
-    small = members.join(sizes.where(F.col("n") <= BLOCK).select("grp"), "grp")
-    links = in_blocks(small, "small")
+    placed = scratch.keep(groups.join(sizes, "grp"), "placed")
+    bodies = _likely(base.select("node", "text"), placed, "node").join(placed, "node").dropDuplicates(["node"])
+    bodies = scratch.keep(bodies.select("node", "grp", "n", "text"), "bodies")
+    links = compared(bodies.where(F.col("n") <= BLOCK).select(F.hex("grp").alias("task"), "node", "text"), "small")
+    large = scratch.keep(placed.where(F.col("n") > BLOCK).select("node"), "large")
 
     if not large.isEmpty():
         crowd = scratch.keep(seats.join(large, "node"), "crowd")
@@ -329,7 +332,7 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, star_bands: int = STA
 
     class_ids = comps.join(texts.select("node", "text_id"), "node").groupBy("comp").agg(F.min("text_id").alias("class_id"))
     linked = scratch.keep(comps.join(class_ids, "comp").select("node", "class_id"), "linked")
-    scratch.drop("seats", "involved", "bodies", "large", "crowd", "rest")
+    scratch.drop("shared", "seats", "placed", "bodies", "large", "crowd", "rest")
     whole = texts.select("node", "text_id").join(linked, "node", "left")
     found = rows.select("node", "doc_id").join(whole, "node")
     return found.select("doc_id", F.coalesce("class_id", "text_id").alias("class_id"), "text_id")

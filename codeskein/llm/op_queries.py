@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeskein.llm import op_oracles
 from codeskein.llm._tables import Scratch
 from codeskein.llm.chat import format_chats, read_chats
 from codeskein.llm.class_lm import scored_texts
@@ -53,7 +54,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-@query("op5_near_copies")
+@query("op5_near_copies", op_oracles.NEAR_COPIES)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
@@ -63,7 +64,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op6_mixture")
+@query("op6_mixture", op_oracles.MIXTURE)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     sized = Scratch(spark, "mixture").keep(docs, "sizes")
@@ -71,7 +72,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-@query("op3_chats")
+@query("op3_chats", op_oracles.CHATS)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
