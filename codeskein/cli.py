@@ -35,10 +35,11 @@ def _show(rows, columns: tuple[str, ...]) -> None:
 def index(args, store, engine, root) -> None:
     indexer = CodeIndexer(str(root), store)
     if args.full or store.nodes.isEmpty():
-        counts, labels = indexer.index_full(), ("files_processed", "functions", "classes", "imports")
+        counts = indexer.index_full()
     else:
-        counts, labels = indexer.index_incremental(), ("files_added", "files_modified", "files_deleted")
-    for label in labels:  # outside of git an incremental run is a full one, with its own counts
+        counts = indexer.index_incremental()
+    full = ("files_processed", "functions", "classes", "imports")
+    for label in (*full, "files_added", "files_modified", "files_deleted"):  # an incremental run may turn into a full one
         if label in counts:
             print(f"{label.replace('_', ' ').capitalize()}: {counts[label]}")
     if args.resolve:

@@ -14,13 +14,17 @@ def parse_name_status(lines: DataFrame, column: str = "line") -> DataFrame:
     The status is its first letter. Lines without a path are skipped.
     """
     parts = F.split(F.col(column), "\t")
-    status = F.substring(parts[0], 1, 1)
-    first, second = F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
+    return from_fields(lines.select(parts[0].alias("status"), F.get(parts, F.lit(1)).alias("first"), F.get(parts, F.lit(2)).alias("second")))
+
+
+def from_fields(fields: DataFrame) -> DataFrame:
+    """Changes from (status, first, second): the path, or the old and the new path of a rename."""
+    status = F.substring("status", 1, 1)
     renamed = status == "R"
-    return lines.select(
-        F.when(renamed, second).otherwise(first).alias("path"),
+    return fields.select(
+        F.when(renamed, F.col("second")).otherwise(F.col("first")).alias("path"),
         status.alias("status"),
-        F.when(renamed, first).alias("old_path"),
+        F.when(renamed, F.col("first")).alias("old_path"),
     ).filter((F.col("path") != "") & (F.col("status") != ""))
 
 

@@ -24,7 +24,7 @@ def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.lit(2).alias("part"), F.concat_ws("\t", "source_id", "target_id", "type").alias("id"), arrow.alias("line")
     )
     # The lines around the body.
-    head = ["digraph CodeKnowledgeGraph {", "  rankdir=LR;", "  node [shape=box];"]
+    head = ["digraph CodeGraph {", "  rankdir=LR;", "  node [shape=box];"]
     frame = [(0, str(i), line) for i, line in enumerate(head)] + [(3, "", "}")]
     rows = spark.createDataFrame(frame, "part int, id string, line string")
     return rows.unionByName(node_rows).unionByName(edge_rows)
@@ -50,7 +50,7 @@ def stats_text(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     return counts.agg(
         F.concat(
-            F.lit("# Code Knowledge Graph Statistics\n\nTotal Nodes: "),
+            F.lit("# Graph Statistics\n\nTotal Nodes: "),
             total("node"),
             F.lit("\nTotal Edges: "),
             total("edge"),

@@ -57,20 +57,25 @@ def edges_to(edges: DataFrame, node_id: str, edge_type: str | None = None) -> Da
 
 def search_nodes(
     nodes: DataFrame,
-    predicate: Column | Callable[..., bool],
+    predicate: Column | Callable,
     types: Iterable[str] = (),
-    columns: tuple[str, ...] = ("id", "type", "name"),
+    columns: Iterable[str] | None = None,
+    vectorized: bool = False,
 ) -> DataFrame:
     """Nodes that satisfy a predicate.
 
-    A Column stays inside the compiled plan. A Python callable gets the named columns as a
-    dict per row, after the type filter; only those columns leave the JVM, in Arrow batches.
+    A Column stays inside the compiled plan and is the first choice. A Python callable gets each node's
+    fields as a dict, after the type filter; naming `columns` spares the others the way out of the JVM.
+    With `vectorized` it gets a pandas DataFrame of many nodes and returns a Series of truth values.
     """
     kept = nodes_of_type(nodes, *types)
     if not isinstance(predicate, Column):
-        test = predicate
-        accepts = F.udf(lambda row: bool(test(row.asDict(recursive=True))), T.BooleanType(), useArrow=True)
-        predicate = accepts(F.struct(*columns))
+        test, fields = predicate, F.struct(*(columns or nodes.columns))
+        if vectorized:
+            accepts = F.pandas_udf(lambda rows: test(rows).astype(bool), T.BooleanType())
+        else:
+            accepts = F.udf(lambda row: bool(test(row.asDict(recursive=True))), T.BooleanType(), useArrow=True)
+        predicate = accepts(fields)
     return kept.filter(predicate)
 
 

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from codeskein.functions import text, vectors
 
-# The shortest possible context block: "# FILE: " plus an empty name.
-_SHORTEST_BLOCK = 8
-
 
 def ranked(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """First `k` rows in the given order with `rank` 1..k. Only those rows meet in one task."""
@@ -81,12 +78,15 @@ def similarity(distance: Column) -> Column:
 def pack_context(rows: DataFrame, *order: Column, max_length: int = 4000) -> DataFrame:
     """One row (context): blocks in order, up to the first that would pass `max_length`.
 
-    Every block has at least `_SHORTEST_BLOCK` characters, so no more than `max_length` divided by
-    that can fit: cutting there loses nothing and keeps the running sum to a few hundred rows.
+    No more blocks fit than `max_length` divided by the length of the shortest one, empty ones aside;
+    cutting there loses nothing and keeps the running sum to about as many rows.
     """
-    most = max_length // _SHORTEST_BLOCK + 1
-    blocks = ranked(rows.withColumn("block", text.context_block()), most, *order)
+    blocks = rows.withColumn("block", text.context_block())
+    size = F.length("block")
+    least, empty = blocks.agg(F.min(F.when(size > 0, size)), F.count_if(F.coalesce(size, F.lit(0)) == 0)).first()
+    most = max_length // least + 1 + empty if least else max(1, empty)
+    kept = ranked(blocks, most, *order)
     so_far = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fitting = blocks.withColumn("total", F.sum(F.length("block")).over(so_far)).filter(F.col("total") <= max_length)
+    fitting = kept.withColumn("total", F.sum(F.length("block")).over(so_far)).filter(F.col("total") <= max_length)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "block")))
     return fitting.agg(F.array_join(F.transform(ordered, lambda b: b["block"]), "\n\n").alias("context"))

@@ -76,7 +76,10 @@ class Outline:
             i = self.find("{;", i)
             if i >= len(self.code) or self.code[i] == ";":
                 return -1
-            if not re.search(type_marks, self.code[max(i - 40, 0) : i].rstrip()):
+            end = i
+            while end and self.code[end - 1].isspace():  # comments are masked by blanks of any length
+                end -= 1
+            if not re.search(type_marks, self.code[max(end - 40, 0) : end]):
                 return i
             i = self.closing(i) + 1
 

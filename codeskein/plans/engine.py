@@ -53,8 +53,10 @@ class GraphTraversal:
     def find_central_nodes(self, top_k: int = 10) -> DataFrame:
         return aggregates.central_nodes(self.store.nodes, self.store.edges, top_k)
 
-    def search_nodes(self, predicate, node_types: Iterable[str] = ()) -> DataFrame:
-        return lookup.search_nodes(self.store.nodes, predicate, node_types)
+    def search_nodes(
+        self, predicate, node_types: Iterable[str] = (), columns: Iterable[str] | None = None, vectorized: bool = False
+    ) -> DataFrame:
+        return lookup.search_nodes(self.store.nodes, predicate, node_types, columns, vectorized)
 
 
 class QueryEngine:

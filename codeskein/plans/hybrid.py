@@ -36,8 +36,11 @@ class QueryResult:
 
 
 def hits_with_nodes(hits: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(rank, id, score): hits that are nodes, renumbered in the same order."""
-    known = hits.join(nodes.select("id"), "id", "left_semi")
+    """(rank, id, score): hits that are nodes, renumbered in the same order.
+
+    An inner join, for ids are unique: of a semi join only the right side, here the large one, could be broadcast.
+    """
+    known = nodes.select("id").join(hits, "id")
     scored = known.select("id", F.col("rank").alias("_hit"), ranking.similarity(F.col("distance")).alias("score"))
     return ranking.ranked(scored, k, F.col("_hit")).select("rank", "id", "score")
 
@@ -63,12 +66,10 @@ def rank_hits(
     )
     if expand:
         near = traversal.expand_hits(edges, hits, depth)
-        known = nodes.select("id", "type")
-        if filter_neighbours and node_types:
-            known = known.filter(F.col("type").isin(*node_types))
-        near = near.join(known.select("id"), "id", "left_semi")
-        found = found.unionByName(
-            near.select("id", "score", F.lit(True).alias("is_neighbour"), "seed_rank", "depth")
-        )
-    best = ranking.ranked(found, max_results, F.desc("score"), *[F.col(c) for c in FINAL_ORDER])
-    return nodes.join(best, "id")
+        found = found.unionByName(near.select("id", "score", F.lit(True).alias("is_neighbour"), "seed_rank", "depth"))
+        found = cut(found, "candidates")
+    # One read of the nodes both drops ids without a node and fetches the fields.
+    fetched = nodes.join(found, "id")
+    if expand and filter_neighbours and node_types:
+        fetched = fetched.filter(~F.col("is_neighbour") | F.col("type").isin(*node_types))
+    return ranking.ranked(fetched, max_results, F.desc("score"), *[F.col(c) for c in FINAL_ORDER])

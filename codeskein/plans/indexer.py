@@ -54,6 +54,7 @@ class CodeIndexer:
     def index_full(self, progress: Progress | None = None) -> dict[str, int]:
         """Scan, parse and store the whole tree in place of what was stored."""
         report = progress or (lambda *_: None)
+        head = self.git.get_current_commit()
         report("scan", 1, 3)
         files = repo_files.scan(
             self.store.spark, self.root, self.registry.supported_extensions(), tuple(self.ignored)
@@ -62,19 +63,24 @@ class CodeIndexer:
         declarations = self._declarations(files)
         report("store", 3, 3)
         self.store.replace_all(self._tables(declarations))
-        self._remember_commit()
+        self._remember_commit(head)
         return symbols.index_counts(declarations).first().asDict()
 
     def index_incremental(self, since_commit: str | None = None, progress: Progress | None = None) -> dict[str, int]:
-        """Apply what git reports as changed: since a commit, or staged and unstaged, and untracked."""
-        if not self.git.is_git_repo():
+        """Apply what git reports as changed since a commit: committed, staged, unstaged, untracked.
+
+        Without an argument that commit is the one of the last run. Where it is unknown, or HEAD no longer
+        descends from it, everything is indexed. The mark moves to HEAD as it was before the listing, and
+        only after all else has succeeded.
+        """
+        since = since_commit or self.last_commit()
+        if not self.git.is_git_repo() or not since or not self.git.has_commit(since):
             return self.index_full(progress)
         report = progress or (lambda *_: None)
         report("changes", 1, 3)
-        if since_commit:
-            found = self.git.get_changes_since(since_commit)
-        else:
-            found = self.git.get_staged_changes().unionByName(self.git.get_unstaged_changes())
+        head = self.git.get_current_commit()
+        found = self.git.get_changes_since(since)
+        found = found.unionByName(self.git.get_staged_changes()).unionByName(self.git.get_unstaged_changes())
         found = cut(changes.with_untracked(found, self.git.get_untracked_files()), "changes")
         report("parse", 2, 3)
         wanted = changes.paths_to_index(found, tuple(self.ignored))
@@ -82,7 +88,7 @@ class CodeIndexer:
         report("store", 3, 3)
         removed = changes.removed_paths(found).select(paths.file_id(F.col("path")).alias("file_id"))
         self._replace(removed, declarations)
-        self._remember_commit()
+        self._remember_commit(head)
         return changes.change_counts(found, symbols.indexed_files(declarations)).first().asDict()
 
     def apply_events(self, events: DataFrame) -> None:
@@ -101,7 +107,6 @@ class CodeIndexer:
         """The commit at the end of the last run, to be given to `index_incremental`."""
         return self.store.get_state("commit")
 
-    def _remember_commit(self) -> None:
-        commit = self.git.get_current_commit()
+    def _remember_commit(self, commit: str | None) -> None:
         if commit:
             self.store.set_state("commit", commit)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeskein.functions import paths, text, vectors
@@ -46,6 +47,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query(
     sql.graph(
         """SELECT 'node' AS kind, type, count(*) AS n FROM nodes GROUP BY type
+UNION ALL SELECT 'node', 'unknown', count(*) FROM undefined
 UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type"""
     )
 )
@@ -55,7 +57,7 @@ def a2_type_counts(spark, folder):
     return aggregates.type_counts(g.nodes, g.edges)
 
 
-@query(sql.graph("SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges"))
+@query(sql.graph("SELECT (SELECT count(*) FROM nodes) + (SELECT count(*) FROM undefined) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges"))
 def a1_totals(spark, folder):
     g = table_graph.stored(spark, folder)
     return aggregates.totals(g.nodes, g.edges)
@@ -330,8 +332,9 @@ def t3_callees(spark, folder):
         "SELECT id, name, depth FROM walk JOIN nodes USING (id) WHERE depth > 0",
         """parents AS (SELECT source_id, arg_min(target_id, (ord, target_id)) AS target_id FROM edges
   WHERE type = 'inherits' GROUP BY source_id)""",
-        """walk AS (SELECT 'class:143' AS id, 0 AS depth UNION ALL SELECT p.target_id, depth + 1 FROM walk w
-  JOIN parents p ON p.source_id = w.id)""",
+        """walk AS (SELECT 'class:143' AS id, 0 AS depth, ['class:143'] AS seen
+  UNION ALL SELECT p.target_id, depth + 1, list_append(seen, p.target_id) FROM walk w
+  JOIN parents p ON p.source_id = w.id WHERE NOT list_contains(seen, p.target_id))""",
     )
 )
 def t4_inheritance_chain(spark, folder):
@@ -576,7 +579,7 @@ def x16_mtime(spark, folder):
 
 @query(
     sql.graph(
-        """SELECT '# Code Knowledge Graph Statistics' || chr(10) || chr(10) || 'Total Nodes: ' ||
+        """SELECT '# Graph Statistics' || chr(10) || chr(10) || 'Total Nodes: ' ||
  (SELECT count(*) FROM nodes) || chr(10) || 'Total Edges: ' || (SELECT count(*) FROM edges) || chr(10) || chr(10) ||
  '## Node Types:' || chr(10) || (SELECT string_agg('- ' || type || ': ' || n || chr(10), '' ORDER BY type)
    FROM (SELECT type, count(*) AS n FROM nodes GROUP BY type)) || chr(10) || '## Edge Types:' || chr(10) ||
@@ -593,7 +596,7 @@ def x17_stats_text(spark, folder):
     sql.graph(
         """SELECT '  "' || id || '" [label="' || type || '\\n' || name || '"];' AS line FROM nodes
 UNION ALL SELECT '  "' || source_id || '" -> "' || target_id || '" [label="' || type || '"];' FROM edges
-UNION ALL SELECT unnest(['digraph CodeKnowledgeGraph {', '  rankdir=LR;', '  node [shape=box];', '}'])"""
+UNION ALL SELECT unnest(['digraph CodeGraph {', '  rankdir=LR;', '  node [shape=box];', '}'])"""
     )
 )
 def s15_dot_lines(spark, folder):
@@ -607,17 +610,18 @@ def s15_dot_lines(spark, folder):
 @query(
     sql.graph(
         """SELECT 'nodes' AS part, type, count(*) AS n FROM nodes WHERE id NOT IN (SELECT id FROM gone) GROUP BY type
-UNION ALL SELECT 'edges', type, count(*) FROM edges WHERE source_id NOT IN (SELECT id FROM gone)
- AND target_id NOT IN (SELECT id FROM gone) GROUP BY type""",
+UNION ALL SELECT 'edges', type, count(*) FROM left_edges GROUP BY type
+UNION ALL SELECT 'nodes', 'unknown', count(DISTINCT id) FROM (SELECT source_id AS id FROM left_edges UNION ALL SELECT target_id FROM left_edges)
+ WHERE id NOT IN (SELECT id FROM nodes)""",
         "gone AS (SELECT id FROM nodes WHERE name = 'fn_5')",
+        """left_edges AS (SELECT * FROM edges WHERE source_id NOT IN (SELECT id FROM gone)
+ AND target_id NOT IN (SELECT id FROM gone))""",
     )
 )
 def u6_remove_nodes(spark, folder):
     g = table_graph.stored(spark, folder)
     nodes, edges = sets.without_nodes(g.nodes, g.edges, lookup.nodes_by_name(g.nodes, "fn_5"))
-    return aggregates.type_counts(nodes, edges).filter("type <> 'unknown'").select(
-        F.concat("kind", F.lit("s")).alias("part"), "type", "n"
-    )
+    return aggregates.type_counts(nodes, edges).select(F.concat("kind", F.lit("s")).alias("part"), "type", "n")
 
 
 @query(
@@ -679,9 +683,13 @@ def _file_events(spark: SparkSession, folder: str) -> DataFrame:
     return _as_file_events(_table(spark, folder, "events"))
 
 
+def _event_path() -> Column:
+    ending = F.get(F.array(F.lit(".py"), F.lit(".ts"), F.lit(".txt")), (F.col("event_id") % 3).cast("int"))
+    return F.concat(F.lit("src/u"), F.col("user_id").cast("string"), ending)
+
+
 def _as_file_events(events: DataFrame) -> DataFrame:
     number = F.col("user_id").cast("string")
-    ending = F.get(F.array(F.lit(".py"), F.lit(".ts"), F.lit(".txt")), (F.col("event_id") % 3).cast("int"))
     other = F.when(F.col("event_id") % 2 == 0, ".go").otherwise(".md")
     kind = (
         F.when(F.col("event_type") == "signup", "created")
@@ -690,7 +698,7 @@ def _as_file_events(events: DataFrame) -> DataFrame:
         .otherwise("modified")
     )
     return events.select(
-        F.concat(F.lit("src/u"), number, ending).alias("path"),
+        _event_path().alias("path"),
         F.concat(F.lit("src/u"), number, F.lit("_new"), other).alias("dest_path"),
         kind.alias("event_type"),
         (F.col("event_id") % 11 == 0).alias("is_directory"),
@@ -719,16 +727,20 @@ def w1_debounced_events(spark, folder):
 @query("WITH " + _MOVED_EVENTS + """ SELECT path, event_type, epoch_us(ts) AS at FROM (
  SELECT path, event_type, ts, lead(ts) OVER (PARTITION BY path ORDER BY ts) AS following FROM (
    SELECT path, ts, arg_max(event_type, seq) AS event_type FROM code GROUP BY path, ts))
- WHERE (following IS NULL OR epoch_us(following) - epoch_us(ts) > 7200000000::BIGINT)
- AND epoch_us(ts) + 7200000000::BIGINT <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM code) - 600000000::BIGINT""")
+ WHERE following IS NULL OR epoch_us(following) - epoch_us(ts) >= 7200000000::BIGINT""")
 def w1_streamed_bursts(spark, folder):
-    """The same bursts by a stream that stops at the end of the table: those its watermark closed."""
+    """The same bursts by a stream of micro-batches; those still open at its end are settled then."""
     rows = spark.readStream.schema(_table(spark, folder, "events").schema).option("pathGlobFilter", "events.parquet")
     events = file_events.code_events(_as_file_events(rows.parquet(folder)), _CODE_SUFFIXES)
     base = f"{work_folder(spark)}/bursts-{uuid.uuid4().hex}"
-    closed = file_events.debounce_stream(events, 7200, "10 minutes")
-    writer = closed.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+    settler = file_events.BurstSettler(spark, 7200)
+
+    def apply(batch, number):
+        settler.settle(batch, time.time()).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    writer = events.writeStream.outputMode("append").foreachBatch(apply)
     writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    settler.settle(None, None).write.parquet(f"{base}/out/batch=-1")
     return spark.read.parquet(f"{base}/out").select("path", "event_type", F.unix_micros("ts").alias("at"))
 
 
@@ -742,11 +754,9 @@ pending AS (SELECT * FROM changes UNION ALL
             SELECT path, 'A', NULL FROM loose WHERE path NOT IN (SELECT path FROM changes))"""
 
 
-def _changes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Staged and unstaged changes and untracked paths; status lines are parsed as git prints them."""
-    events = _table(spark, folder, "events")
-    rows = _file_events(spark, folder).select("path", "seq")
-    listed = events.filter("event_id % 4 <> 0").join(rows, F.col("event_id") == F.col("seq"))
+def _status_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(seq, path, line): a status line, as git prints it, for each event."""
+    events = _table(spark, folder, "events").withColumn("path", _event_path())
     former = F.concat(F.lit("src/old"), F.col("user_id").cast("string"), F.lit(".py"))
     letter = (
         F.when(F.col("event_type") == "signup", "A")
@@ -757,18 +767,21 @@ def _changes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Da
     line = F.when(F.col("event_type") == "purchase", F.concat_ws("\t", F.lit("R087"), former, "path")).otherwise(
         F.concat_ws("\t", letter, F.col("path"))
     )
-    parsed = changes.parse_name_status(listed.select("event_id", line.alias("line")))
-    lines = listed.select("event_id", line.alias("line"))
-    staged = changes.parse_name_status(lines.filter("event_id % 4 = 1"))
-    unstaged = changes.parse_name_status(lines.filter("event_id % 4 > 1"))
-    untracked = rows.filter("seq % 4 = 0").select("path").distinct()
+    return events.select(F.col("event_id").alias("seq"), "path", line.alias("line"))
+
+
+def _changes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged and unstaged changes and untracked paths; status lines are parsed as git prints them."""
+    lines = _status_lines(spark, folder)
+    staged = changes.parse_name_status(lines.filter("seq % 4 = 1"))
+    unstaged = changes.parse_name_status(lines.filter("seq % 4 > 1"))
+    untracked = lines.filter("seq % 4 = 0").select("path").distinct()
     return staged, unstaged, untracked
 
 
-@query("WITH " + _CHANGES + " SELECT path, status, old_path FROM changes")
+@query("WITH " + _CHANGES.replace(" WHERE event_id % 4 <> 0", "") + " SELECT path, status, old_path FROM changes")
 def s13_parsed_status_lines(spark, folder):
-    staged, unstaged, _ = _changes(spark, folder)
-    return staged.unionByName(unstaged)
+    return changes.parse_name_status(_status_lines(spark, folder))
 
 
 @query("WITH " + _CHANGES + " SELECT path, status, old_path FROM pending")

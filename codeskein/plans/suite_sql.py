@@ -54,7 +54,14 @@ edges AS (
   UNION ALL SELECT 'class:' || c_custkey, 'class:' || (c_custkey // 2), 'inherits', 0 FROM cust WHERE c_custkey > 0
   UNION ALL SELECT 'class:' || c_custkey, 'class:' || (c_custkey - 1), 'inherits', 1 FROM cust WHERE c_custkey % 10 = 3
   UNION ALL SELECT 'func:' || o_orderkey, 'func:' || o_custkey, 'calls', 0 FROM ord WHERE o_orderkey <> o_custkey
-  UNION ALL SELECT DISTINCT 'func:' || l_orderkey, 'var:' || l_partkey, 'uses', 0 FROM lineitem),
+  UNION ALL SELECT DISTINCT 'func:' || l_orderkey, 'var:' || l_partkey, 'uses', 0 FROM lineitem
+  UNION ALL SELECT 'func:' || o_orderkey, 'func:gone_' || (o_orderkey % 7), 'calls', 0 FROM ord WHERE o_orderkey % 50 = 1
+  UNION ALL SELECT 'func:' || o_orderkey, 'func:' || o_custkey, 'uses', 0 FROM ord WHERE o_orderkey % 20 = 2
+  UNION ALL SELECT 'func:' || o_orderkey, 'func:' || o_orderkey, 'uses', 0 FROM ord WHERE o_orderkey % 40 = 3
+  UNION ALL SELECT 'func:' || o_custkey, 'func:' || o_orderkey, 'uses', 0 FROM ord WHERE o_orderkey % 60 = 7
+  UNION ALL SELECT 'class:' || c_custkey, 'class:1', 'inherits', 2 FROM cust WHERE c_custkey = 0),
+undefined AS (SELECT DISTINCT id FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges)
+              WHERE id NOT IN (SELECT id FROM nodes)),
 open_refs AS (
   SELECT 'func:' || o_orderkey AS source_id, 'func:*:*:fn_' || (o_orderkey * 7 % 1500) AS target_id,
          'calls' AS type, 'function' AS wanted, 'fn_' || (o_orderkey * 7 % 1500) AS name FROM ord

@@ -72,7 +72,7 @@ def build(spark: SparkSession, folder: str) -> Graph:
         (F.col("c_custkey") % 100 + 1).cast("int").alias("start_line"),
         (F.col("c_custkey") % 100 + 11).cast("int").alias("end_line"),
         F.when(F.col("c_custkey") % 3 == 0, F.array("c_mktsegment")).otherwise(F.array()).alias("bases"),
-        F.col("c_custkey").cast("int").alias("ord"),
+        F.col("c_custkey").cast("long").alias("ord"),
     )
     functions = orders.select(
         _id("func", "o_orderkey").alias("id"),
@@ -89,7 +89,7 @@ def build(spark: SparkSession, folder: str) -> Graph:
         (F.col("o_orderkey") % 4 == 0).alias("is_async"),
         is_method.alias("is_method"),
         F.array("o_orderstatus").alias("parameters"),
-        F.col("o_orderkey").cast("int").alias("ord"),
+        F.col("o_orderkey").cast("long").alias("ord"),
     )
     module = F.concat(F.lit("region_"), F.col("region").cast("string"))
     imports = supplier.select(
@@ -120,7 +120,7 @@ def build(spark: SparkSession, folder: str) -> Graph:
             source.alias("source_id"),
             target.alias("target_id"),
             F.lit(kind).alias("type"),
-            (F.lit(0) if position is None else position).cast("int").alias("ord"),
+            (F.lit(0) if position is None else position).cast("long").alias("ord"),
         )
 
     file_of = F.col("file_id")
@@ -142,6 +142,17 @@ def build(spark: SparkSession, folder: str) -> Graph:
             _id("var", "l_partkey"),
             "uses",
         ),
+        # What real trees have as well: undefined targets, a second type between two nodes, loops, cycles.
+        edge(
+            orders.filter("o_orderkey % 50 = 1"),
+            _id("func", "o_orderkey"),
+            F.concat(F.lit("func:gone_"), (F.col("o_orderkey") % 7).cast("string")),
+            "calls",
+        ),
+        edge(orders.filter("o_orderkey % 20 = 2"), _id("func", "o_orderkey"), _id("func", "o_custkey"), "uses"),
+        edge(orders.filter("o_orderkey % 40 = 3"), _id("func", "o_orderkey"), _id("func", "o_orderkey"), "uses"),
+        edge(orders.filter("o_orderkey % 60 = 7"), _id("func", "o_custkey"), _id("func", "o_orderkey"), "uses"),
+        edge(customer.filter("c_custkey = 0"), _id("class", "c_custkey"), F.lit("class:1"), "inherits", F.lit(2)),
     ]
     called = F.concat(F.lit("fn_"), (F.col("o_orderkey") * 7 % 1500).cast("string"))
     base = F.concat(F.lit("Class_"), (F.col("c_custkey") * 3 % 800).cast("string"))

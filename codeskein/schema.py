@@ -47,7 +47,7 @@ NODES = _schema(
     ("line", _I),
     ("type_hint", _S),
     ("scope", _S),
-    ("ord", _I),
+    ("ord", _L),
 )
 
 # `ord` is the position in which an edge was found in its file; `owner` is the file that produced it.
@@ -56,7 +56,7 @@ EDGES = _schema(
     ("target_id", _S),
     ("type", _S),
     ("metadata", _METADATA),
-    ("ord", _I),
+    ("ord", _L),
     ("owner", _S),
 )
 

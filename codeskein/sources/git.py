@@ -14,57 +14,73 @@ from pyspark.sql import DataFrame, SparkSession
 from codeskein.operators import changes
 
 
+class GitError(RuntimeError):
+    """Git could not answer. A failure is never taken for "no changes"."""
+
+
 class GitTracker:
-    """Any failure of git counts as "no changes"."""
+    """Outside a work tree there are no changes; inside one a command that fails raises `GitError`."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, str(root)
 
-    def _git(self, *args: str, timeout: int = 30) -> str:
+    def _git(self, *args: str) -> str:
         if not self.is_git_repo():
             return ""
         try:
-            done = subprocess.run(
-                ["git", "-c", "core.quotepath=off", *args],
-                cwd=self.root,
-                capture_output=True,
-                text=True,
-                timeout=timeout,
-            )
-        except (OSError, subprocess.SubprocessError):
-            return ""
-        return done.stdout if done.returncode == 0 else ""
-
-    def _lines(self, *args: str) -> DataFrame:
-        lines = [(line,) for line in self._git(*args).split("\n") if line]
-        return self.spark.createDataFrame(lines, "line string")
+            done = subprocess.run(["git", *args], cwd=self.root, capture_output=True)
+        except OSError as error:
+            raise GitError(f"git {args[0]}: {error}") from error
+        if done.returncode:
+            raise GitError(f"git {args[0]}: {done.stderr.decode(errors='replace').strip()}")
+        return done.stdout.decode(errors="surrogateescape").encode(errors="replace").decode()
+
+    def _paths(self, *args: str) -> DataFrame:
+        found = [(path,) for path in self._git(*args, "-z").split("\0") if path]
+        return self.spark.createDataFrame(found, "path string")
+
+    def _changes(self, *args: str) -> DataFrame:
+        """Names come apart by NUL, so that no character of a name needs quoting."""
+        parts = iter(self._git("diff", "--name-status", "-z", *args).split("\0"))
+        rows = []
+        for status in parts:
+            if status:
+                rows.append((status, next(parts), next(parts) if status[0] in "RC" else None))
+        return changes.from_fields(self.spark.createDataFrame(rows, "status string, first string, second string"))
 
     def is_git_repo(self) -> bool:
         return os.path.exists(os.path.join(self.root, ".git"))
 
     def get_current_commit(self) -> str | None:
-        return self._git("rev-parse", "HEAD", timeout=10).strip() or None
+        """None outside a work tree and before the first commit."""
+        if self.is_git_repo() and not self._git("rev-list", "-n", "1", "--all").strip():
+            return None
+        return self._git("rev-parse", "HEAD").strip() or None
+
+    def has_commit(self, commit: str) -> bool:
+        """Whether the commit is an ancestor of HEAD, so that changes since it can be listed."""
+        done = subprocess.run(["git", "merge-base", "--is-ancestor", commit, "HEAD"], cwd=self.root, capture_output=True)
+        return done.returncode == 0
 
     def get_changes_since(self, commit: str) -> DataFrame:
-        return changes.parse_name_status(self._lines("diff", "--name-status", commit, "HEAD"))
+        return self._changes(commit, "HEAD")
 
     def get_staged_changes(self) -> DataFrame:
-        return changes.parse_name_status(self._lines("diff", "--name-status", "--cached"))
+        return self._changes("--cached")
 
     def get_unstaged_changes(self) -> DataFrame:
-        return changes.parse_name_status(self._lines("diff", "--name-status"))
+        return self._changes()
 
     def get_untracked_files(self) -> DataFrame:
-        return self._lines("ls-files", "--others", "--exclude-standard").withColumnRenamed("line", "path")
+        return self._paths("ls-files", "--others", "--exclude-standard")
 
     def get_all_tracked_files(self) -> DataFrame:
-        return self._lines("ls-files").withColumnRenamed("line", "path")
+        return self._paths("ls-files")
 
     def is_ignored(self, path: str) -> bool:
         if not self.is_git_repo():
             return False
-        try:
-            done = subprocess.run(["git", "check-ignore", "-q", path], cwd=self.root, capture_output=True, timeout=5)
-        except (OSError, subprocess.SubprocessError):
-            return False
+        done = subprocess.run(["git", "check-ignore", "-q", path], cwd=self.root, capture_output=True)
+        if done.returncode > 1:
+            raise GitError(f"git check-ignore: {done.stderr.decode(errors='replace').strip()}")
         return done.returncode == 0

@@ -1,11 +1,12 @@
-"""Operators over file events; all but `debounce` work on batches and on streams alike."""
+"""Operators over file events, for batches and for the micro-batches of streams."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeskein.functions import paths
+from codeskein.session import cut
 
 DEBOUNCE_SECONDS = 0.5
 
@@ -38,32 +39,47 @@ def debounce(events: DataFrame, seconds: float = DEBOUNCE_SECONDS, slice_seconds
     joined in. Sorting is thus per (path, slice), so one path that holds a third of all events
     is still worked on by many tasks.
     """
+    return _bursts(events, seconds, slice_seconds).select("path", "event_type", "ts")
+
+
+def _bursts(events: DataFrame, seconds: float, slice_seconds: float | None = None) -> DataFrame:
     width = max(slice_seconds or 0.0, seconds * 64)
-    instants = events.groupBy("path", "ts").agg(F.max_by("event_type", "seq").alias("event_type"))
+    instants = events.groupBy("path", "ts").agg(F.max(F.struct("seq", "event_type")).alias("top")).select("path", "ts", "top.*")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    sliced = instants.select(
-        "path", "ts", "event_type", micros.alias("at"), F.floor(micros / F.lit(width * 1e6)).alias("slice")
-    )
+    sliced = instants.withColumns({"at": micros, "slice": F.floor(micros / F.lit(width * 1e6))})
     firsts = sliced.groupBy("path", "slice").agg(F.min("at").alias("opens"))
     upcoming = firsts.select("path", (F.col("slice") - 1).alias("slice"), "opens")
     in_slice = Window.partitionBy("path", "slice").orderBy("at")
     lined = sliced.withColumn("following", F.lead("at").over(in_slice)).join(upcoming, ["path", "slice"], "left")
     quiet = F.coalesce(F.coalesce("following", "opens") - F.col("at") >= F.lit(seconds * 1e6), F.lit(True))
-    return lined.filter(quiet).select("path", "event_type", "ts")
+    return lined.filter(quiet).select("path", "event_type", "ts", "seq")
 
 
-def debounce_stream(events: DataFrame, seconds: float = DEBOUNCE_SECONDS, lateness: str = "10 seconds") -> DataFrame:
-    """`debounce` over a stream: one row per closed burst (path, event_type, ts, fires_at).
+class BurstSettler:
+    """`debounce` over the micro-batches of a stream, with a table of what is not settled yet between them.
 
-    Bursts are session windows; the running value per session is one (ts, seq, type) triple. A
-    burst closes once the watermark has passed its end. Sessions touching exactly at the gap are
-    merged by Spark, where `debounce` keeps them apart.
+    Of each path only its latest event is open; it settles when a later event lies at least the gap after it, or
+    when no event of the path has arrived for as long. No event is dropped for being late: one that arrives after its
+    burst was told begins a burst of its own. Each batch is debounced as a whole, so a hot path is many tasks' work.
     """
-    gap = f"{int(seconds * 1_000_000)} microseconds"
-    last = F.max(F.struct("ts", "seq", "event_type")).alias("last")
-    return (
-        events.withWatermark("ts", lateness)
-        .groupBy("path", F.session_window("ts", gap).alias("burst"))
-        .agg(last)
-        .select("path", "last.event_type", "last.ts", F.col("burst.end").alias("fires_at"))
-    )
+
+    def __init__(self, spark: SparkSession, seconds: float = DEBOUNCE_SECONDS):
+        self.spark, self.seconds = spark, seconds
+        self.open: DataFrame | None = None
+
+    def settle(self, batch: DataFrame | None, now: float | None) -> DataFrame:
+        """Bursts (path, event_type, ts) settled by a batch (path, event_type, ts, seq) and the clock; `now=None` settles all."""
+        held = self.open
+        if batch is not None:
+            fresh = batch.select("path", "event_type", "ts", "seq", F.lit(now or 0.0).alias("arrived"))
+            held = fresh if held is None else held.unionByName(fresh)
+        if held is None:
+            return self.spark.createDataFrame([], "path string, event_type string, ts timestamp")
+        held = cut(held, "held")
+        last = held.groupBy("path").agg(F.max("ts").alias("last_ts"), F.max("arrived").alias("arrived"))
+        waits = F.lit(False)
+        if now is not None:
+            waits = (F.col("ts") == F.col("last_ts")) & (F.col("arrived") + F.lit(self.seconds) > F.lit(now))
+        marked = cut(_bursts(held, self.seconds).join(last, "path").withColumn("waits", waits), "bursts")
+        self.open = marked.filter("waits").select("path", "event_type", "ts", "seq", "arrived")
+        return marked.filter("NOT waits").select("path", "event_type", "ts")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 
@@ -23,7 +24,7 @@ class FileWatcher:
     Without `events` the tree itself is polled: changed files come from the `code_tree_events`
     source, deleted ones are those the store knows and the tree lacks. With `events`, a streaming
     DataFrame shaped like `schema.FILE_EVENTS` (a message queue, a folder of logs), bursts are
-    settled by session windows. `on_change(path, event_type)` runs after a batch was applied.
+    settled by `BurstSettler`, by later events or by the clock. `on_change(path, event_type)` runs after a batch was applied.
     """
 
     def __init__(
@@ -38,6 +39,8 @@ class FileWatcher:
         self.indexer, self.on_change, self.events = indexer, on_change, events
         self.seconds, self.poll, self.checkpoint = seconds, poll, checkpoint
         self._query: StreamingQuery | None = None
+        self._settler: file_events.BurstSettler | None = None
+        self._one_at_a_time, self._stopped = threading.Lock(), threading.Event()
 
     def start(self) -> None:
         """Start following; does nothing if already started."""
@@ -45,11 +48,11 @@ class FileWatcher:
             return
         if self.events is not None:
             suffixes = self.indexer.registry.supported_extensions()
-            # Hot paths are merged before the shuffle that brings sessions together.
-            spark = self.indexer.store.spark
-            spark.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
-            settled = file_events.debounce_stream(file_events.code_events(self.events, suffixes), self.seconds)
-            writer = settled.writeStream.outputMode("append").foreachBatch(lambda batch, _: self._apply(batch))
+            arriving = file_events.code_events(self.events, suffixes)
+            self._settler = file_events.BurstSettler(self.indexer.store.spark, self.seconds)
+            self._stopped.clear()
+            writer = arriving.writeStream.outputMode("append").foreachBatch(lambda batch, _: self._settle(batch))
+            threading.Thread(target=self._watch_clock, daemon=True).start()
         else:
             writer = self._tree_stream().writeStream.foreachBatch(lambda batch, _: self._apply_tree(batch))
             writer = writer.trigger(processingTime=self.poll)
@@ -57,6 +60,17 @@ class FileWatcher:
             writer = writer.option("checkpointLocation", self.checkpoint)
         self._query = writer.start()
 
+    def _settle(self, batch: DataFrame | None) -> None:
+        """Apply the bursts that a batch, or the clock alone, has closed."""
+        with self._one_at_a_time:
+            self._apply(self._settler.settle(batch, time.time()))
+
+    def _watch_clock(self) -> None:
+        """Close bursts that are quiet by the clock while no batch arrives."""
+        while not self._stopped.wait(self.seconds):
+            if self._settler.open is not None and not self._settler.open.isEmpty():
+                self._settle(None)
+
     def _tree_stream(self) -> DataFrame:
         spark = self.indexer.store.spark
         spark.dataSource.register(TreeEvents)
@@ -92,10 +106,14 @@ class FileWatcher:
         """Wait until everything that has arrived is applied."""
         if self._query:
             self._query.processAllAvailable()
+        if self._settler is not None:
+            time.sleep(self.seconds)
+            self._settle(None)
 
     def stop(self) -> None:
         if self.is_running():
             self._query.stop()
+        self._stopped.set()
         self._query = None
 
     def is_running(self) -> bool:

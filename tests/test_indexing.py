@@ -254,7 +254,7 @@ def test_tools_and_dot(spark, tree, small_graph, tmp_path):
     export.write_dot(*small_graph, str(tmp_path / "dot"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "dot").glob("part-*")))
     lines = text.splitlines()
-    assert lines[0] == "digraph CodeKnowledgeGraph {" and lines[-1] == "}" and len(lines) == 12
+    assert lines[0] == "digraph CodeGraph {" and lines[-1] == "}" and len(lines) == 12
     assert '  "file:test.py" [label="file\\ntest.py"];' in lines
     shutil.rmtree(tree)
 
@@ -297,5 +297,5 @@ def test_command_line(spark, tree, capsys):
     assert "FUNCTION: load\n  Signature: def load(self) -> dict\n  Location: main.py:13-15" in run("find", "load")
     assert run("find", "nothing") == "No definition found for 'nothing'\n"
     assert "Classes: 1\n" in run("file", "app.ts")
-    assert run("graph").startswith("digraph CodeKnowledgeGraph {\n")
+    assert run("graph").startswith("digraph CodeGraph {\n")
     assert run("query", "anything") == "No results found\n"  # no vectors yet

@@ -53,17 +53,25 @@ def _stream(spark, tmp_path, *batches):
     return spark.readStream.schema(FILE_EVENTS).option("maxFilesPerTrigger", 1).json(str(folder))
 
 
-def test_stream_equals_batch_for_closed_bursts(spark, tmp_path):
-    rows = [("p.py", "created", 0.0), ("p.py", "modified", 0.3), ("q.py", "deleted", 2.0), ("p.py", "deleted", 5.0)]
-    later = [("z.py", "created", 60.0)]
-    out = str(tmp_path / "out")
-    closed = file_events.debounce_stream(_stream(spark, tmp_path, rows, later), lateness="1 second")
-    query = (
-        closed.writeStream.outputMode("append").format("parquet").option("path", out)
-        .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination(120)
-    assert settled(spark.read.parquet(out)) == settled(file_events.debounce(frame(spark, *rows)))
+def test_stream_equals_batch(spark, tmp_path):
+    first = [("p.py", "created", 0.0), ("p.py", "modified", 0.3), ("q.py", "deleted", 2.0), ("p.py", "deleted", 5.0)]
+    more = [("z.py", "created", 60.0), ("p.py", "created", 5.2), ("z.py", "modified", 60.5)]
+    settler, told = file_events.BurstSettler(spark), []
+    query = _stream(spark, tmp_path, first, more).writeStream.option("checkpointLocation", str(tmp_path / "state"))
+    query.foreachBatch(lambda batch, _: told.extend(settled(settler.settle(batch, 1e9)))).trigger(availableNow=True).start().awaitTermination(120)
+    assert len(told) == 2 and settler.open.count() == 3
+    told += settled(settler.settle(None, None))
+    assert sorted(told) == settled(file_events.debounce(frame(spark, *first, *more)))
+
+
+def test_bursts_settle_by_the_clock_and_late_events_are_told(spark):
+    settler = file_events.BurstSettler(spark, 0.5)
+    assert settled(settler.settle(frame(spark, ("a", "created", 100.0)), 1000.0)) == []
+    assert settled(settler.settle(None, 1000.4)) == []
+    assert settled(settler.settle(None, 1000.5)) == [("a", "created")]
+    assert settled(settler.settle(frame(spark, ("a", "modified", 3.0)), 2000.0)) == []
+    assert settled(settler.settle(None, 2001.0)) == [("a", "modified")]
+    assert settler.open.isEmpty()
 
 
 def test_watching_a_stream_of_events(spark, tmp_path):
@@ -88,7 +96,7 @@ def test_watching_a_stream_of_events(spark, tmp_path):
         watcher.start()  # already started
         watcher.process_available()
     assert not watcher.is_running()
-    assert sorted(told) == [("b.py", "deleted"), ("c.py", "modified")]
+    assert sorted(told) == [("b.py", "deleted"), ("c.py", "modified"), ("later.py", "created")]
     assert {r["path"] for r in store.get_nodes_by_type("file").collect()} == {"a.py", "c.py"}
     assert store.get_edges_to("class:file:a.py:A", "inherits").first()["source_id"] == "class:file:c.py:C"
 
