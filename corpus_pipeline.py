@@ -29,11 +29,15 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id; of repeated rows one."""
     found = near_copies(docs.select("doc_id", "text"))
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    heads = Scratch(spark, "heads").keep(heads.withColumnRenamed("doc_id", "_id"), "heads")
-    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_id")))
-    single = kept.where("_rows = 1").select(*docs.columns)
-    return single.unionByName(kept.where("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    is_head = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(is_head).alias("_stays"), F.count("*").alias("_rows"))
+    # far fewer ids go, or stand on several rows, than stay on one
+    marked = Scratch(spark, "marked").keep(ids.where("NOT _stays OR _rows > 1"), "ids")
+    joined = docs.join(marked, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    single = joined.where("_rows IS NULL").select(*docs.columns)
+    if marked.where("_stays").isEmpty():
+        return single
+    return single.unionByName(joined.where("_stays").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
