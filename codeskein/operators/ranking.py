@@ -26,8 +26,8 @@ def nearest(
     return ranked(scored, k, F.col("distance").asc_nulls_last(), F.col("id"))
 
 
-def word_vectors(documents: DataFrame) -> DataFrame:
-    """(word, id, type, weight): unit-length bags of words as posting rows.
+def word_vectors(documents: DataFrame, *carry: str) -> DataFrame:
+    """(word, id, type, weight) and the columns to carry: unit-length bags of words as posting rows.
 
     One row per word and document instead of one wide vector per document, so a search reads
     only the words it asks for. A document is worked on within its own row: nothing is shuffled,
@@ -35,8 +35,8 @@ def word_vectors(documents: DataFrame) -> DataFrame:
     """
     weighted = vectors.word_weights(F.col("document"))
     # The outer form keeps the optimizer from computing the array once more to find empty ones.
-    rows = documents.select("id", "type", F.explode_outer(weighted).alias("entry"))
-    return rows.filter("entry IS NOT NULL").select("entry.word", "id", "type", "entry.weight")
+    rows = documents.select("id", "type", *carry, F.explode_outer(weighted).alias("entry"))
+    return rows.filter("entry IS NOT NULL").select("entry.word", "id", "type", "entry.weight", *carry)
 
 
 def nearest_by_words(

@@ -14,7 +14,7 @@ from codeskein.functions import paths, text, vectors
 from codeskein.operators import aggregates, changes, export, lookup, ranking, resolve, sets, traversal
 from codeskein.plans import hybrid, table_graph
 from codeskein.plans import suite_sql as sql
-from codeskein.session import work_folder
+from codeskein.session import cut, spread, work_folder
 from codeskein.streaming import events as file_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +54,10 @@ UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type"""
 def a2_type_counts(spark, folder):
     # Straight from the tables, so that the query also measures building the graph.
     g = table_graph.build(spark, folder)
-    return aggregates.type_counts(g.nodes, g.edges)
+    # Each side is read twice: once for its types, once for the ids that edges mention and no node has.
+    nodes = cut(g.nodes.select("id", "type"), "nodes")
+    edges = cut(g.edges.select("source_id", "target_id", "type"), "edges")
+    return aggregates.type_counts(nodes, edges)
 
 
 @query(sql.graph("SELECT (SELECT count(*) FROM nodes) + (SELECT count(*) FROM undefined) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges"))
@@ -491,7 +494,8 @@ raw AS (SELECT docs.id, type, coalesce(distance, 1.0) AS distance FROM docs LEFT
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "documents").select(
+    # Spread: the table is a few files, and taking texts apart is work that their size does not show.
+    return spread(_table(spark, folder, "documents"), "doc_id").select(
         F.concat(F.lit("func:"), F.col("doc_id").cast("string")).alias("id"),
         F.lit("function").alias("type"),
         F.col("text").alias("document"),

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeskein.operators import ranking
-from codeskein.session import cut
+from codeskein.session import cut, spread
 
-_DOCUMENTS = "id string, document string, type string, name string"
-_POSTINGS = "word string, id string, type string, weight double"
+_DOCUMENTS = "id string, document string, type string, name string, metadata map<string,string>, version long"
+_POSTINGS = "word string, id string, type string, weight double, version long"
+_EMBEDDINGS = "id string, type string, embedding array<double>, version long"
+_CHANGES = "id string, version long, deleted boolean"
+_FIELDS = ("id", "document", "type", "name", "metadata")
 
 
 class VectorStore:
@@ -21,6 +24,10 @@ class VectorStore:
     that a search reads only the parts of the files that hold its words. `embed` may be any
     expression from a text column to an array of numbers (a built-in or a Pandas UDF around a
     model); vectors are then stored and compared in full.
+
+    A change appends what it changes under a new version: new rows, and a line (id, version, deleted) for each
+    id. Readers keep the latest version of an id. After `merge_after` changes, or by `compact`, the
+    tables are written anew without what has been replaced.
     """
 
     def __init__(
@@ -29,59 +36,118 @@ class VectorStore:
         path: str | None = None,
         collection_name: str = "code_embeddings",
         embed: Callable[[Column], Column] | None = None,
+        merge_after: int = 32,
     ):
-        self.spark, self.embed = spark, embed
+        self.spark, self.embed, self.merge_after = spark, embed, merge_after
         self.path = f"{str(path).rstrip('/')}/{collection_name}" if path else None
-        self._frames: dict[str, DataFrame] = {}
-        if self.path is None:
-            self._write(spark.createDataFrame([], _DOCUMENTS))
-        else:
-            spark.createDataFrame([], _DOCUMENTS).write.mode("ignore").parquet(f"{self.path}/documents")
-            vectors = "embeddings" if embed else "postings"
-            schema = "id string, type string, embedding array<double>" if embed else _POSTINGS
-            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.path}/{vectors}")
+        self._vectors, kind = ("embeddings", _EMBEDDINGS) if embed else ("postings", _POSTINGS)
+        self._schemas = {"documents": _DOCUMENTS, self._vectors: kind, "changes": _CHANGES}
+        self._frames: dict[str, list[DataFrame]] = {name: [] for name in self._schemas}
+        if self.path is not None:
+            for name, schema in self._schemas.items():
+                spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.path}/{name}")
+        self._version = self._read("changes").agg(F.max("version")).first()[0] or 0
+        self._since = self._read("changes").select("version").distinct().count()
 
-    def _read(self, name: str) -> DataFrame:
-        return self._frames[name] if self.path is None else self.spark.read.parquet(f"{self.path}/{name}")
+    # --- tables ---
 
-    def _write(self, documents: DataFrame) -> None:
-        """Replace the collection. `documents` must not read the folder it replaces."""
-        if self.embed:
-            tables = {"documents": documents, "embeddings": documents.select("id", "type", self.embed(F.col("document")).alias("embedding"))}
+    def _read(self, name: str) -> DataFrame:
+        if self.path is not None:
+            return self.spark.read.schema(self._schemas[name]).parquet(f"{self.path}/{name}")
+        rows = self.spark.createDataFrame([], self._schemas[name])
+        for part in self._frames[name]:
+            rows = rows.unionByName(part)
+        return rows
+
+    def _write(self, name: str, rows: DataFrame, mode: str) -> None:
+        if self.path is not None:
+            rows.write.mode(mode).parquet(f"{self.path}/{name}")
+        elif mode == "append":
+            self._frames[name].append(cut(rows, name))
         else:
-            words = cut(ranking.word_vectors(documents), "words")  # range partitioning reads it twice
-            # By id as well: a word of very many documents is spread over several files.
-            ordered = words.repartitionByRange("word", "id").sortWithinPartitions("word", "id")
-            tables = {"documents": documents, "postings": ordered}
-        for name, rows in tables.items():
-            if self.path is None:
-                self._frames[name] = cut(rows, name)
-            else:
-                rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
+            self._frames[name] = [cut(rows, name)]
+
+    def _live(self) -> DataFrame | None:
+        """(id, version) of what is current; None if nothing was replaced since the last merge."""
+        if self._since <= 1:
+            return None
+        last = self._read("changes").groupBy("id").agg(F.max(F.struct("version", "deleted")).alias("last"))
+        return last.filter("NOT last.deleted").select("id", F.col("last.version").alias("version"))
+
+    def _current(self, name: str) -> DataFrame:
+        live = self._live()
+        rows = self._read(name)
+        return rows if live is None else rows.join(live, ["id", "version"])
 
     @property
     def documents(self) -> DataFrame:
-        return self._read("documents")
+        return self._current("documents").select(*_FIELDS)
+
+    # --- changing ---
+
+    def _vector_rows(self, documents: DataFrame) -> DataFrame:
+        if self.embed:
+            return documents.select("id", "type", self.embed(F.col("document")).alias("embedding"), "version")
+        words = ranking.word_vectors(spread(documents, "id"), "version")
+        words = cut(words, "words")  # range partitioning reads it twice
+        # By id as well: a word of very many documents is spread over several files.
+        return words.repartitionByRange("word", "id").sortWithinPartitions("word", "id")
+
+    def _conformed(self, documents: DataFrame) -> DataFrame:
+        if "metadata" not in documents.columns:
+            documents = documents.withColumn("metadata", F.lit(None).cast("map<string,string>"))
+        return documents.select(*_FIELDS)
+
+    def _put(self, documents: DataFrame, mode: str) -> int:
+        """Write documents, each id once, as a version; vectors first and the lines that make them count last."""
+        rows = cut(documents.withColumn("version", F.lit(self._version + 1).cast("long")), "documents")
+        count = rows.count()
+        if not count and mode == "append":
+            return 0
+        self._write(self._vectors, self._vector_rows(rows), mode)
+        self._write("documents", rows, mode)
+        self._write("changes", rows.select("id", "version", F.lit(False).alias("deleted")), mode)
+        self._version += 1
+        self._since = self._since + 1 if mode == "append" else 1
+        return count
 
     def replace_all(self, documents: DataFrame) -> int:
-        """Make `documents` (id, document, type, name) the whole collection; returns its size."""
-        documents = cut(documents.select("id", "document", "type", "name"), "documents")
-        self._write(documents)
-        return documents.count()
+        """Make `documents` (id, document, type, name[, metadata]) the whole collection; returns its size."""
+        return self._put(self._conformed(documents), "overwrite")
 
     def add(self, documents: DataFrame) -> None:
-        """Insert or replace by id."""
-        new = documents.select("id", "document", "type", "name")
-        kept = self.documents.join(new.select("id"), "id", "left_anti")
-        self._write(cut(kept.unionByName(new), "documents"))
+        """Insert or replace by id; only the given documents are written and taken apart."""
+        self._put(self._conformed(documents), "append")
+        self._merge_if_due()
 
     def delete(self, ids: Iterable[str]) -> None:
         ids = list(ids)
         if ids:
-            self.delete_where(F.col("id").isin(ids))
+            self._drop(self.spark.createDataFrame([(i,) for i in ids], "id string").distinct())
 
     def delete_where(self, condition: Column) -> None:
-        self._write(cut(self.documents.filter(~F.coalesce(condition, F.lit(False))), "documents"))
+        """Remove the documents for which a condition on their fields holds."""
+        self._drop(self.documents.filter(F.coalesce(condition, F.lit(False))).select("id"))
+
+    def _drop(self, ids: DataFrame) -> None:
+        version = F.lit(self._version + 1).cast("long").alias("version")
+        gone = cut(ids.select("id", version, F.lit(True).alias("deleted")), "deleted")
+        if gone.isEmpty():
+            return
+        self._write("changes", gone, "append")
+        self._version += 1
+        self._since += 2  # even after a first version there is now something to leave out
+        self._merge_if_due()
+
+    def _merge_if_due(self) -> None:
+        if self._since > self.merge_after:
+            self.compact()
+
+    def compact(self) -> None:
+        """Write the collection anew with one version and without what was replaced."""
+        self._put(cut(self.documents, "documents"), "overwrite")
+
+    # --- reading ---
 
     def get(self, ids: Iterable[str]) -> DataFrame:
         return self.documents.filter(F.col("id").isin(list(ids)))
@@ -89,11 +155,20 @@ class VectorStore:
     def count(self) -> int:
         return self.documents.count()
 
-    def search(self, query: str, n_results: int = 10, types: Iterable[str] = ()) -> DataFrame:
-        """(rank, id, distance) of the nearest documents, those of other types left out first."""
+    def search(self, query: str, n_results: int = 10, types: Iterable[str] = (), where: Column | None = None) -> DataFrame:
+        """(rank, id, distance) of the nearest documents among those of the types for which `where` holds.
+
+        `where` is a condition on id, document, type, name and metadata.
+        """
+        vectors, listed = self._current(self._vectors), self._current("documents")
+        if where is not None:
+            listed = listed.filter(where)
+            vectors = vectors.join(listed.select("id", "version"), ["id", "version"])
         if self.embed:
             row = self.spark.range(0, 1, 1, 1).select(self.embed(F.lit(query)).alias("v")).first()
-            return ranking.nearest(self._read("embeddings"), [float(x) for x in row["v"]], n_results, types)
-        return ranking.nearest_by_words(
-            self._read("postings"), self.documents.select("id", "type"), query, n_results, types
-        )
+            return ranking.nearest(vectors, [float(x) for x in row["v"]], n_results, types)
+        return ranking.nearest_by_words(vectors, listed.select("id", "type"), query, n_results, types)
+
+    def with_documents(self, hits: DataFrame) -> DataFrame:
+        """Hits of a search with document, type, name and metadata."""
+        return self.documents.join(hits, "id").select(*hits.columns, *[f for f in _FIELDS if f not in hits.columns])

@@ -49,7 +49,7 @@ def differences(spark, con, folder: str, run, oracle: str) -> list[str]:
 
 
 def main() -> None:
-    from codeskein.plans import suite_sources  # noqa: F401
+    from codeskein.plans import suite_sources, suite_store  # noqa: F401
     from codeskein.plans.suite import SUITE
     from codeskein.session import local_session
 
