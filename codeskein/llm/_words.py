@@ -5,6 +5,7 @@ A word is a run of bytes other than space and 0x09 to 0x0D; a null text is an em
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,14 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]] if len(off) else data, off - off[0]
 
 
+def _give_back() -> None:
+    """Free memory goes back to the machine at the end of a task: the worker process lives on and may sit idle."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in slices of about `limit` bytes of text; a longer text is a slice of its own."""
     for batch in batches:
@@ -50,7 +59,7 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = P
         cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [batch.num_rows]])
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()  # the worker lives on and may sit idle
+    _give_back()
 
 
 def word_spans(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

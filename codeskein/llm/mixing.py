@@ -1,13 +1,13 @@
 """Mixing sources to target weights: repetition rates per source, whole copies plus one hash-seeded draw.
 
-Rates need one aggregation by source, of which every task sends one row a source; drawing is a map.
+Rates and seeds need one aggregation by source each, for which every task sends one row a source; drawing is a map.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeskein.llm._tables import Scratch
@@ -15,6 +15,7 @@ from codeskein.llm._tables import Scratch
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
+SEEDS = 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -56,8 +57,6 @@ def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS,
     ahead, before = {}, 0
     for part in sorted(parts):
         ahead[part], before = before, before + parts[part]
-    from pyspark.sql import Window
-
     inside = F.row_number().over(Window.partitionBy("part").orderBy("missing", "source"))
     base = F.create_map(*[F.lit(x) for pair in ahead.items() for x in pair])[F.col("part")] if ahead else F.lit(0)
     turn = F.pmod(base + inside - 1, F.lit(len(weights))).cast("int")
@@ -80,24 +79,41 @@ def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS,
     return SourceTargets(scratch.keep(table, "targets"), level)
 
 
+def best_seeds(sizes: DataFrame, sources: DataFrame, scratch: Scratch, seeds: int = SEEDS) -> DataFrame:
+    """`sources` with the `seed`, of 0 to `seeds` - 1, whose draws bring the source's words nearest to its target.
+
+    All seeds are tried in one aggregation by source. Whatever the seed, a document is drawn by a hash with the
+    fraction as its probability.
+    """
+    joined = sizes.withColumnRenamed("source", "_of").join(sources, F.col("_of").eqNullSafe(F.col("source")))
+    part = F.col("rate") - F.floor("rate")
+    drawn = [F.sum(F.when(unit_hash(F.col("doc_id"), F.col("source"), F.lit(k)) < part, F.col("size")).otherwise(0)) for k in range(seeds)]
+    totals = joined.groupBy("_of").agg(*[d.alias(f"_{k}") for k, d in enumerate(drawn)])
+    both = sources.join(totals, F.col("source").eqNullSafe(F.col("_of")))
+    miss = [F.struct(F.abs(F.floor("rate") * F.col("source_size") + F.col(f"_{k}") - F.col("target")).alias("miss"), F.lit(k).alias("seed")) for k in range(seeds)]
+    seed = F.array_min(F.array(*miss))["seed"].alias("seed")
+    return scratch.keep(both.select(*sources.columns, seed), "seeds")
+
+
 def mixed(
-    docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0, size: Column | None = None
+    docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seeds: int = SEEDS, size: Column | None = None
 ) -> DataFrame:
     """`docs` with `size`, `source_size`, `target` and `copies`: floor(rate) and one more if the row's hash is below the fraction.
 
-    `size` defaults to the number of words of `text` (null: 0). The draw depends on doc_id, source and seed alone, so
-    reruns agree and repeated rows share it. A null source is a source. Columns of `docs` with the four new
+    `size` defaults to the number of words of `text` (null: 0). A draw depends on doc_id, source and the source's
+    seed alone, so reruns agree and repeated rows share it. A null source is a source. Columns of `docs` with the four new
     names are replaced; other columns pass. No rows give no rows.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     size = n_words(F.col("text")) if size is None else size.cast("long")
     passed = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     sized = docs.select(*passed, size.alias("size"))
-    sources = source_targets(sized.select("source", "size"), scratch, weights, share, most).table
-    sources = sources.withColumnRenamed("source", "_of")
+    slim = scratch.keep(sized.select("doc_id", "source", "size"), "sizes")
+    sources = best_seeds(slim, source_targets(slim, scratch, weights, share, most).table, scratch, seeds)
+    sources = sources.select(F.col("source").alias("_of"), "source_size", "target", F.col("rate").alias("_rate"), F.col("seed").alias("_seed"))
     joined = sized.join(sources, F.col("source").eqNullSafe(F.col("_of")), "left")
-    whole = F.floor("rate")
-    extra = unit_hash(F.col("doc_id"), F.col("source"), F.lit(seed)) < F.col("rate") - whole
+    whole = F.floor("_rate")
+    extra = unit_hash(F.col("doc_id"), F.col("source"), F.col("_seed")) < F.col("_rate") - whole
     return joined.select(*passed, "size", "source_size", "target", (whole + extra.cast("long")).alias("copies"))
 
 

@@ -32,9 +32,13 @@ level AS (SELECT (words - s.caps) / s.rest AS level FROM steps s CROSS JOIN budg
 targets AS (SELECT source, source_size, least(cap, level * weight) AS target FROM weights CROSS JOIN level),
 rated AS (SELECT sized.doc_id, sized.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
-drawn AS (SELECT *, ('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, 'null'), coalesce(source, 'null'), '0')), 1, 13))::BIGINT
-   / 4503599627370496.0::DOUBLE AS draw FROM rated)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM drawn"""
+tried AS (SELECT *, ('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, 'null'), coalesce(source, 'null'), seed::VARCHAR)), 1, 13))::BIGINT
+   / 4503599627370496.0::DOUBLE < rate - floor(rate) AS more FROM rated CROSS JOIN range(16) s(seed)),
+misses AS (SELECT source, seed, abs(any_value(floor(rate) * source_size) + sum(CASE WHEN more THEN size ELSE 0 END) - any_value(target)) AS miss
+   FROM tried GROUP BY source, seed),
+seeds AS (SELECT source, arg_min(seed, (miss, seed)) AS seed FROM misses GROUP BY source)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN more THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM tried JOIN seeds ON tried.source IS NOT DISTINCT FROM seeds.source AND tried.seed = seeds.seed"""
 
 _CONTROL = r"'([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g'"
 
