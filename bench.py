@@ -14,7 +14,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from codeskein.plans import suite_sources  # noqa: F401
+from codeskein.plans import suite_sources, suite_store  # noqa: F401
 from codeskein.plans.suite import SUITE
 from codeskein.session import local_session
 
@@ -37,8 +37,9 @@ HEADLINE = (
     "u5_edges_without_go_files",
     "w1_debounced_events",
     "a4_change_counts",
-    "p1_python_symbols",
-    "p7_typescript_symbols",
+    "w1_streamed_bursts",
+    "s8_store_changes",
+    "k1_collection_search",
 )
 
 

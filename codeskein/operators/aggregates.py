@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeskein.session import cut
+from codeskein.session import cut, release
 
 
 def undefined_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -84,12 +84,13 @@ def pagerank(
     ends = pairs.select(F.explode(F.array("source_id", "target_id")).alias("id"))
     vertices = nodes.select("id").unionByName(ends).distinct()
     slots = F.ceil(F.col("degree") / F.lit(links_per_slot)).cast("int")
-    ranks = cut(
+    written = cut(
         vertices.join(out_degree, vertices["id"] == out_degree["source_id"], "left").select(
             "id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce(slots, F.lit(0)).alias("slots")
         ),
         "vertices",
     )
+    ranks = written
     n = ranks.count()
     if n == 0:
         return ranks.select("id", F.lit(0.0).alias("rank"))
@@ -129,7 +130,10 @@ def pagerank(
                 F.max("before").alias("before"),
             )
             rank = F.lit((1.0 - alpha) / n + alpha * dangling / n) + F.lit(alpha) * F.col("part")
-            ranks = cut(summed.select("id", "degree", "slots", "before", rank.alias("rank")), "ranks")
+            before, written = written, cut(summed.select("id", "degree", "slots", "before", rank.alias("rank")), "ranks")
+            ranks = written
+            if i:  # the vertices at the beginning are read through the links
+                release(before)
             if tolerance is None and i == max_iterations - 1:
                 break
             change, dangling = ranks.agg(
@@ -143,6 +147,7 @@ def pagerank(
                 raise NotConverged(f"change {change} after {max_iterations} iterations")
     finally:
         links.unpersist()
+        release(pairs)
     return ranks.select("id", "rank")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeskein.operators import lookup
-from codeskein.session import cut
+from codeskein.session import cut, release
 
 
 def neighbours(
@@ -135,14 +135,17 @@ def inheritance_chain(nodes: DataFrame, edges: DataFrame, class_id: str) -> Data
     length, known = 1, 1
     while True:
         further = found.join(jump, found["id"] == jump["child"]).select(jump["id"], (F.col("depth") + length).alias("depth"))
-        found = cut(found.unionByName(further).groupBy("id").agg(F.min("depth").alias("depth")), "chain")
+        before, found = found, cut(found.unionByName(further).groupBy("id").agg(F.min("depth").alias("depth")), "chain")
+        release(before)
         count = found.count()
         if count == known:
+            release(jump)
             break
         known, length = count, 2 * length
         near = jump.withColumnRenamed("id", "middle")
         far = jump.select(F.col("child").alias("middle"), "id")
-        jump = cut(near.join(far, "middle").select("child", "id"), "jumps")
+        before, jump = jump, cut(near.join(far, "middle").select("child", "id"), "jumps")
+        release(before)
     return nodes.join(found.filter("depth > 0"), "id")
 
 

@@ -64,4 +64,16 @@ def cut(df: DataFrame, label: str = "cut", partition_by: str | None = None) -> D
     folder = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    written = spark.read.schema(df.schema).parquet(folder)
+    written._cut_folder = folder
+    return written
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete what `cut` wrote for these frames. Nothing that still reads them may follow."""
+    for frame in frames:
+        folder = getattr(frame, "_cut_folder", None)
+        if folder:
+            context = frame.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeskein.functions import paths
-from codeskein.session import cut
+from codeskein.session import cut, release
 
 DEBOUNCE_SECONDS = 0.5
 
@@ -66,9 +66,13 @@ class BurstSettler:
     def __init__(self, spark: SparkSession, seconds: float = DEBOUNCE_SECONDS):
         self.spark, self.seconds = spark, seconds
         self.open: DataFrame | None = None
+        self._written: tuple = ()
 
     def settle(self, batch: DataFrame | None, now: float | None) -> DataFrame:
-        """Bursts (path, event_type, ts) settled by a batch (path, event_type, ts, seq) and the clock; `now=None` settles all."""
+        """Bursts (path, event_type, ts) settled by a batch (path, event_type, ts, seq) and the clock; `now=None` settles all.
+
+        The result is there until the next call.
+        """
         held = self.open
         if batch is not None:
             fresh = batch.select("path", "event_type", "ts", "seq", F.lit(now or 0.0).alias("arrived"))
@@ -81,5 +85,7 @@ class BurstSettler:
         if now is not None:
             waits = (F.col("ts") == F.col("last_ts")) & (F.col("arrived") + F.lit(self.seconds) > F.lit(now))
         marked = cut(_bursts(held, self.seconds).join(last, "path").withColumn("waits", waits), "bursts")
+        release(*self._written)
+        self._written = (held, marked)
         self.open = marked.filter("waits").select("path", "event_type", "ts", "seq", "arrived")
         return marked.filter("NOT waits").select("path", "event_type", "ts")

@@ -1,4 +1,4 @@
-"""A cross-section of the registered queries next to DuckDB; `tests/compare.py` runs them all."""
+"""All registered queries of the library next to DuckDB."""
 
 import os
 
@@ -6,13 +6,10 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
+from codeskein.plans.suite import SUITE
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SAMPLE = (
-    "a2_type_counts", "a4_change_counts", "f9_functions", "j3_file_symbols", "j6_resolved_references", "k1_word_vectors",
-    "k6_hybrid_context", "p7_typescript_symbols", "p13_go_symbols", "p17_rust_symbols", "s2_scanned_paths", "t1_related",
-    "t4_inheritance_chain", "u5_edges_without_go_files", "w1_debounced_events", "w1_streamed_bursts", "x4_context_blocks",
-)
+NAMES = sorted(name for name, item in SUITE.items() if item.oracle)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no table folder")
 
@@ -27,9 +24,9 @@ def test_every_twin_has_a_query():
     assert len(entry.queries()) > 70
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", NAMES)
 def test_same_rows(spark, duck, name):
-    assert differences(spark, duck, FOLDER, entry.queries()[name], entry.oracle_sql()[name]) == []
+    assert differences(spark, duck, FOLDER, SUITE[name].run, SUITE[name].oracle) == []
 
 
 def test_entry(spark):
