@@ -194,6 +194,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, ra
                 )
 
         seen = text_rows.mapInArrow(scan, "doc_id long, start long, n_words long, size long, mark long, words array<long>")
+        seen = scratch.keep(seen, f"windows-{k}")  # written, so that no task runs two Python workers
         seen = seen.select("*", blocks("mark").alias("block", "bits"))
         theirs = known.where(mine).select("item_id", "size", "print", F.col("words").alias("item_words"), blocks("print").alias("block", "bits"))
         same = seen.join(theirs, ["size", "block", "bits"])

@@ -111,13 +111,15 @@ def mixed(
     slim = scratch.keep(sized.select("doc_id", "source", "size"), "sizes")
     sources = best_seeds(slim, source_targets(slim, scratch, weights, share, most).table, scratch, seeds)
     sources = sources.select(F.col("source").alias("_of"), "source_size", "target", F.col("rate").alias("_rate"), F.col("seed").alias("_seed"))
-    joined = sized.join(sources, F.col("source").eqNullSafe(F.col("_of")), "left")
-    whole = F.floor("_rate")
-    extra = unit_hash(F.col("doc_id"), F.col("source"), F.col("_seed")) < F.col("_rate") - whole
-    return joined.select(*passed, "size", "source_size", "target", (whole + extra.cast("long")).alias("copies"))
+    joined = sized.join(sources, sized["source"].eqNullSafe(sources["_of"]), "left")
+    whole = F.floor(sources["_rate"])
+    extra = unit_hash(sized["doc_id"], sized["source"], sources["_seed"]) < sources["_rate"] - whole
+    added = [sized["size"], sources["source_size"], sources["target"], (whole + extra.cast("long")).alias("copies")]
+    return joined.select(*[sized[c] for c in passed], *added)
 
 
 def emitted(mix: DataFrame) -> DataFrame:
     """Every row `copies` times, without the columns that `mixed` adds."""
-    rows = mix.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.drop("_copy", "size", "source_size", "target", "copies")
+    kept = F.struct(*[c for c in mix.columns if c not in ("size", "source_size", "target", "copies")])
+    rows = mix.where("copies > 0").select(F.explode(F.array_repeat(kept, F.col("copies").cast("int"))).alias("row"))
+    return rows.select("row.*")

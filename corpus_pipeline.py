@@ -22,8 +22,10 @@ LEAST_SCORE = 0.5
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with letters whose likeliest language has at least half of the probability; the labelled rows teach."""
     model = fit_languages(docs, F.lit(True))
-    found = predict_languages(docs, model)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    own = set(docs.columns) & {"lang_pred", "score"}
+    found = predict_languages(docs.select("text", F.struct(*docs.columns).alias("row")) if own else docs, model)
+    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return kept.select("row.*" if own else "*").select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,23 +35,26 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(is_head).alias("_stays"), F.count("*").alias("_rows"))
     # far fewer ids go, or stand on several rows, than stay on one
     marked = Scratch(spark, "marked").keep(ids.where("NOT _stays OR _rows > 1"), "ids")
-    joined = docs.join(marked, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    single = joined.where("_rows IS NULL").select(*docs.columns)
+    joined = docs.join(marked, docs["doc_id"].eqNullSafe(marked["_id"]), "left")
+    columns = [docs[c] for c in docs.columns]
+    single = joined.where(marked["_rows"].isNull()).select(*columns)
     if marked.where("_stays").isEmpty():
         return single
-    return single.unionByName(joined.where("_stays").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    return single.unionByName(joined.where(marked["_stays"]).select(*columns).dropDuplicates(["doc_id", "text"]))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     leaks = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_id")).distinct()
     leaks = Scratch(spark, "leaks").keep(leaks, "leaks")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_id"]), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's rate and its own draw say."""
-    return emitted(mixed(docs)).select(*docs.columns)
+    own = set(docs.columns) & {"size", "source_size", "target", "copies"}
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row")) if own else docs
+    return emitted(mixed(rows)).select("row.*" if own else "*").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
