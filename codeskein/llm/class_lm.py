@@ -71,7 +71,7 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = EXCHANGES) -> np.nda
             table[a] -= out
             table[:, a] -= into
             table[a, a] -= self_pairs
-            rows, cols = table.sum(1), table.sum(0)
+            rows, cols = table.sum(1) + into, table.sum(0) + out  # wherever the word goes, its pairs count
             diagonal = np.diag(table)
             gain = (xlogx(table + out) - xlogx(table)).sum(1) + (xlogx(table.T + into) - xlogx(table.T)).sum(1)
             gain -= xlogx(diagonal + out) + xlogx(diagonal + into) - xlogx(diagonal) - xlogx(diagonal + out + into + self_pairs)

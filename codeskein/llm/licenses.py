@@ -116,7 +116,7 @@ def passages(text: list[int], template: list[int]) -> Iterator[tuple[int, int]]:
     """Stretches of a text that may each hold the template once.
 
     The template's word that the text has least often marks them: each reaches twice the template's length around
-    an occurrence, and not beyond the middle between two, so that a repeated notice is found each time.
+    an occurrence, and not as far as another one, so that a repeated notice is found each time.
     """
     count = Counter(text)
     places = [w for w in set(template) if count[w]]
@@ -126,8 +126,8 @@ def passages(text: list[int], template: list[int]) -> Iterator[tuple[int, int]]:
     at = [i for i, w in enumerate(text) if w == rare]
     reach = 2 * len(template)
     for k, i in enumerate(at):
-        low = max(0, i - reach, (at[k - 1] + i + 1) // 2 if k else 0)
-        high = min(len(text), i + reach + 1, (i + at[k + 1] + 1) // 2 if k + 1 < len(at) else len(text))
+        low = max(0, i - reach, at[k - 1] + 1 if k else 0)
+        high = min(len(text), i + reach + 1, at[k + 1] if k + 1 < len(at) else len(text))
         yield low, high
 
 

@@ -200,7 +200,7 @@ class Boosted:
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         binned = self._binned(x)
-        return self.base + sum(self._of(t, binned) for t in self.trees)
+        return sum((self._of(t, binned) for t in self.trees), np.full(len(binned), self.base))
 
 
 class CandidateModel:
