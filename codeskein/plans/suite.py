@@ -584,9 +584,9 @@ def x16_mtime(spark, folder):
 @query(
     sql.graph(
         """SELECT '# Graph Statistics' || chr(10) || chr(10) || 'Total Nodes: ' ||
- (SELECT count(*) FROM nodes) || chr(10) || 'Total Edges: ' || (SELECT count(*) FROM edges) || chr(10) || chr(10) ||
+ ((SELECT count(*) FROM nodes) + (SELECT count(*) FROM undefined)) || chr(10) || 'Total Edges: ' || (SELECT count(*) FROM edges) || chr(10) || chr(10) ||
  '## Node Types:' || chr(10) || (SELECT string_agg('- ' || type || ': ' || n || chr(10), '' ORDER BY type)
-   FROM (SELECT type, count(*) AS n FROM nodes GROUP BY type)) || chr(10) || '## Edge Types:' || chr(10) ||
+   FROM (SELECT type, count(*) AS n FROM (SELECT type FROM nodes UNION ALL SELECT 'unknown' FROM undefined) GROUP BY type)) || chr(10) || '## Edge Types:' || chr(10) ||
  (SELECT string_agg('- ' || type || ': ' || n || chr(10), '' ORDER BY type)
    FROM (SELECT type, count(*) AS n FROM edges GROUP BY type)) AS text"""
     )
@@ -599,6 +599,7 @@ def x17_stats_text(spark, folder):
 @query(
     sql.graph(
         """SELECT '  "' || id || '" [label="' || type || '\\n' || name || '"];' AS line FROM nodes
+UNION ALL SELECT '  "' || id || '" [label="unknown\\n' || id || '"];' FROM undefined
 UNION ALL SELECT '  "' || source_id || '" -> "' || target_id || '" [label="' || type || '"];' FROM edges
 UNION ALL SELECT unnest(['digraph CodeGraph {', '  rankdir=LR;', '  node [shape=box];', '}'])"""
     )
