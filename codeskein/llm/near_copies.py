@@ -134,25 +134,24 @@ def _check_rows(similar: float):
 
 
 def all_similar(values: np.ndarray, counts: np.ndarray, off: np.ndarray, similar: float) -> np.ndarray:
-    """Which pairs of n multisets are similar, n x n: overlaps are sums of products of the indicators `count >= k`."""
+    """Which pairs of n multisets are similar, n x n: overlaps are sums of products of the indicators `count >= level`."""
     n = len(off) - 1
     owner = np.repeat(np.arange(n), np.diff(off))
     _, feature, seen = np.unique(values, return_inverse=True, return_counts=True)
     shared = seen[feature] > 1
     owner, feature, times = owner[shared], feature[shared], counts[shared]
-    low = np.zeros((n, n), np.float32)
-    k = 1
-    while len(times):
-        _, dense = np.unique(feature, return_inverse=True)
+    low, done = np.zeros((n, n)), 0
+    for level in np.unique(times):
+        on = times >= level
+        _, dense = np.unique(feature[on], return_inverse=True)
         order = np.argsort(dense, kind="stable")
-        o, f = owner[order], dense[order]
+        o, f = owner[on][order], dense[order]
         for begin in range(0, int(f[-1]) + 1, 4096):
             x, y = np.searchsorted(f, [begin, begin + 4096])
             part = np.zeros((n, min(4096, int(f[-1]) + 1 - begin)), np.float32)
             part[o[x:y], f[x:y] - begin] = 1.0
-            low += part @ part.T
-        more = times > k
-        owner, feature, times, k = owner[more], feature[more], times[more], k + 1
+            low += (level - done) * (part @ part.T)
+        done = level
     size = np.zeros(n)
     np.add.at(size, np.repeat(np.arange(n), np.diff(off)), counts)
     return low / np.maximum(size[:, None] + size - low, 1) >= similar

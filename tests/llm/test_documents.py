@@ -381,3 +381,14 @@ def test_docs_without_labels(spark):
     model = language.fit_languages(docs, F.lit(True))
     assert json.dumps(model.names) == "[]"
     assert rows_of(language.predict_languages(docs, model))[0]["lang_pred"] == "und"
+
+
+def test_all_pairs_at_once():
+    rng = np.random.default_rng(8)
+    bags = [plain.Counter(rng.choice(40, rng.integers(1, 90)).tolist()) for _ in range(30)] + [plain.Counter({1: 50_000, 2: 1}), plain.Counter({1: 45_000})]
+    flat = [sorted(b.items()) for b in bags]
+    off = np.cumsum([0, *map(len, flat)])
+    values, counts = (np.array([x[k] for b in flat for x in b]) for k in (0, 1))
+    got = near_copies.all_similar(values.astype(np.uint64), counts, off, 0.5)
+    want = [[plain.similarity(a, b) >= 0.5 for b in bags] for a in bags]
+    assert (got == np.array(want)).all() and 32 < got.sum() < 32 * 32
