@@ -7,9 +7,10 @@ gap matched first. Coverage is the share of the template's words that the alignm
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -112,23 +113,41 @@ def aligned(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def passages(text: list[int], template: list[int]) -> Iterator[tuple[int, int]]:
+def passages(text: list[int], template: list[int], coverage: float = COVERAGE) -> Iterator[tuple[int, int]]:
     """Stretches of a text that may each hold the template once.
 
-    The template's word that the text has least often marks them: each reaches twice the template's length around
-    an occurrence, and not as far as another one, so that a repeated notice is found each time.
+    A notice that reaches the coverage misses at most `spare` of the template's words, so it holds one of any spare + 1 of
+    them; those that the text has least often mark the stretches. Around each of their occurrences come the
+    stretch that the template would fill, the same with room for `spare` and for as many more words as the template has on
+    either side, and one of twice the template's length on either side that ends before the word's next occurrence.
+    Stretches without enough of the template's words, each as often as it has them, are left out.
     """
-    count = Counter(text)
-    places = [w for w in set(template) if count[w]]
-    if not places:
-        return
-    rare = min(places, key=lambda w: (count[w], w))
-    at = [i for i, w in enumerate(text) if w == rare]
-    reach = 2 * len(template)
-    for k, i in enumerate(at):
-        low = max(0, i - reach, at[k - 1] + 1 if k else 0)
-        high = min(len(text), i + reach + 1, at[k + 1] if k + 1 < len(at) else len(text))
-        yield low, high
+    n = len(template)
+    need = ceil(coverage * n - 1e-9)
+    spare = n - need
+    count, own = Counter(text), Counter(template)
+    held, marks = 0, []
+    for w in sorted(own, key=lambda w: (count[w], w)):
+        if held > spare:
+            break
+        held += own[w]
+        marks.append(w)
+    at: dict[int, list[int]] = {w: [] for w in marks}
+    for i, w in enumerate(text):
+        if w in at:
+            at[w].append(i)
+    seen = set()
+    for w, places in at.items():
+        theirs = [j for j, x in enumerate(template) if x == w]
+        for k, i in enumerate(places):
+            spans = [(i - j - room, i - j + n + room) for j in theirs for room in (0, spare, n)]
+            spans.append((max(i - 2 * n, places[k - 1] + 1 if k else 0), min(i + 2 * n + 1, places[k + 1] if k + 1 < len(places) else len(text))))
+            for low, high in spans:
+                span = max(0, low), min(len(text), high)
+                if span not in seen:
+                    seen.add(span)
+                    if (Counter(text[span[0] : span[1]]) & own).total() >= need:
+                        yield span
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
@@ -166,27 +185,29 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
             could = most >= coverage - 1e-9
             data, _ = buffers(column(batch, "text"))
             found: list[tuple] = []
-            per_doc: dict[int, list[tuple]] = {}
+            per_doc: dict[int, set[tuple]] = {}
             edges = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             for i, k in zip(*np.nonzero(could)):
                 seq = sequences[k]
                 own = word[edges[i] : edges[i + 1]]
                 use = np.flatnonzero(np.isin(own, seq))
                 text, where = own[use].tolist(), at[edges[i] : edges[i + 1]][use]
-                for low, high in passages(text, seq):
+                for low, high in passages(text, seq, coverage):
                     got = aligned(text[low:high], seq)
                     share = len(got) / len(seq)
                     if share >= coverage - 1e-9:
-                        per_doc.setdefault(int(i), []).append((-share, -len(got), where[low + got[0][0]], where[low + got[-1][0]], int(k)))
+                        first, last = int(where[low + got[0][0]]), int(where[low + got[-1][0]])
+                        per_doc.setdefault(int(i), set()).add((-share, -len(got), last - first, first, last, int(k)))
             for i, matches in per_doc.items():
-                kept: list[tuple] = []
+                kept: list[tuple] = []  # ascending, and no two overlap
                 for m in sorted(matches):
-                    if not any(a <= m[3] and m[2] <= b for _, _, a, b, _ in kept):
-                        kept.append(m)
-                for k in sorted({m[4] for m in kept}):
-                    own = [m for m in kept if m[4] == k]
+                    k = bisect_left(kept, m[3], key=lambda x: x[4])
+                    if k == len(kept) or kept[k][3] > m[4]:
+                        insort(kept, m, key=lambda x: x[4])
+                for k in sorted({m[5] for m in kept}):
+                    own = sorted((m for m in kept if m[5] == k), key=lambda m: (m[0], m[1], m[3]))
                     begin = text_off[i]
-                    span = [len(data[begin:x].tobytes().decode()) for x in (starts[own[0][2]], ends[own[0][3]])]
+                    span = [len(data[begin:x].tobytes().decode()) for x in (starts[own[0][3]], ends[own[0][4]])]
                     found.append((i, names[k], -own[0][0], len(own), *span))
             cols = list(zip(*found)) or [[]] * 6
             ids = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(cols[0], pa.int64()))

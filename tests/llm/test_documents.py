@@ -44,6 +44,24 @@ def test_licenses_in_texts(spark):
     assert {d for d, _ in by} == {0, 1, 2, 3}
 
 
+def test_licenses_whose_changed_word_stands_elsewhere(spark):
+    """The rarest template word of the text is not part of the notice."""
+    filler = " ".join(f"w{i} the of" for i in range(60))
+    others = " ".join(f"under {i} the {i} MIT {i} license {i}" for i in (1, 2))
+    mit = licenses.TEMPLATES["MIT-text"].split()
+    gone = [w for w in mit if w != "sublicense,"]
+    texts = [
+        f"released {filler} {filler} Distributed under the MIT License {filler} license of {others}",
+        f"sublicense {filler} {' '.join(gone)} {filler} {' '.join(gone)} {' '.join(mit[:40])}",
+        f"released {filler} under {filler} {others}",
+    ]
+    got = rows_of(licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    by = {(r["doc_id"], r["license"]): r for r in got}
+    at = by[0, "MIT"]
+    assert at["coverage"] == 0.8 and texts[0][at["start"] : at["end"]] == "under the MIT License"
+    assert by[1, "MIT-text"]["coverage"] > 0.98 and by[1, "MIT-text"]["copies"] == 2
+
+
 def test_licenses_of_the_table(spark, folder, documents):
     got = rows_of(QUERIES["op1_licenses"](spark, folder))
     assert {r["doc_id"] for r in got} == {d for d, t in documents if "icense" in t}
