@@ -262,6 +262,38 @@ def test_class_model_is_a_distribution(spark):
     assert all(r["score"] < 0 and r["base_score"] < 0 for r in got) and len(got) == 20
 
 
+def test_best_class_is_the_one_that_tells_most():
+    rng = np.random.default_rng(5)
+    pairs = rng.poisson(1.5, (12, 12)).astype(float)
+    own = np.append(rng.integers(0, 3, 10), [3, 4])  # TAIL and the end
+    own[2] = 3  # not placed yet
+    member = np.eye(5)[own]
+    got = class_lm.best_classes(member.T @ pairs @ member, own, pairs @ member, pairs.T @ member, np.diag(pairs))
+    for w in range(10):
+        worth = []
+        for c in range(3):
+            moved = np.eye(5)[np.where(np.arange(12) == w, c, own)]
+            worth.append(class_lm.told(moved.T @ pairs @ moved))
+        assert worth[got[w]] == pytest.approx(max(worth))
+
+
+def test_words_beyond_the_first_set_take_classes_from_both_sides(spark):
+    """Words of two kinds alternate, but for those of a third that no frequent word stands before."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for i in range(300):
+        texts.append(" ".join(f"{'ab'[(i + k) % 2]}{rng.integers(0, 12)}" for k in range(40)))
+    texts += [f"p{i % 20} a{rng.integers(0, 12)} b{rng.integers(0, 12)}" for i in range(200)] + [f"q{i % 20} b{rng.integers(0, 12)} a{rng.integers(0, 12)}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    probe = spark.createDataFrame([(1000, "p3 a1"), (1001, "p3 b1"), (1002, "q3 b1"), (1003, "q3 a1")], "doc_id long, text string")
+    runs = []
+    for head in (1_000_000, 30):
+        got = class_lm.scored_texts(docs.unionByName(probe), F.col("doc_id") < 1000, head_words=head, clustered=8, classes=6)
+        runs.append({r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in rows_of(got)})
+    assert runs[0][1000][0] > runs[0][1001][0] + 0.2 and runs[0][1002][0] > runs[0][1003][0] + 0.2
+    assert all(runs[0][d] == pytest.approx(x) for d, x in runs[1].items())
+
+
 def test_exchange_finds_alternating_classes():
     rng = np.random.default_rng(2)
     side = rng.integers(0, 2, 40)
