@@ -2,13 +2,15 @@
 
 With H[i] = sum of (s_j + 1) B^j over j < i, modulo a prime, any two spans compare in constant time, and the
 longest common extension of two places is found by binary search. A fingerprint keeps H at every g-th place,
-g the power of two that leaves at most 64 of them, and two hashes of the whole; two fingerprints are compared on
-the coarser of their grids.
+g the power of two that leaves at most 64 of them, two hashes of the whole, and H at most 64 cuts that the text itself
+places: where the hash of the next WINDOW code points ends in so many zero bits. Two fingerprints are compared on the coarser of
+their grids, and by the spans between the cuts that both could have, which are equal wherever they stand.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeskein.llm._tables import id_bounds, partitions, range_of
-from codeskein.llm._words import column, pieces
+from codeskein.llm._words import column, mix, pieces
 
 PRIME = (1 << 31) - 1
 BASES = (1_103_515_245, 747_796_405)
 MARKS = 64
+WINDOW, LEAST_BITS = 16, 4
 _P, _31 = np.uint64(PRIME), np.uint64(31)
 
 
@@ -46,6 +49,7 @@ class Powers:
 
 
 _POWERS = tuple(Powers(b % PRIME) for b in BASES)
+_BACK = Powers(pow(BASES[0], -1, PRIME))
 
 
 def code_points(text: str) -> np.ndarray:
@@ -86,8 +90,26 @@ class PrefixHash:
         return low
 
 
+def _cuts(sums: np.ndarray, off: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Zero bits asked for by text; and the text, the place and the zero bits of each cut, in order."""
+    at = np.flatnonzero((place > 0) & (place + WINDOW <= np.repeat(n, n)))
+    back = _BACK.upto(int(n.max()) + 1)
+    x = mix(_fold(((sums[at + WINDOW] - sums[at]) % _P) * back[place[at]]))
+    some = (x & np.uint64((1 << LEAST_BITS) - 1)) == 0
+    at, x = at[some], x[some]
+    bits = np.where(x == 0, 63, np.log2(np.maximum(x & (~x + np.uint64(1)), np.uint64(1)).astype(float))).astype(np.int64)
+    text = np.searchsorted(off, at, "right") - 1
+    asked = np.full(len(n), LEAST_BITS)
+    while (big := np.bincount(text, minlength=len(n)) > MARKS).any():
+        asked[big] += 1
+        keep = bits >= asked[text]
+        at, bits, text = at[keep], bits[keep], text[keep]
+    return asked, text, place[at], bits
+
+
 def fingerprints(texts: list[str]) -> list[str]:
-    """`n:g:whole:marks`, hexadecimal: code points, grid, two whole hashes, and 8 digits for H at each multiple of g."""
+    """`n:g:whole:marks:bits:cuts`, hexadecimal: code points, grid, two whole hashes, and 8 digits for H at each multiple of g;
+    then the zero bits asked for, and 24 digits a cut for its place, H, and its zero bits."""
     if not texts:
         return []
     codes = code_points("".join(texts))
@@ -104,17 +126,35 @@ def fingerprints(texts: list[str]) -> list[str]:
     step = np.arange(many.sum()) - np.repeat(first, many) + 1
     at = np.repeat(off[:-1], many) + step * np.repeat(grid, many)
     marks = ((sums[0][at] - np.repeat(sums[0][off[:-1]], many)) % _P).astype(">u4").tobytes().hex()
-    heads = zip(n.tolist(), grid.tolist(), whole[0].tolist(), whole[1].tolist(), first.tolist(), many.tolist())
-    return [f"{a:x}:{g:x}:{h:08x}{k:08x}:{marks[8 * f : 8 * (f + m)]}" for a, g, h, k, f, m in heads]
+    asked, text, cut, bits = _cuts(sums[0], off, place, n)
+    there = (sums[0][off[text] + cut] - sums[0][off[text]]) % _P
+    cuts = np.column_stack([cut, there.astype(np.int64), bits]).astype(">u4").tobytes().hex()
+    edge = 24 * np.searchsorted(text, np.arange(len(n) + 1))
+    heads = zip(n.tolist(), grid.tolist(), whole[0].tolist(), whole[1].tolist(), first.tolist(), many.tolist(), asked.tolist(), edge[:-1].tolist(), edge[1:].tolist())
+    return [f"{a:x}:{g:x}:{h:08x}{k:08x}:{marks[8 * f : 8 * (f + m)]}:{z:x}:{cuts[b:e]}" for a, g, h, k, f, m, z, b, e in heads]
+
+
+def _spans(n: int, whole: str, asked: int, cuts: str) -> Counter:
+    """How often the text has each span between its cuts with the bits asked for, as (length, hash moved to place 0)."""
+    rows = np.frombuffer(bytes.fromhex(cuts), ">u4").reshape(-1, 3).astype(np.uint64)
+    rows = rows[rows[:, 2] >= asked]
+    edges = np.concatenate([[0], rows[:, 0].astype(np.int64), [n]])
+    at = np.concatenate([[np.uint64(0)], rows[:, 1], [np.uint64(int(whole[:8], 16))]])
+    hashes = _fold(((at[1:] + _P - at[:-1]) % _P) * _BACK.upto(n + 1)[edges[:-1]])
+    return Counter(zip(np.diff(edges).tolist(), hashes.tolist()))
 
 
 def likeness(one: str, two: str) -> float:
-    """Share of the longer text that lies in spans equal at the same place, as far as the marks tell; 1 if the texts are equal."""
+    """Share of the longer text that lies in equal spans, as far as the prints tell; 1 if the texts are equal.
+
+    Spans are those of the grid, equal at the same place, or those between cuts, equal anywhere: whichever cover more.
+    """
     if one == two:
         return 1.0
-    sides = []
+    sides, placed = [], []
     for print_ in (one, two):
-        n, grid, _, marks = print_.split(":")
+        n, grid, whole, marks, asked, cuts = print_.split(":")
+        placed.append((int(n, 16), whole, int(asked, 16), cuts))
         sides.append((int(n, 16), int(grid, 16), np.frombuffer(bytes.fromhex(marks), ">u4").astype(np.int64)))
     (n, g, a), (m, h, b) = sides
     if not n or not m:
@@ -127,7 +167,10 @@ def likeness(one: str, two: str) -> float:
         mid = (low + high + 1) // 2
         low, high = (mid, high) if a[mid - 1] == b[mid - 1] else (low, mid - 1)
     spans = (np.diff(a[low:both]) - np.diff(b[low:both])) % PRIME == 0
-    return min(1.0, (low + int(spans.sum())) * step / max(n, m))
+    asked = max(placed[0][2], placed[1][2])
+    ours, theirs = (_spans(size, whole, asked, cuts) for size, whole, _, cuts in placed)
+    anywhere = sum(length * times for (length, _), times in (ours & theirs).items())
+    return min(1.0, max((low + int(spans.sum())) * step, anywhere) / max(n, m))
 
 
 def edited(text: str, following: str) -> str:

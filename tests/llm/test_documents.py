@@ -362,6 +362,15 @@ def test_likeness():
     assert fingerprints.likeness(prints[0], prints[1]) == 0.0 and fingerprints.likeness(prints[0], prints[0]) == 1.0
 
 
+def test_likeness_survives_insertions():
+    rng = np.random.default_rng(6)
+    text, other = ("".join(chr(97 + c) for c in rng.integers(0, 26, 6400)) for _ in range(2))
+    changed = ["x" + text, text[:3000] + " more words " + text[3000:], text[:200] + text[230:], text[3200:] + text[:3200], text * 3]
+    first, unlike, *prints = fingerprints.fingerprints([text, other, *changed])
+    assert all(fingerprints.likeness(first, p) > 0.9 for p in prints[:4]) and 0.2 < fingerprints.likeness(first, prints[4]) <= 1 / 3
+    assert fingerprints.likeness(first, unlike) < 0.02
+
+
 def test_fingerprints_of_the_table(spark, folder, documents):
     got = {r["doc_id"]: r for r in rows_of(QUERIES["op8_fingerprints"](spark, folder))}
     assert {d: r["edited_sha256"] for d, r in got.items()} == plain.edited(documents)
