@@ -139,7 +139,8 @@ class Encoder:
 
     Byte-level BPE cuts a text where white space meets a word as `runs` does, so a text's ids are those of its
     runs in order. New runs with a space in front go to the library side by side: a token that begins with the
-    space's sign begins a run. Texts with other white space than space and 0x09 to 0x0D go to it whole. The table of runs
+    space's sign begins a run. Texts with other white space than space and 0x09 to 0x0D, and texts that hold the content of
+an added token such as <|endoftext|>, go to it whole, and such content has the added token's id. The table of runs
     is keyed by 64-bit hashes and starts anew with the runs at hand when it would pass `keep`.
     """
 
@@ -150,7 +151,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.added = sorted(t.content for t in self.tok.get_added_tokens_decoder().values())
         self.keep = keep
         self.opens = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.tok.get_vocab_size())])
         self.hashes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -166,6 +167,7 @@ class Encoder:
         own = np.flatnonzero(spaced)
         raw = data.tobytes()
         parts = []
+        self.tok.encode_special_tokens = True  # no text of these runs holds such a token, two runs side by side might
         if len(own):
             cuts = np.flatnonzero(np.diff(np.cumsum(b[own] - a[own]) >> 16)) + 1
             blocks = [b"".join([raw[x:y] for x, y in zip(a[i].tolist(), b[i].tolist())]).decode() for i in np.split(own, cuts)]
@@ -177,6 +179,7 @@ class Encoder:
             n[own] = np.diff(np.append(first, len(ids)))
         rest = np.flatnonzero(~spaced)
         others = self._library([raw[a[i] : b[i]].decode() for i in rest])
+        self.tok.encode_special_tokens = False
         n[rest] = [len(x) for x in others]
         order = np.concatenate([own, rest])
         ids = np.concatenate([*parts, *others, np.zeros(0, np.uint32)])
@@ -187,6 +190,8 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and offsets by text."""
         whole = np.array(pc.match_substring_regex(texts, self.OTHERSPACE), bool)
+        for content in self.added:
+            whole |= np.array(pc.match_substring(texts, content), bool)
         plain = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
         data, off = buffers(plain)
         a, b, at = runs(data, off)

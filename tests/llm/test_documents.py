@@ -135,6 +135,18 @@ def test_ids_are_the_librarys():
     assert [ids[a:b].tolist() for a, b in zip(edge[:-1], edge[1:])] == [e.ids for e in want]
 
 
+def test_added_tokens_in_texts_have_their_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "a <|endo ftext|> b", "<|endoftext|>", "c\n\n<|endoftext|><|endoftext|> \x1c", "plain words"]
+    ids, edge = token_files.Encoder(path).encode(pa.array(texts, pa.large_string()))
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    got = [ids[a:b].tolist() for a, b in zip(edge[:-1], edge[1:])]
+    assert got == [e.ids for e in want] and len(got[0]) == 4
+
+
 def test_token_files_of_the_table(spark, folder, documents):
     import public_tokenizers
 
