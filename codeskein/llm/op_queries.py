@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from codeskein.llm import op_oracles
 from codeskein.llm._tables import Scratch
 from codeskein.llm.chat import format_chats, read_chats
+from codeskein.llm.chat_repair import damaged, repaired
 from codeskein.llm.class_lm import scored_texts
 from codeskein.llm.decontaminate import contaminated
+from codeskein.llm.exact_copies import exact_copies
 from codeskein.llm.fingerprints import fingerprinted
 from codeskein.llm.language import fit_languages, predict_languages
 from codeskein.llm.licenses import license_scan
+from codeskein.llm.merkle import lower_cased, proved
 from codeskein.llm.mixing import mixed, n_words
 from codeskein.llm.near_copies import near_copies
 from codeskein.llm.personal import KINDS, personal_data, span_text
@@ -103,3 +106,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform("base_spans", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(span_text("base_spans"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
+@query("op11_exact_copies", op_oracles.EXACT_COPIES)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op13_manifest", op_oracles.MERKLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 0
+    return proved(table(spark, sf_dir, "documents"), lower_cased(F.col("text")), tampered)
+
+
+@query("op12_chat_repair", op_oracles.CHAT_REPAIR)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(damaged(table(spark, sf_dir, "conversations")))
