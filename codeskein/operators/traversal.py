@@ -6,6 +6,9 @@ so plans stay short, lost executors cost one hop at most, and the planner sees t
 true size: a small one is broadcast against the edges, a large one is joined by shuffle, where
 adaptive execution splits the partitions of hub nodes. The aggregation combines before its
 shuffle, and a hub's neighbours are spread by their own ids.
+
+Edges and nodes may be DataFrames or `StoredRows` of a store; of the latter a hop reads only the files that may hold
+what its frontier touches, as long as the frontier is short.
 """
 
 from __future__ import annotations
@@ -18,10 +21,17 @@ from pyspark.sql import functions as F
 
 from codeskein.operators import lookup
 from codeskein.session import cut, release
+from codeskein.versions import StoredRows
+
+Rows = DataFrame | StoredRows
+
+
+def _all(rows: Rows) -> DataFrame:
+    return rows.all() if isinstance(rows, StoredRows) else rows
 
 
 def neighbours(
-    edges: DataFrame, frontier: DataFrame | str, direction: str, carry: Sequence[str] = ()
+    edges: Rows, frontier: DataFrame | str, direction: str, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Ends of the edges that leave (`out`), enter (`in`) or touch (`both`) the frontier's ids.
 
@@ -29,9 +39,10 @@ def neighbours(
     """
 
     def hop(near: str, far: str) -> DataFrame:
+        rows = edges.near(near, frontier) if isinstance(edges, StoredRows) else edges
         if isinstance(frontier, str):
-            return edges.filter(F.col(near) == frontier).select(F.col(far).alias("id"))
-        ends = edges.select(F.col(near).alias("id"), F.col(far).alias("next_id"))
+            return rows.filter(F.col(near) == frontier).select(F.col(far).alias("id"))
+        ends = rows.select(F.col(near).alias("id"), F.col(far).alias("next_id"))
         return frontier.join(ends, "id").select(*carry, F.col("next_id").alias("id"))
 
     if direction == "out":
@@ -54,7 +65,7 @@ def _new_only(reached: DataFrame, known: Sequence[DataFrame], keys: Sequence[str
 
 
 def bfs(
-    edges: DataFrame,
+    edges: Rows,
     seeds: DataFrame | str,
     max_depth: int | None,
     direction: str = "both",
@@ -92,36 +103,50 @@ def bfs(
     return reduce(DataFrame.unionByName, found[1:])
 
 
-def _of_types(edges: DataFrame, types: Iterable[str] | None) -> DataFrame:
+def _of_types(edges: Rows, types: Iterable[str] | None) -> Rows:
     types = list(types or ())
+    if isinstance(edges, StoredRows):
+        return edges.of_types(types) if types else edges
     return edges.filter(F.col("type").isin(*types)) if types else edges
 
 
+def _nodes_of(nodes: Rows, found: DataFrame) -> DataFrame:
+    """The nodes that were found, with the columns of `found`."""
+    if isinstance(nodes, StoredRows):
+        found = cut(found, "found")
+    return nodes_near(nodes, found).join(found, "id")
+
+
+def nodes_near(nodes: Rows, ids: DataFrame) -> DataFrame:
+    """Nodes among which those with the ids are, still to be joined."""
+    return nodes.near("id", ids) if isinstance(nodes, StoredRows) else nodes
+
+
 def related(
-    nodes: DataFrame,
-    edges: DataFrame,
+    nodes: Rows,
+    edges: Rows,
     node_id: str,
     max_depth: int = 2,
     edge_types: Iterable[str] | None = None,
 ) -> DataFrame:
     """Nodes within `max_depth` steps, edges taken both ways."""
     found = bfs(_of_types(edges, edge_types), node_id, max_depth)
-    return nodes.join(found, "id")
+    return _nodes_of(nodes, found)
 
 
-def callers(nodes: DataFrame, edges: DataFrame, function_id: str, max_depth: int = 3) -> DataFrame:
+def callers(nodes: Rows, edges: Rows, function_id: str, max_depth: int = 3) -> DataFrame:
     """Functions that reach this one over calls; distances up to `max_depth + 1`."""
     found = bfs(_of_types(edges, ["calls"]), function_id, max_depth + 1, "in")
-    return nodes.join(found, "id")
+    return _nodes_of(nodes, found)
 
 
-def callees(nodes: DataFrame, edges: DataFrame, function_id: str, max_depth: int = 3) -> DataFrame:
+def callees(nodes: Rows, edges: Rows, function_id: str, max_depth: int = 3) -> DataFrame:
     """Functions this one reaches over calls; distances up to `max_depth + 1`."""
     found = bfs(_of_types(edges, ["calls"]), function_id, max_depth + 1, "out")
-    return nodes.join(found, "id")
+    return _nodes_of(nodes, found)
 
 
-def inheritance_chain(nodes: DataFrame, edges: DataFrame, class_id: str) -> DataFrame:
+def inheritance_chain(nodes: Rows, edges: Rows, class_id: str) -> DataFrame:
     """First parent, its first parent and so on; `depth` is the place in the chain.
 
     Only the first edge of a class counts (least `ord`, then target). A cycle or an undefined
@@ -129,8 +154,8 @@ def inheritance_chain(nodes: DataFrame, edges: DataFrame, class_id: str) -> Data
     round, so a chain of n classes takes about log2(n) rounds.
     """
     first = F.min_by("target_id", F.struct("ord", "target_id")).alias("id")
-    jump = _of_types(edges, ["inherits"]).groupBy("source_id").agg(first)
-    jump = cut(nodes.select("id").join(jump, "id").select(F.col("source_id").alias("child"), "id"), "parents")
+    jump = _all(_of_types(edges, ["inherits"])).groupBy("source_id").agg(first)
+    jump = cut(_all(nodes).select("id").join(jump, "id").select(F.col("source_id").alias("child"), "id"), "parents")
     found = edges.sparkSession.range(0, 1, 1, 1).select(F.lit(class_id).alias("id"), F.lit(0).alias("depth"))
     length, known = 1, 1
     while True:
@@ -146,30 +171,31 @@ def inheritance_chain(nodes: DataFrame, edges: DataFrame, class_id: str) -> Data
         far = jump.select(F.col("child").alias("middle"), "id")
         before, jump = jump, cut(near.join(far, "middle").select("child", "id"), "jumps")
         release(before)
-    return nodes.join(found.filter("depth > 0"), "id")
+    return _nodes_of(nodes, found.filter("depth > 0"))
 
 
-def subclasses(nodes: DataFrame, edges: DataFrame, class_id: str, recursive: bool = True) -> DataFrame:
+def subclasses(nodes: Rows, edges: Rows, class_id: str, recursive: bool = True) -> DataFrame:
     """All classes below this one, or only the direct ones."""
     found = bfs(_of_types(edges, ["inherits"]), class_id, None if recursive else 1, "in")
-    return nodes.join(found, "id")
+    return _nodes_of(nodes, found)
 
 
-def references(nodes: DataFrame, edges: DataFrame, symbol_id: str, max_results: int = 20) -> DataFrame:
+def references(nodes: Rows, edges: Rows, symbol_id: str, max_results: int = 20) -> DataFrame:
     """Callers of a function or subclasses of a class, the nearest first, score 0.8."""
-    row = lookup.node(nodes, symbol_id).select("type").first()
+    known = nodes.near("id", symbol_id) if isinstance(nodes, StoredRows) else nodes
+    row = lookup.node(known, symbol_id).select("type").first()
     kind = row["type"] if row else None
     if kind == "function":
         found = callers(nodes, edges, symbol_id)
     elif kind == "class":
         found = subclasses(nodes, edges, symbol_id)
     else:
-        found = nodes.filter(F.lit(False)).withColumn("depth", F.lit(0))
+        found = known.filter(F.lit(False)).withColumn("depth", F.lit(0))
     return found.withColumn("score", F.lit(0.8)).orderBy("depth", "id").limit(max_results)
 
 
 def expand_hits(
-    edges: DataFrame, hits: DataFrame, max_depth: int = 1, seeds: int = 5, default_score: float = 0.5
+    edges: Rows, hits: DataFrame, max_depth: int = 1, seeds: int = 5, default_score: float = 0.5
 ) -> DataFrame:
     """Neighbourhood of the first `seeds` hits: (id, seed_rank, depth, score).
 

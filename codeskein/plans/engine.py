@@ -24,22 +24,23 @@ class GraphTraversal:
     def get_related_symbols(
         self, node_id: str, max_depth: int = 2, edge_types: Iterable[str] | None = None
     ) -> DataFrame:
-        return traversal.related(self.store.nodes, self.store.edges, node_id, max_depth, edge_types)
+        return traversal.related(self.store.node_rows, self.store.edge_rows, node_id, max_depth, edge_types)
 
     def find_callers(self, function_id: str, max_depth: int = 3) -> DataFrame:
-        return traversal.callers(self.store.nodes, self.store.edges, function_id, max_depth)
+        return traversal.callers(self.store.node_rows, self.store.edge_rows, function_id, max_depth)
 
     def find_callees(self, function_id: str, max_depth: int = 3) -> DataFrame:
-        return traversal.callees(self.store.nodes, self.store.edges, function_id, max_depth)
+        return traversal.callees(self.store.node_rows, self.store.edge_rows, function_id, max_depth)
 
     def find_inheritance_chain(self, class_id: str) -> DataFrame:
-        return traversal.inheritance_chain(self.store.nodes, self.store.edges, class_id)
+        return traversal.inheritance_chain(self.store.node_rows, self.store.edge_rows, class_id)
 
     def find_subclasses(self, class_id: str, recursive: bool = True) -> DataFrame:
-        return traversal.subclasses(self.store.nodes, self.store.edges, class_id, recursive)
+        return traversal.subclasses(self.store.node_rows, self.store.edge_rows, class_id, recursive)
 
     def get_file_symbols(self, file_id: str) -> DataFrame:
-        return lookup.file_symbols(self.store.nodes, self.store.edges, file_id)
+        edges = self.store.edge_rows.near("source_id", file_id)
+        return lookup.file_symbols(self.store.node_rows.near("id", edges.select(F.col("target_id").alias("id"))), edges, file_id)
 
     def find_dependencies(self, file_id: str) -> DataFrame:
         return lookup.dependencies(self.store.nodes, self.store.edges, file_id)
@@ -48,7 +49,9 @@ class GraphTraversal:
         return lookup.dependents(self.store.nodes, module_name)
 
     def get_complexity_score(self, node_id: str) -> float:
-        return aggregates.complexity_of(self.store.edges, node_id).first()["complexity"]
+        rows = self.store.edge_rows
+        ends = rows.near("source_id", node_id).unionByName(rows.near("target_id", node_id).filter(F.col("source_id") != node_id))
+        return aggregates.complexity_of(ends, node_id).first()["complexity"]
 
     def find_central_nodes(self, top_k: int = 10) -> DataFrame:
         return aggregates.central_nodes(self.store.nodes, self.store.edges, top_k)
@@ -68,9 +71,9 @@ class QueryEngine:
         self.vectors = vector_store or VectorStore(store.spark, vector_path)
 
     def index_vectors(self) -> int:
-        """Make the collection hold one document per node; nodes that are gone leave it."""
+        """Make the collection hold one document per node; only nodes that came, went or changed are written."""
         documents = self.store.nodes.select("id", text.document().alias("document"), "type", "name")
-        return self.vectors.replace_all(documents.filter(F.col("document") != ""))
+        return self.vectors.renew(documents.filter(F.col("document") != ""))
 
     def query(
         self,
@@ -86,8 +89,8 @@ class QueryEngine:
         hits = cut(self.vectors.search(query_text, max_results, types), "found")
         ranked = cut(
             rank_hits(
-                self.store.nodes,
-                self.store.edges,
+                self.store.node_rows,
+                self.store.edge_rows,
                 hits,
                 max_results,
                 expand_graph,
@@ -107,11 +110,11 @@ class QueryEngine:
         return QueryResult(lookup.find_definition(self.store.nodes, symbol_name), [F.col("id")])
 
     def find_references(self, symbol_id: str, max_results: int = 20) -> QueryResult:
-        found = traversal.references(self.store.nodes, self.store.edges, symbol_id, max_results)
+        found = traversal.references(self.store.node_rows, self.store.edge_rows, symbol_id, max_results)
         return QueryResult(found, [F.col("depth"), F.col("id")])
 
     def get_file_summary(self, file_path: str) -> QueryResult:
-        symbols = lookup.file_symbols(self.store.nodes, self.store.edges, f"file:{file_path}")
+        symbols = self.traversal.get_file_symbols(f"file:{file_path}")
         symbols = cut(symbols.withColumn("score", F.lit(1.0)), "summary")
         counts = symbols.agg(
             *[F.count_if(F.col("bucket") == b).alias(b) for b in ("functions", "classes", "imports")]

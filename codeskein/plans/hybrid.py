@@ -35,19 +35,19 @@ class QueryResult:
         return self.nodes.select("id", "score")
 
 
-def hits_with_nodes(hits: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def hits_with_nodes(hits: DataFrame, nodes: traversal.Rows, k: int) -> DataFrame:
     """(rank, id, score): hits that are nodes, renumbered in the same order.
 
     An inner join, for ids are unique: of a semi join only the right side, here the large one, could be broadcast.
     """
-    known = nodes.select("id").join(hits, "id")
+    known = traversal.nodes_near(nodes, hits).select("id").join(hits, "id")
     scored = known.select("id", F.col("rank").alias("_hit"), ranking.similarity(F.col("distance")).alias("score"))
     return ranking.ranked(scored, k, F.col("_hit")).select("rank", "id", "score")
 
 
 def rank_hits(
-    nodes: DataFrame,
-    edges: DataFrame,
+    nodes: traversal.Rows,
+    edges: traversal.Rows,
     hits: DataFrame,
     max_results: int = 10,
     expand: bool = True,
@@ -69,7 +69,7 @@ def rank_hits(
         found = found.unionByName(near.select("id", "score", F.lit(True).alias("is_neighbour"), "seed_rank", "depth"))
         found = cut(found, "candidates")
     # One read of the nodes both drops ids without a node and fetches the fields.
-    fetched = nodes.join(found, "id")
+    fetched = traversal.nodes_near(nodes, found).join(found, "id")
     if expand and filter_neighbours and node_types:
         fetched = fetched.filter(~F.col("is_neighbour") | F.col("type").isin(*node_types))
     return ranking.ranked(fetched, max_results, F.desc("score"), *[F.col(c) for c in FINAL_ORDER])

@@ -47,9 +47,9 @@ class CodeIndexer:
             "references": symbols.symbol_references(declarations),
         }
 
-    def _replace(self, gone: DataFrame, declarations: DataFrame) -> None:
+    def _replace(self, gone: DataFrame, declarations: DataFrame, state: dict[str, str] | None = None) -> None:
         files = gone.unionByName(declarations.filter("kind = 'file'").select("file_id"))
-        self.store.replace_files(files, self._tables(declarations))
+        self.store.replace_files(files, self._tables(declarations), state)
 
     def index_full(self, progress: Progress | None = None) -> dict[str, int]:
         """Scan, parse and store the whole tree in place of what was stored."""
@@ -62,16 +62,15 @@ class CodeIndexer:
         report("parse", 2, 3)
         declarations = self._declarations(files)
         report("store", 3, 3)
-        self.store.replace_all(self._tables(declarations))
-        self._remember_commit(head)
+        self.store.replace_all(self._tables(declarations), self._mark(head))
         return symbols.index_counts(declarations).first().asDict()
 
     def index_incremental(self, since_commit: str | None = None, progress: Progress | None = None) -> dict[str, int]:
         """Apply what git reports as changed since a commit: committed, staged, unstaged, untracked.
 
         Without an argument that commit is the one of the last run. Where it is unknown, or HEAD no longer
-        descends from it, everything is indexed. The mark moves to HEAD as it was before the listing, and
-        only after all else has succeeded.
+        descends from it, everything is indexed. The mark moves to HEAD as it was before the listing, in the same
+        commit of the store that brings the changes.
         """
         since = since_commit or self.last_commit()
         if not self.git.is_git_repo() or not since or not self.git.has_commit(since):
@@ -87,8 +86,7 @@ class CodeIndexer:
         declarations = self._declarations(repo_files.not_git_ignored(wanted, self.root))
         report("store", 3, 3)
         removed = changes.removed_paths(found).select(paths.file_id(F.col("path")).alias("file_id"))
-        self._replace(removed, declarations)
-        self._remember_commit(head)
+        self._replace(removed, declarations, self._mark(head))
         return changes.change_counts(found, symbols.indexed_files(declarations)).first().asDict()
 
     def apply_events(self, events: DataFrame) -> None:
@@ -107,6 +105,7 @@ class CodeIndexer:
         """The commit at the end of the last run, to be given to `index_incremental`."""
         return self.store.get_state("commit")
 
-    def _remember_commit(self, commit: str | None) -> None:
-        if commit:
-            self.store.set_state("commit", commit)
+    @staticmethod
+    def _mark(commit: str | None) -> dict[str, str]:
+        """The fact that is stored in one commit with what was indexed."""
+        return {"commit": commit} if commit else {}

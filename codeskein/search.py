@@ -2,32 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from codeskein.functions.vectors import query_weights
 from codeskein.operators import ranking
-from codeskein.session import cut, spread
+from codeskein.session import cut, release, remove, spread, work_folder
+from codeskein.versions import Layout, VersionedTables
 
-_DOCUMENTS = "id string, document string, type string, name string, metadata map<string,string>, version long"
-_POSTINGS = "word string, id string, type string, weight double, version long"
-_EMBEDDINGS = "id string, type string, embedding array<double>, version long"
-_CHANGES = "id string, version long, deleted boolean"
+_DOCUMENTS = "id string, document string, type string, name string, metadata map<string,string>"
+_POSTINGS = "word string, id string, type string, weight double"
+_EMBEDDINGS = "id string, type string, embedding array<double>"
+_schema_of = T.StructType.fromDDL
 _FIELDS = ("id", "document", "type", "name", "metadata")
 
 
 class VectorStore:
-    """Documents with cosine search, in memory of the session or, with a path, in parquet.
+    """Documents with cosine search in versioned tables, below `path` or, without one, in the work folder of the session.
 
     Without `embed` a document's vector is its bag of words, kept as posting rows sorted by word, so
-    that a search reads only the parts of the files that hold its words. `embed` may be any
+    that a search opens only the files that hold its words. `embed` may be any
     expression from a text column to an array of numbers (a built-in or a Pandas UDF around a
     model); vectors are then stored and compared in full.
 
-    A change appends what it changes under a new version: new rows, and a line (id, version, deleted) for each
-    id. Readers keep the latest version of an id. After `merge_after` changes, or by `compact`, the
-    tables are written anew without what has been replaced.
+    A change is one commit that brings the documents with their vectors and deletes what they replace; nothing
+    else is written. `compact` merges what changes have left; after `merge_after` runs that happens by itself.
     """
 
     def __init__(
@@ -36,121 +39,100 @@ class VectorStore:
         path: str | None = None,
         collection_name: str = "code_embeddings",
         embed: Callable[[Column], Column] | None = None,
-        merge_after: int = 32,
+        **options: int,
     ):
-        self.spark, self.embed, self.merge_after = spark, embed, merge_after
+        self.spark, self.embed = spark, embed
         self.path = f"{str(path).rstrip('/')}/{collection_name}" if path else None
-        self._vectors, kind = ("embeddings", _EMBEDDINGS) if embed else ("postings", _POSTINGS)
-        self._schemas = {"documents": _DOCUMENTS, self._vectors: kind, "changes": _CHANGES}
-        self._frames: dict[str, list[DataFrame]] = {name: [] for name in self._schemas}
-        if self.path is not None:
-            for name, schema in self._schemas.items():
-                spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.path}/{name}")
-        self._version = self._read("changes").agg(F.max("version")).first()[0] or 0
-        self._since = self._read("changes").select("version").distinct().count()
-
-    # --- tables ---
-
-    def _read(self, name: str) -> DataFrame:
-        if self.path is not None:
-            return self.spark.read.schema(self._schemas[name]).parquet(f"{self.path}/{name}")
-        rows = self.spark.createDataFrame([], self._schemas[name])
-        for part in self._frames[name]:
-            rows = rows.unionByName(part)
-        return rows
-
-    def _write(self, name: str, rows: DataFrame, mode: str) -> None:
-        if self.path is not None:
-            rows.write.mode(mode).parquet(f"{self.path}/{name}")
-        elif mode == "append":
-            self._frames[name].append(cut(rows, name))
-        else:
-            self._frames[name] = [cut(rows, name)]
-
-    def _live(self) -> DataFrame | None:
-        """(id, version) of what is current; None if nothing was replaced since the last merge."""
-        if self._since <= 1:
-            return None
-        last = self._read("changes").groupBy("id").agg(F.max(F.struct("version", "deleted")).alias("last"))
-        return last.filter("NOT last.deleted").select("id", F.col("last.version").alias("version"))
-
-    def _current(self, name: str) -> DataFrame:
-        live = self._live()
-        rows = self._read(name)
-        return rows if live is None else rows.join(live, ["id", "version"])
+        self._vectors = "embeddings" if embed else "postings"
+        documents = Layout(_schema_of(_DOCUMENTS), ("id",), ("id",))
+        vectors = Layout(_schema_of(_EMBEDDINGS), ("id",), ("id",)) if embed else Layout(_schema_of(_POSTINGS), ("id",), ("word",))
+        folder = self.path or f"{work_folder(spark)}/vectors-{uuid.uuid4().hex}"
+        self.tables = VersionedTables(spark, folder, {"documents": documents, self._vectors: vectors}, **options)
 
     @property
     def documents(self) -> DataFrame:
-        return self._current("documents").select(*_FIELDS)
+        return self.tables.rows("documents").all()
 
     # --- changing ---
 
     def _vector_rows(self, documents: DataFrame) -> DataFrame:
         if self.embed:
-            return documents.select("id", "type", self.embed(F.col("document")).alias("embedding"), "version")
-        words = ranking.word_vectors(spread(documents, "id"), "version")
-        words = cut(words, "words")  # range partitioning reads it twice
-        # By id as well: a word of very many documents is spread over several files.
-        return words.repartitionByRange("word", "id").sortWithinPartitions("word", "id")
+            return documents.select("id", "type", self.embed(F.col("document")).alias("embedding"))
+        return ranking.word_vectors(spread(documents, "id"))
 
-    def _conformed(self, documents: DataFrame) -> DataFrame:
+    def _put(self, documents: DataFrame, replace: bool) -> int:
+        """Write documents, each id once, with their vectors."""
         if "metadata" not in documents.columns:
             documents = documents.withColumn("metadata", F.lit(None).cast("map<string,string>"))
-        return documents.select(*_FIELDS)
-
-    def _put(self, documents: DataFrame, mode: str) -> int:
-        """Write documents, each id once, as a version; vectors first and the lines that make them count last."""
-        rows = cut(documents.withColumn("version", F.lit(self._version + 1).cast("long")), "documents")
+        rows = cut(documents.select(*_FIELDS), "documents")
         count = rows.count()
-        if not count and mode == "append":
-            return 0
-        self._write(self._vectors, self._vector_rows(rows), mode)
-        self._write("documents", rows, mode)
-        self._write("changes", rows.select("id", "version", F.lit(False).alias("deleted")), mode)
-        self._version += 1
-        self._since = self._since + 1 if mode == "append" else 1
+        if count or replace:
+            names = ("documents", self._vectors)
+            dead = {} if replace else dict.fromkeys(names, rows.select("id"))
+            self.tables.commit({"documents": rows, self._vectors: self._vector_rows(rows)}, dead, names if replace else ())
+        release(rows)
         return count
 
     def replace_all(self, documents: DataFrame) -> int:
         """Make `documents` (id, document, type, name[, metadata]) the whole collection; returns its size."""
-        return self._put(self._conformed(documents), "overwrite")
+        return self._put(documents, True)
+
+    def add(self, documents: DataFrame) -> int:
+        """Insert or replace by id; only the given documents are written and taken apart. Returns their number."""
+        return self._put(documents, False)
 
-    def add(self, documents: DataFrame) -> None:
-        """Insert or replace by id; only the given documents are written and taken apart."""
-        self._put(self._conformed(documents), "append")
-        self._merge_if_due()
+    def renew(self, documents: DataFrame) -> int:
+        """Make `documents` the whole collection, but write only what differs from it; returns the size.
+
+        One join by id finds new, changed and missing documents; a document that is the same keeps its vector.
+        """
+        if "metadata" not in documents.columns:
+            documents = documents.withColumn("metadata", F.lit(None).cast("map<string,string>"))
+        wanted = cut(documents.select(*_FIELDS), "documents")
+
+        def as_one(names: tuple[str, ...]) -> Column:
+            return F.struct(*[F.map_entries(n).alias(n) if n == "metadata" else F.col(n) for n in names])
+
+        rest = _FIELDS[1:]
+        old = self.documents.select(F.col("id").alias("_id"), as_one(rest).alias("_old"))
+        both = wanted.select("*", as_one(rest).alias("_new")).join(old, F.col("id") == F.col("_id"), "full_outer")
+        changed = cut(both.filter("_old IS NULL OR _new IS NULL OR _old != _new").drop("_old", "_new"), "changed")
+        if not changed.isEmpty():
+            new = changed.filter("id IS NOT NULL").select(*_FIELDS)
+            gone = changed.filter("_id IS NOT NULL").select(F.col("_id").alias("id"))
+            self.tables.commit({"documents": new, self._vectors: self._vector_rows(new)}, dict.fromkeys(("documents", self._vectors), gone))
+        count = wanted.count()
+        release(wanted, changed)
+        return count
 
     def delete(self, ids: Iterable[str]) -> None:
         ids = list(ids)
         if ids:
-            self._drop(self.spark.createDataFrame([(i,) for i in ids], "id string").distinct())
+            self._drop(self.spark.createDataFrame([(i,) for i in ids], "id string"))
 
     def delete_where(self, condition: Column) -> None:
         """Remove the documents for which a condition on their fields holds."""
         self._drop(self.documents.filter(F.coalesce(condition, F.lit(False))).select("id"))
 
     def _drop(self, ids: DataFrame) -> None:
-        version = F.lit(self._version + 1).cast("long").alias("version")
-        gone = cut(ids.select("id", version, F.lit(True).alias("deleted")), "deleted")
-        if gone.isEmpty():
-            return
-        self._write("changes", gone, "append")
-        self._version += 1
-        self._since += 2  # even after a first version there is now something to leave out
-        self._merge_if_due()
-
-    def _merge_if_due(self) -> None:
-        if self._since > self.merge_after:
-            self.compact()
+        gone = cut(ids.select("id"), "deleted")
+        if not gone.isEmpty():
+            self.tables.commit(dead=dict.fromkeys(("documents", self._vectors), gone))
+        release(gone)
 
     def compact(self) -> None:
-        """Write the collection anew with one version and without what was replaced."""
-        self._put(cut(self.documents, "documents"), "overwrite")
+        """Merge what changes have left."""
+        self.tables.compact()
+
+    def close(self) -> None:
+        """A collection without a path is deleted; nothing else is held open."""
+        if self.path is None:
+            remove(self.spark, self.tables.path)
 
     # --- reading ---
 
     def get(self, ids: Iterable[str]) -> DataFrame:
-        return self.documents.filter(F.col("id").isin(list(ids)))
+        return self.tables.rows("documents").near("id", list(ids))
 
     def count(self) -> int:
         return self.documents.count()
@@ -160,10 +142,11 @@ class VectorStore:
 
         `where` is a condition on id, document, type, name and metadata.
         """
-        vectors, listed = self._current(self._vectors), self._current("documents")
+        rows, listed = self.tables.rows(self._vectors), self.documents
+        vectors = rows.all() if self.embed else rows.near("word", list(query_weights(query)))
         if where is not None:
             listed = listed.filter(where)
-            vectors = vectors.join(listed.select("id", "version"), ["id", "version"])
+            vectors = vectors.join(listed.select("id"), "id")
         if self.embed:
             row = self.spark.range(0, 1, 1, 1).select(self.embed(F.lit(query)).alias("v")).first()
             return ranking.nearest(vectors, [float(x) for x in row["v"]], n_results, types)
@@ -171,4 +154,5 @@ class VectorStore:
 
     def with_documents(self, hits: DataFrame) -> DataFrame:
         """Hits of a search with document, type, name and metadata."""
-        return self.documents.join(hits, "id").select(*hits.columns, *[f for f in _FIELDS if f not in hits.columns])
+        found = self.tables.rows("documents").near("id", hits)
+        return found.join(hits, "id").select(*hits.columns, *[f for f in _FIELDS if f not in hits.columns])

@@ -69,11 +69,25 @@ def cut(df: DataFrame, label: str = "cut", partition_by: str | None = None) -> D
     return written
 
 
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of any store that Spark reaches; none if there is no such folder."""
+    files, path = _hadoop(spark, folder)
+    return [entry.getPath().getName() for entry in files.listStatus(path)] if files.exists(path) else []
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    files, path = _hadoop(spark, folder)
+    files.delete(path, True)
+
+
 def release(*frames: DataFrame | None) -> None:
     """Delete what `cut` wrote for these frames. Nothing that still reads them may follow."""
     for frame in frames:
         folder = getattr(frame, "_cut_folder", None)
         if folder:
-            context = frame.sparkSession.sparkContext
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            remove(frame.sparkSession, folder)

@@ -2,76 +2,72 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from codeskein.operators import aggregates, lookup, resolve, sets
-from codeskein.schema import EDGES, NODES, conform, owner_of_node
-from codeskein.session import cut
+from codeskein.operators import aggregates, lookup, resolve
+from codeskein.schema import EDGES, NODES, conform
+from codeskein.session import cut, release, remove, work_folder
+from codeskein.versions import Layout, StoredRows, VersionedTables
 
-_TABLES = {"nodes": NODES, "edges": EDGES, "references": EDGES}
-_EDGE_KEY = ["source_id", "target_id", "type"]
+_TABLES = ("nodes", "edges", "references")
+_EDGE_KEY = ("source_id", "target_id", "type")
+_ENDS = Layout(EDGES, _EDGE_KEY, ("source_id", "target_id"), by_type=True)
+LAYOUTS = {
+    "nodes": Layout(NODES, ("id",), ("id", "file_id"), by_type=True),
+    "edges": _ENDS,
+    "references": Layout(EDGES, ("owner",), ("owner",)),
+    "resolved": _ENDS,
+}
 
 
 class GraphStore:
-    """Nodes and edges, in memory of the session or, with a path, in parquet.
+    """Nodes and edges in versioned parquet tables, below `path` or, without one, in the work folder of the session.
 
-    Stored tables are partitioned by `bucket`, a hash of the owning file, and a change rewrites
-    only the buckets it touches. Overwriting a partition needs at least one row, so every written
-    bucket also holds one row without a key, which readers filter out.
+    Nodes are found by id and by file, edges by either end, without reading other files than those that may hold them.
+    Every method that changes the graph is one commit over all its tables, and writes only what changes.
 
-    `references` are the calls and base classes that name a symbol; `resolve()` turns them into
-    edges, which live apart since they depend on all files at once.
+    `references` are the calls and base classes that name a symbol; `resolve()` turns them into edges, which live
+    apart since they depend on all files at once.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, **options: int):
+        self.spark = spark
         self.path = str(path).rstrip("/") if path else None
-        self._frames: dict[str, DataFrame] = {}
-        for name, schema in [*_TABLES.items(), ("resolved", EDGES)]:
-            empty = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())]))
-            if self.path is None:
-                self._frames[name] = empty
-            elif name == "resolved":
-                empty.drop("bucket").write.mode("ignore").partitionBy("type").parquet(f"{self.path}/{name}")
-            else:
-                empty.write.mode("ignore").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        self.tables = VersionedTables(spark, self.path or f"{work_folder(spark)}/graph-{uuid.uuid4().hex}", LAYOUTS, **options)
 
     # --- reading ---
 
-    def _table(self, name: str) -> DataFrame:
-        """A table with its bucket column."""
-        if self.path is None:
-            return self._frames[name]
-        schema = T.StructType([*_TABLES[name].fields, T.StructField("bucket", T.IntegerType())])
-        key = "id" if name == "nodes" else "source_id"
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        return rows.filter(F.col(key).isNotNull())
+    @property
+    def node_rows(self) -> StoredRows:
+        """The nodes for lookups by id or file."""
+        return self.tables.rows("nodes")
+
+    @property
+    def edge_rows(self) -> StoredRows:
+        """The edges, resolved ones included, for lookups by either end."""
+        return self.tables.rows("edges", "resolved")
 
     @property
     def nodes(self) -> DataFrame:
-        return self._table("nodes").drop("bucket")
+        return self.node_rows.all()
 
     @property
     def references(self) -> DataFrame:
-        return self._table("references").drop("bucket")
+        return self.tables.rows("references").all()
 
     @property
     def resolved(self) -> DataFrame:
-        if self.path is None:
-            return self._frames["resolved"].drop("bucket")
-        return self.spark.read.schema(EDGES).parquet(f"{self.path}/resolved")
+        return self.tables.rows("resolved").all()
 
     @property
     def edges(self) -> DataFrame:
-        return self._table("edges").drop("bucket").unionByName(self.resolved)
+        return self.edge_rows.all()
 
     def get_node(self, node_id: str) -> DataFrame:
-        return lookup.node(self.nodes, node_id)
+        return self.node_rows.near("id", node_id)
 
     def get_nodes_by_type(self, node_type: str) -> DataFrame:
         return lookup.nodes_of_type(self.nodes, node_type)
@@ -80,10 +76,10 @@ class GraphStore:
         return lookup.nodes_by_name(self.nodes, name, exact)
 
     def get_edges_from(self, node_id: str, edge_type: str | None = None) -> DataFrame:
-        return lookup.edges_from(self.edges, node_id, edge_type)
+        return lookup.edges_from(self.edge_rows.near("source_id", node_id), node_id, edge_type)
 
     def get_edges_to(self, node_id: str, edge_type: str | None = None) -> DataFrame:
-        return lookup.edges_to(self.edges, node_id, edge_type)
+        return lookup.edges_to(self.edge_rows.near("target_id", node_id), node_id, edge_type)
 
     def node_count(self) -> int:
         """Nodes, endpoints without a node included."""
@@ -106,71 +102,14 @@ class GraphStore:
 
     # --- changing ---
 
-    def _bucket(self, owner: F.Column) -> F.Column:
-        return F.pmod(F.xxhash64(owner), F.lit(self.buckets)).cast("int")
-
-    def _with_bucket(self, name: str, rows: DataFrame) -> DataFrame:
-        owner = owner_of_node() if name == "nodes" else F.coalesce("owner", "source_id")
-        return conform(rows, _TABLES[name]).withColumn("bucket", self._bucket(owner))
-
-    def _rewrite(self, name: str, kept, added: DataFrame | None, touched: DataFrame | None) -> None:
-        """Replace buckets of a table: `kept(current rows)` plus `added`.
-
-        `touched` lists buckets that lose rows. The new rows are written aside first: the plan
-        that reads the old ones has ended before they are replaced.
-        """
-        if self.path is None:
-            rows = kept(self._frames[name])
-            rows = rows.unionByName(added) if added is not None else rows
-            key = ["id"] if name == "nodes" else ["source_id", "target_id"]
-            self._frames[name] = cut(rows.repartition(*key), name)
-            return
-        listed = [part.select("bucket") for part in (added, touched) if part is not None]
-        hit = [r["bucket"] for r in reduce(DataFrame.unionByName, listed).distinct().collect()]
-        if not hit:
-            return
-        rows = kept(self._table(name).filter(F.col("bucket").isin(hit)))
-        rows = cut(rows.unionByName(added) if added is not None else rows, name)
-        marks = self.spark.createDataFrame([(b,) for b in hit], "bucket int")
-        marked = rows.unionByName(marks, allowMissingColumns=True)
-        (
-            # One file per bucket, several where a bucket has grown large.
-            marked.hint("rebalance", "bucket")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(f"{self.path}/{name}")
-        )
-
-    def replace_all(self, new: dict[str, DataFrame]) -> None:
+    def replace_all(self, new: dict[str, DataFrame], state: dict[str, str] | None = None) -> None:
         """Make the new `nodes`, `edges` and `references` the whole graph, nothing resolved yet."""
-        for name in _TABLES:
-            rows = self._with_bucket(name, new[name])
-            if self.path is None:
-                self._frames[name] = cut(rows, name)
-            else:
-                writer = rows.hint("rebalance", "bucket").write.mode("overwrite")
-                writer = writer.option("partitionOverwriteMode", "static").partitionBy("bucket")
-                writer.parquet(f"{self.path}/{name}")
-        self._write_resolved(self.spark.createDataFrame([], EDGES))
-
-    def _drop_resolved(self, gone: DataFrame) -> None:
-        if self.resolved.isEmpty():
-            return
-        kept = sets.without_nodes(gone, self.resolved, gone)[1]
-        self._write_resolved(cut(kept, "resolved"))
-
-    def _write_resolved(self, rows: DataFrame) -> None:
-        if self.path is None:
-            self._frames["resolved"] = cut(rows.withColumn("bucket", F.lit(0)), "resolved")
-        else:
-            rows.write.mode("overwrite").partitionBy("type").parquet(f"{self.path}/resolved")
+        rows = {name: conform(new[name], LAYOUTS[name].schema) for name in _TABLES}
+        self.tables.commit(rows, replaced=LAYOUTS, facts=state)
 
     def add_nodes(self, nodes: DataFrame) -> None:
         """Insert or replace by id; `nodes` holds each id once."""
-        new = cut(self._with_bucket("nodes", nodes), "new-nodes")
-        old = self._table("nodes").join(new.select("id"), "id", "left_semi") if self.path else None
-        self._rewrite("nodes", lambda rows: rows.join(new.select("id"), "id", "left_anti"), new, old)
+        self._upsert("nodes", nodes)
 
     def add_node(self, **fields) -> None:
         """Insert or replace one node given by its fields."""
@@ -183,14 +122,18 @@ class GraphStore:
 
     def add_edges(self, edges: DataFrame) -> None:
         """Insert or replace by (source, target, type)."""
-        new = cut(self._with_bucket("edges", edges), "new-edges")
-        keys = new.select(*_EDGE_KEY)
-        old = self._table("edges").join(keys, _EDGE_KEY, "left_semi") if self.path else None
-        self._rewrite("edges", lambda rows: rows.join(keys, _EDGE_KEY, "left_anti"), new, old)
+        self._upsert("edges", edges)
+
+    def _upsert(self, name: str, rows: DataFrame) -> None:
+        new = cut(conform(rows, LAYOUTS[name].schema), name)
+        self.tables.commit({name: new}, {name: new})
+        release(new)
 
     def remove_nodes(self, ids: DataFrame) -> None:
         """Remove nodes with all their edges. Unknown ids change nothing."""
-        self._replace(cut(ids.select("id").distinct(), "gone"), None, {})
+        gone = cut(ids.select("id").distinct(), "gone")
+        self.tables.commit(dead=self._dead(gone))
+        release(gone)
 
     def remove_node(self, node_id: str) -> None:
         self.remove_nodes(self.spark.createDataFrame([(node_id,)], "id string"))
@@ -202,70 +145,43 @@ class GraphStore:
     def remove_file_nodes(self, path: str) -> None:
         self.remove_files(self.spark.createDataFrame([(f"file:{path}",)], "file_id string"))
 
-    def replace_files(self, files: DataFrame, new: dict[str, DataFrame]) -> None:
-        """Remove files (file_id) and put the new `nodes`, `edges` and `references` in one go.
-
-        The new rows are read more than once: cut their plan first if it does heavy work.
-        """
-        files = cut(files.select("file_id").distinct(), "files")
-        gone = cut(sets.nodes_of_files(self.nodes, files).unionByName(files.select(F.col("file_id").alias("id"))).distinct(), "gone")
-        self._replace(gone, files, new)
-
-    def _replace(self, gone: DataFrame, files: DataFrame | None, new: dict[str, DataFrame]) -> None:
-        added = {name: self._with_bucket(name, rows) for name, rows in new.items()}
-
-        def at(rows: DataFrame, column: str, how: str) -> DataFrame:
-            return rows.join(gone, rows[column] == gone["id"], how)
-
-        nodes, edges, references = (self._table(name) for name in _TABLES)
-        self._rewrite(
-            "nodes",
-            lambda rows: rows.join(gone, "id", "left_anti"),
-            added.get("nodes"),
-            nodes.join(gone, "id", "left_semi"),
-        )
-        self._rewrite(
-            "edges",
-            lambda rows: at(at(rows, "source_id", "left_anti"), "target_id", "left_anti"),
-            added.get("edges"),
-            at(edges, "source_id", "left_semi").unionByName(at(edges, "target_id", "left_semi")),
-        )
-        if files is not None:
-
-            def of_files(rows: DataFrame, how: str) -> DataFrame:
-                return rows.join(files, rows["owner"] == files["file_id"], how)
-
-            self._rewrite(
-                "references",
-                lambda rows: of_files(rows, "left_anti"),
-                added.get("references"),
-                of_files(references, "left_semi"),
-            )
-        self._drop_resolved(gone)
+    def replace_files(self, files: DataFrame, new: dict[str, DataFrame], state: dict[str, str] | None = None) -> None:
+        """Remove files (file_id) and put the new `nodes`, `edges`, `references` and facts, in one commit."""
+        files = cut(files.select(F.col("file_id").alias("id")).distinct(), "files")
+        theirs = self.node_rows.near("file_id", files).withColumnRenamed("id", "node")
+        theirs = theirs.join(files, theirs["file_id"] == files["id"], "left_semi").select(F.col("node").alias("id"))
+        gone = cut(theirs.unionByName(files).distinct(), "gone")
+        dead = self._dead(gone) | {"references": files.select(F.col("id").alias("owner"))}
+        self.tables.commit({name: conform(rows, LAYOUTS[name].schema) for name, rows in new.items()}, dead, facts=state)
+        release(files, gone)
+
+    def _dead(self, gone: DataFrame) -> dict[str, DataFrame]:
+        """Keys of nodes that go and of all edges at them."""
+
+        def at(name: str) -> DataFrame:
+            rows = self.tables.rows(name)
+            ends = [rows.near(end, gone).join(gone, F.col(end) == F.col("id"), "left_semi").select(*_EDGE_KEY) for end in ("source_id", "target_id")]
+            return ends[0].unionByName(ends[1])
+
+        return {"nodes": gone, "edges": at("edges"), "resolved": at("resolved")}
 
     def resolve(self) -> int:
         """Recompute the edges behind references; the number of references that were resolved."""
         found = cut(resolve.resolve(self.nodes, self.references), "found")
-        self._write_resolved(resolve.once_each(found))
-        return found.count()
+        self.tables.commit({"resolved": conform(resolve.once_each(found), EDGES)}, replaced=["resolved"])
+        count = found.count()
+        release(found)
+        return count
 
     # --- small facts ---
 
     def get_state(self, key: str) -> str | None:
-        if self.path is None:
-            return self.__dict__.get(f"_state_{key}")
-        try:
-            row = self.spark.read.schema("value string").json(f"{self.path}/state-{key}").first()
-        except AnalysisException:  # nothing stored yet
-            return None
-        return row["value"] if row else None
+        return self.tables.facts().get(key)
 
     def set_state(self, key: str, value: str) -> None:
-        if self.path is None:
-            self.__dict__[f"_state_{key}"] = value
-        else:
-            row = self.spark.createDataFrame([(value,)], "value string")
-            row.coalesce(1).write.mode("overwrite").json(f"{self.path}/state-{key}")
+        self.tables.commit(facts={key: value})
 
     def close(self) -> None:
-        """Nothing is held open; kept for callers that close what they opened."""
+        """A store without a path is deleted; nothing else is held open."""
+        if self.path is None:
+            remove(self.spark, self.tables.path)

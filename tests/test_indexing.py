@@ -138,7 +138,7 @@ def test_incremental_by_git_on_a_stored_graph(spark, tree):
     git(tree, "init", "-q")
     git(tree, "add", ".")
     git(tree, "commit", "-qm", "first")
-    indexer = CodeIndexer(str(tree), GraphStore(spark, folder, buckets=3))
+    indexer = CodeIndexer(str(tree), GraphStore(spark, folder))
     indexer.index_full()
     first = indexer.last_commit()
     assert first and indexer.resolve_references() == 2
@@ -148,7 +148,7 @@ def test_incremental_by_git_on_a_stored_graph(spark, tree):
     git(tree, "rm", "-q", "gone.py")
     write(tree, "main.py", MAIN + "\n\ndef more():\n    pass\n")
     write(tree, "note.txt", "hello\n")
-    store = GraphStore(spark, folder, buckets=3)  # opened anew
+    store = GraphStore(spark, folder)  # opened anew
     indexer = CodeIndexer(str(tree), store)
     counts = indexer.index_incremental()
     assert counts == {"files_added": 0, "files_modified": 2, "files_deleted": 1, "errors": 0}
@@ -171,7 +171,7 @@ def test_incremental_by_git_on_a_stored_graph(spark, tree):
 
 def test_store_changes(spark, small_graph, tmp_path):
     nodes, edges = small_graph
-    for store in (GraphStore(spark), GraphStore(spark, str(tmp_path / "g"), buckets=2)):
+    for store in (GraphStore(spark), GraphStore(spark, str(tmp_path / "g"))):
         store.add_nodes(nodes)
         store.add_edges(edges)
         assert store.get_stats() == {
