@@ -9,20 +9,34 @@ from pyspark.sql import functions as F
 from codeskein.plans import suite_sql as sql
 from codeskein.plans import table_graph
 from codeskein.plans.engine import QueryEngine
-from codeskein.plans.suite import query
+from codeskein.plans.suite import NODE_COLUMNS, SUITE, _HYBRID, _RANKED_HITS, _RESULT, _WORDS, _result, query
 from codeskein.search import VectorStore
 from codeskein.session import work_folder
 from codeskein.store import GraphStore
 
 
-def _stored(spark, folder: str) -> GraphStore:
-    """The graph of a table folder in a store of its own."""
+def _filled(spark, folder: str) -> GraphStore:
+    """The graph of a table folder in a store of its own, laid out for lookups whatever its size."""
     graph = table_graph.stored(spark, folder)
-    store = GraphStore(spark, f"{work_folder(spark)}/graph-{uuid.uuid4().hex}")
+    store = GraphStore(spark, f"{work_folder(spark)}/graph-{uuid.uuid4().hex}", small=0)
     store.replace_all({"nodes": graph.nodes, "edges": graph.edges, "references": graph.references})
     return store
 
 
+_STORES: dict[tuple[str, str], GraphStore] = {}
+
+
+def _stored(spark, folder: str) -> GraphStore:
+    """The same for queries that only read: filled once a session, with one change that a reader has to merge."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORES:
+        store = _filled(spark, folder)
+        store.add_nodes(store.nodes.filter("type = 'class'"))
+        store.add_edges(store.edges.filter("type = 'inherits'"))
+        _STORES[key] = store
+    return _STORES[key]
+
+
 _CHANGED = """
 renamed AS (SELECT id, type, CASE WHEN id IN (SELECT 'func:' || o_orderkey FROM orders WHERE o_orderkey % 100 = 5) THEN 'changed' ELSE name END AS name,
             coalesce(file_id, id) AS owner FROM nodes),
@@ -35,7 +49,7 @@ kept AS (SELECT * FROM edges WHERE source_id NOT IN (SELECT id FROM gone) AND ta
 UNION ALL SELECT DISTINCT 'edge', source_id, target_id, type FROM kept""", _CHANGED))
 def s8_store_changes(spark, folder):
     """Nodes replaced by id, then the files of one language removed with all that hangs on them."""
-    store = _stored(spark, folder)
+    store = _filled(spark, folder)
     some = store.nodes.filter("type = 'function'").filter(F.substring_index("id", ":", -1).cast("long") % 100 == 5)
     store.add_nodes(some.withColumn("name", F.lit("changed")))
     go = store.nodes.filter("type = 'file' AND language = 'go'").select(F.col("id").alias("file_id"))
@@ -88,3 +102,87 @@ def k1_collection_search(spark, folder):
     store = _collection(spark, folder)
     hits = store.with_documents(store.search("zebra", 10, where=F.col("name") != "src1"))
     return hits.select("rank", "id", F.round("distance", 6).alias("distance"), "document")
+
+
+# --- the lookups and walks of the suite through a store, which opens only the files that may hold what is asked for ---
+
+
+def _twin(name: str) -> str:
+    return SUITE[name].oracle
+
+
+@query(_twin("f1_node"))
+def f1_stored_node(spark, folder):
+    return _stored(spark, folder).get_node("func:17").selectExpr(*NODE_COLUMNS.split(", "))
+
+
+@query(_twin("f2_nodes_by_type"))
+def f2_stored_nodes_by_type(spark, folder):
+    return _stored(spark, folder).get_nodes_by_type("import").select("id", "name", "file_id", "module", "line")
+
+
+@query(_twin("f4_edges_from"))
+def f4_stored_edges_from(spark, folder):
+    return _stored(spark, folder).get_edges_from("class:33").select("source_id", "target_id", "type")
+
+
+@query(_twin("f4_edges_to"))
+def f4_stored_edges_to(spark, folder):
+    return _stored(spark, folder).get_edges_to("func:7", "calls").select("source_id", "target_id", "type")
+
+
+@query(_twin("t1_related"))
+def t1_stored_related(spark, folder):
+    found = QueryEngine(_stored(spark, folder)).traversal.get_related_symbols("class:12")
+    return found.select("id", "type", "name", "depth")
+
+
+@query(_twin("t2_callers"))
+def t2_stored_callers(spark, folder):
+    return QueryEngine(_stored(spark, folder)).traversal.find_callers("func:5").select("id", "name", "depth")
+
+
+@query(_twin("t3_callees"))
+def t3_stored_callees(spark, folder):
+    return QueryEngine(_stored(spark, folder)).traversal.find_callees("func:149").select("id", "name", "depth")
+
+
+@query(_twin("t5_subclasses"))
+def t5_stored_subclasses(spark, folder):
+    return QueryEngine(_stored(spark, folder)).traversal.find_subclasses("class:7").select("id", "name")
+
+
+@query(_twin("t6_references_of_class"))
+def t6_stored_references(spark, folder):
+    return QueryEngine(_stored(spark, folder)).find_references("class:2").nodes.select("id", "depth", "score")
+
+
+@query(_twin("j10_references_of_definition"))
+def j10_stored_references(spark, folder):
+    engine = QueryEngine(_stored(spark, folder))
+    first = engine.find_definition("fn_1").nodes.orderBy("id").first()
+    return engine.find_references(first["id"]).nodes.select("id", "name", "depth")
+
+
+_ASKED = "fn 12 class 7 src"
+#: The words of the nodes' own documents in place of those of the table of documents.
+_NODE_WORDS = _WORDS.format(question=_ASKED)
+_NODE_WORDS = "texts AS (" + _twin("x3_documents").rsplit("\n", 3)[-3] + "\n" + "\n".join(_twin("x3_documents").rsplit("\n", 2)[-2:]) + """),
+docs AS (SELECT texts.id, nodes.type, list_filter(string_split_regex(lower(document), '[^a-z0-9]+'), lambda w: w <> '') AS words
+         FROM texts JOIN nodes USING (id) WHERE document <> '')""" + _NODE_WORDS[_NODE_WORDS.index(",\ncounted") :]
+
+
+@query(sql.graph(_RESULT, _NODE_WORDS, _RANKED_HITS.format(k=10), _HYBRID.format(k=10, depth=1)))
+def i5_engine_query(spark, folder):
+    """The engine's own query: vectors of all nodes, the nearest to a text, the graph around them, one ranking."""
+    engine = QueryEngine(_stored(spark, folder))
+    engine.index_vectors()
+    found = _result(engine.query(_ASKED).nodes)
+    engine.vectors.close()
+    return found
+
+
+@query("WITH " + _TEXTS + """ SELECT id, document, n FROM texts, (SELECT count(*) AS n FROM texts) WHERE id IN ('d3', 'd4', 'd5', 'none')""")
+def s11_get_and_count(spark, folder):
+    store = _collection(spark, folder)
+    return store.get(["d3", "d4", "d5", "none"]).select("id", "document", F.lit(store.count()).alias("n"))

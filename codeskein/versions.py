@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
@@ -185,7 +186,7 @@ class VersionedTables:
 
     def _deleted(self, name: str, keys: DataFrame, seq: int) -> Row | None:
         entry = Row(name=name, run=uuid.uuid4().hex, seq=seq, kind="dead", value=None)
-        self._write(keys.select(*self.layouts[name].key).distinct(), f"{self._folder(entry)}/dead")
+        self._write(keys.select(*self.layouts[name].key), f"{self._folder(entry)}/dead")
         return None if self.spark.read.parquet(f"{self._folder(entry)}/dead").isEmpty() else entry
 
     def commit(
@@ -201,8 +202,9 @@ class VersionedTables:
         """
         base = self.version()
         seq, replaced, facts = base + 1, set(replaced), facts or {}
-        new = [self._deleted(name, keys, seq) for name, keys in (dead or {}).items() if name not in replaced]
-        new += [self._stored(name, rows, seq) for name, rows in (added or {}).items()]
+        work = [(self._deleted, name, keys, seq) for name, keys in (dead or {}).items() if name not in replaced]
+        work += [(self._stored, name, rows, seq) for name, rows in (added or {}).items()]
+        new = self._at_once(work)
         kept = [e for e in self.entries() if (e["name"] not in facts if e["kind"] == "fact" else e["name"] not in replaced)]
         kept += [Row(name=k, run=None, seq=seq, kind="fact", value=v) for k, v in facts.items()]
         self._publish(seq, kept + [e for e in new if e is not None])
@@ -210,6 +212,12 @@ class VersionedTables:
             return self.compact()
         return seq
 
+    @staticmethod
+    def _at_once(work: list[tuple]) -> list[Row | None]:
+        """The runs of a commit do not depend on each other; their jobs share the cluster."""
+        with ThreadPoolExecutor(max(1, len(work))) as pool:
+            return [done.result() for done in [pool.submit(*job) for job in work]]
+
     def _publish(self, seq: int, entries: list[Row]) -> None:
         """List what counts from now on. A version that exists already is an error: someone else was faster."""
         rows = self.spark.createDataFrame([tuple(e) for e in entries], _ENTRY).coalesce(1)
@@ -226,7 +234,7 @@ class VersionedTables:
         if not several:
             return self.version()
         seq = self.version() + 1
-        new = [self._stored(name, self._merged(name, None, None), seq) for name in several]
+        new = self._at_once([(self._stored, name, self._merged(name, None, None), seq) for name in sorted(several)])
         kept = [e for e in self.entries() if e["kind"] == "fact" or e["name"] not in several]
         self._publish(seq, kept + [e for e in new if e is not None])
         return seq
