@@ -176,7 +176,9 @@ def inheritance_chain(nodes: Rows, edges: Rows, class_id: str) -> DataFrame:
 
 def subclasses(nodes: Rows, edges: Rows, class_id: str, recursive: bool = True) -> DataFrame:
     """All classes below this one, or only the direct ones."""
-    found = bfs(_of_types(edges, ["inherits"]), class_id, None if recursive else 1, "in")
+    kinds = _of_types(edges, ["inherits"])
+    # a walk to the end asks for most of the hierarchy: its edges are read at once, not file by file in every hop
+    found = bfs(_all(kinds), class_id, None, "in") if recursive else bfs(kinds, class_id, 1, "in")
     return _nodes_of(nodes, found)
 
 
