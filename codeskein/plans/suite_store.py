@@ -16,9 +16,9 @@ from codeskein.store import GraphStore
 
 
 def _filled(spark, folder: str) -> GraphStore:
-    """The graph of a table folder in a store of its own, laid out for lookups whatever its size."""
+    """The graph of a table folder in a store of its own, laid out for lookups from a thousand rows on."""
     graph = table_graph.stored(spark, folder)
-    store = GraphStore(spark, f"{work_folder(spark)}/graph-{uuid.uuid4().hex}", small=0)
+    store = GraphStore(spark, f"{work_folder(spark)}/graph-{uuid.uuid4().hex}", small=1000)
     store.replace_all({"nodes": graph.nodes, "edges": graph.edges, "references": graph.references})
     return store
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeskein.functions import paths
 from codeskein.session import cut, release
+from codeskein.versions import Layout, VersionedTables
 
 DEBOUNCE_SECONDS = 0.5
+_HELD = "path string, event_type string, ts timestamp, seq long, arrived double"
 
 
 def split_moves(events: DataFrame) -> DataFrame:
@@ -61,18 +64,37 @@ class BurstSettler:
     Of each path only its latest event is open; it settles when a later event lies at least the gap after it, or
     when no event of the path has arrived for as long. No event is dropped for being late: one that arrives after its
     burst was told begins a burst of its own. Each batch is debounced as a whole, so a hot path is many tasks' work.
+
+    With a `folder` that table is kept there, in one commit with the number of the batch and the bursts that are due, so
+    a process that ends at any place goes on from its last commit: a batch that comes again is known by its number, and
+    what was due and not reported as `done` is due again.
     """
 
-    def __init__(self, spark: SparkSession, seconds: float = DEBOUNCE_SECONDS):
+    def __init__(self, spark: SparkSession, seconds: float = DEBOUNCE_SECONDS, folder: str | None = None):
         self.spark, self.seconds = spark, seconds
-        self.open: DataFrame | None = None
+        held = Layout(T.StructType.fromDDL(_HELD), ("path",), ("path",))
+        self.tables = VersionedTables(spark, folder, {"open": held, "due": held}) if folder else None
+        self._open: DataFrame | None = None
         self._written: tuple = ()
 
-    def settle(self, batch: DataFrame | None, now: float | None) -> DataFrame:
+    @property
+    def open(self) -> DataFrame | None:
+        """Events that still wait: (path, event_type, ts, seq, arrived)."""
+        return self.tables.rows("open").all() if self.tables else self._open
+
+    def idle(self) -> bool:
+        """Whether nothing waits and nothing is due."""
+        if self.tables:
+            return not any(e["kind"] == "rows" for e in self.tables.entries())
+        return self._open is None or self._open.isEmpty()
+
+    def settle(self, batch: DataFrame | None, now: float | None, number: int | None = None) -> DataFrame:
         """Bursts (path, event_type, ts) settled by a batch (path, event_type, ts, seq) and the clock; `now=None` settles all.
 
-        The result is there until the next call.
+        The result is there until the next call, or with a folder until `done`. `number` is the batch's own number.
         """
+        if self.tables and number is not None and number <= int(self.tables.facts().get("batch", -1)):
+            batch = None
         held = self.open
         if batch is not None:
             fresh = batch.select("path", "event_type", "ts", "seq", F.lit(now or 0.0).alias("arrived"))
@@ -85,7 +107,18 @@ class BurstSettler:
         if now is not None:
             waits = (F.col("ts") == F.col("last_ts")) & (F.col("arrived") + F.lit(self.seconds) > F.lit(now))
         marked = cut(_bursts(held, self.seconds).join(last, "path").withColumn("waits", waits), "bursts")
+        parts = {"open": marked.filter("waits"), "due": marked.filter("NOT waits")}
+        if self.tables:
+            facts = {} if number is None else {"batch": str(number)}
+            self.tables.commit(parts, replaced=["open"], facts=facts)
+            release(held, marked)
+            return self.tables.rows("due").all().select("path", "event_type", "ts")
         release(*self._written)
         self._written = (held, marked)
-        self.open = marked.filter("waits").select("path", "event_type", "ts", "seq", "arrived")
-        return marked.filter("NOT waits").select("path", "event_type", "ts")
+        self._open = parts["open"].select("path", "event_type", "ts", "seq", "arrived")
+        return parts["due"].select("path", "event_type", "ts")
+
+    def done(self) -> None:
+        """What was due has been dealt with."""
+        if self.tables and any(e["name"] == "due" for e in self.tables.entries()):
+            self.tables.commit(replaced=["due"])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import threading
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -12,11 +14,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from codeskein.functions import paths
 from codeskein.plans.indexer import CodeIndexer
-from codeskein.session import cut
+from codeskein.session import cut, release, work_folder
 from codeskein.sources import repo_files
 from codeskein.sources.tree_events import TreeEvents
 from codeskein.streaming import events as file_events
 
+_LOG = logging.getLogger(__name__)
+
 
 class FileWatcher:
     """Follows a tree, or a stream of file events, and applies settled changes batch by batch.
@@ -25,6 +29,8 @@ class FileWatcher:
     source, deleted ones are those the store knows and the tree lacks. With `events`, a streaming
     DataFrame shaped like `schema.FILE_EVENTS` (a message queue, a folder of logs), bursts are
     settled by `BurstSettler`, by later events or by the clock. `on_change(path, event_type)` runs after a batch was applied.
+    With `checkpoint` a watcher that is started anew goes on where the last one ended, whatever ended it: no burst is lost,
+    and one is told again only if the process ended between telling it and noting that.
     """
 
     def __init__(
@@ -49,9 +55,12 @@ class FileWatcher:
         if self.events is not None:
             suffixes = self.indexer.registry.supported_extensions()
             arriving = file_events.code_events(self.events, suffixes)
-            self._settler = file_events.BurstSettler(self.indexer.store.spark, self.seconds)
+            spark = self.indexer.store.spark
+            # beside the stream's own checkpoint, so that both survive a restart, or for this run only
+            folder = f"{self.checkpoint.rstrip('/')}-bursts" if self.checkpoint else f"{work_folder(spark)}/bursts-{uuid.uuid4().hex}"
+            self._settler = file_events.BurstSettler(spark, self.seconds, folder)
             self._stopped.clear()
-            writer = arriving.writeStream.outputMode("append").foreachBatch(lambda batch, _: self._settle(batch))
+            writer = arriving.writeStream.outputMode("append").foreachBatch(self._settle)
             threading.Thread(target=self._watch_clock, daemon=True).start()
         else:
             writer = self._tree_stream().writeStream.foreachBatch(lambda batch, _: self._apply_tree(batch))
@@ -60,16 +69,21 @@ class FileWatcher:
             writer = writer.option("checkpointLocation", self.checkpoint)
         self._query = writer.start()
 
-    def _settle(self, batch: DataFrame | None) -> None:
-        """Apply the bursts that a batch, or the clock alone, has closed."""
+    def _settle(self, batch: DataFrame | None, number: int | None = None) -> None:
+        """Apply the bursts that a batch, or the clock alone, has closed; they stay due until that has succeeded."""
         with self._one_at_a_time:
-            self._apply(self._settler.settle(batch, time.time()))
+            if batch is None and self._settler.idle():
+                return
+            self._apply(self._settler.settle(batch, time.time(), number))
+            self._settler.done()
 
     def _watch_clock(self) -> None:
-        """Close bursts that are quiet by the clock while no batch arrives."""
+        """Close bursts that are quiet by the clock while no batch arrives. After an error the next round tries again."""
         while not self._stopped.wait(self.seconds):
-            if self._settler.open is not None and not self._settler.open.isEmpty():
+            try:
                 self._settle(None)
+            except Exception:
+                _LOG.exception("settling bursts failed, they stay due")
 
     def _tree_stream(self) -> DataFrame:
         spark = self.indexer.store.spark
@@ -95,12 +109,12 @@ class FileWatcher:
         root = self.indexer.root.rstrip("/") + "/"
         path = F.when(F.col("path").startswith(root), F.substr("path", F.lit(len(root) + 1))).otherwise(F.col("path"))
         batch = cut(settled.select(path.alias("path"), "event_type"), "events")
-        if batch.isEmpty():
-            return
-        self.indexer.apply_events(batch)
-        if self.on_change:
-            for row in batch.toLocalIterator():
-                self.on_change(row["path"], row["event_type"])
+        if not batch.isEmpty():
+            self.indexer.apply_events(batch)
+            if self.on_change:
+                for row in batch.toLocalIterator():
+                    self.on_change(row["path"], row["event_type"])
+        release(batch)
 
     def process_available(self) -> None:
         """Wait until everything that has arrived is applied."""

@@ -120,3 +120,48 @@ def test_watching_a_tree(spark, tmp_path):
             time.sleep(0.5)
     assert set(told) == {("a.py", "modified"), ("new.ts", "created"), ("old.py", "deleted")}
     assert indexer.store.get_nodes_by_name("f").count() == 1
+
+
+def test_bursts_survive_a_restart_at_any_place(spark, tmp_path):
+    def begun():
+        return file_events.BurstSettler(spark, 0.5, str(tmp_path / "bursts"))
+
+    first = frame(spark, ("a", "created", 100.0), ("b", "created", 100.0), ("b", "modified", 200.0))
+    settler = begun()
+    assert settled(settler.settle(first, 1000.0, 0)) == [("b", "created")]
+    settler.done()
+    again = begun()  # the batch comes a second time: it was committed, the stream's own mark was not
+    assert settled(again.settle(first, 1000.1, 0)) == [] and again.open.count() == 2
+    assert settled(begun().settle(None, 1001.0)) == [("a", "created"), ("b", "modified")]
+    late = begun()  # ended before these were dealt with: still due, with what came meanwhile
+    assert settled(late.settle(frame(spark, ("c", "deleted", 300.0)), 1002.0, 1)) == [("a", "created"), ("b", "modified")]
+    assert not late.idle()
+    late.done()
+    assert settled(begun().settle(None, 1003.0)) == [("c", "deleted")]
+    last = begun()
+    last.done()
+    assert last.idle() and settled(last.settle(None, 1004.0)) == []
+
+
+def test_a_failing_change_is_told_later_and_once(spark, tmp_path, monkeypatch):
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.py").write_text("x = 1\n")
+    indexer = CodeIndexer(str(root), GraphStore(spark))
+    told, calls = [], []
+    really = indexer.apply_events
+
+    def sometimes(events):
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("not now")
+        really(events)
+
+    monkeypatch.setattr(indexer, "apply_events", sometimes)
+    feed = _stream(spark, tmp_path, [(str(root / "a.py"), "created", 0.0)])
+    with FileWatcher(indexer, lambda *change: told.append(change), events=feed, checkpoint=str(tmp_path / "state")):
+        deadline = time.time() + 90
+        while not told and time.time() < deadline:
+            time.sleep(0.5)
+    assert told == [("a.py", "created")] and len(calls) == 2
+    assert indexer.store.get_nodes_by_type("file").count() == 1
