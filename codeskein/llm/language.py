@@ -25,6 +25,7 @@ SAMPLE_TEXTS = 2000
 EM_STEPS = 2
 SMOOTH = 0.05
 TRAIN_WORD = 64
+PIECE, PIECE_STEP = 12, 8
 LONG_WORD = 512
 UNDETERMINED = "und"
 
@@ -197,7 +198,8 @@ def expected_pieces(vocab: Pieces, data: np.ndarray, off: np.ndarray, times: np.
                     alpha[at, hit] += alpha[at - n, hit] * chance[piece[hit]]
         for at, n, hit, piece in reversed(steps):
             beta[at - n, hit] += beta[at, hit] * chance[piece]
-        weight = times[own] / alpha[length, np.arange(len(own))]
+        whole = alpha[length, np.arange(len(own))]
+        weight = np.divide(times[own], whole, out=np.zeros(len(own)), where=whole > 1e-290)
         for at, n, hit, piece in steps:
             out += np.bincount(piece, alpha[at - n, hit] * chance[piece] * beta[at, hit] * weight[hit], vocab.size + 1)
     return out
@@ -215,8 +217,8 @@ def fit_languages(
 ) -> LanguageModel:
     """Fit on about `sample_texts` texts of each language, taken by a hash of id and text among rows where `training`.
 
-    Null texts and languages teach nothing. Training words are cut off the sample at TRAIN_WORD bytes and more;
-    scoring knows no such bound. The driver holds one number per language and piece.
+    Null texts and languages teach nothing. Runs of more than TRAIN_WORD bytes without white space, as scripts without spaces have
+    them, teach by overlapping pieces of PIECE code points; scoring takes them whole. The driver holds one number per language and piece.
     """
     spark = docs.sparkSession
     vocab_path = vocab_path or default_vocabulary()
@@ -234,7 +236,9 @@ def fit_languages(
     words = rows.where(draw < part[F.col("lang")]).select(
         "lang", F.explode(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+")).alias("word")
     )
-    words = words.where(F.octet_length("word").between(1, TRAIN_WORD)).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1)), F.lit(PIECE_STEP)), lambda i: F.substring("word", i, F.lit(PIECE)))
+    words = words.select("lang", F.explode(F.when(F.octet_length("word") <= TRAIN_WORD, F.array("word")).otherwise(cuts)).alias("word"))
+    words = words.where(F.octet_length("word") > 0).groupBy("lang", "word").agg(F.count("*").alias("n"))
     scratch = Scratch(spark, "language")
     words = scratch.keep(words, "words")
     for _ in range(em_steps):

@@ -82,8 +82,9 @@ def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS,
 def best_seeds(sizes: DataFrame, sources: DataFrame, scratch: Scratch, seeds: int = SEEDS) -> DataFrame:
     """`sources` with the `seed`, of 0 to `seeds` - 1, whose draws bring the source's words nearest to its target.
 
-    All seeds are tried in one aggregation by source. Whatever the seed, a document is drawn by a hash with the
-    fraction as its probability.
+    All seeds are tried in one aggregation by source. With each seed a document is drawn by a hash with the fraction as its
+    probability; the choice between them favours totals near the target, so that in sources of few or very
+    uneven documents a document's chance is not exactly the fraction (see the README).
     """
     joined = sizes.withColumnRenamed("source", "_of").join(sources, F.col("_of").eqNullSafe(F.col("source")))
     part = F.col("rate") - F.floor("rate")

@@ -358,6 +358,20 @@ def test_languages_of_held_out_texts(spark, folder):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_languages_without_spaces_are_learned(spark):
+    rng = np.random.default_rng(8)
+    letters = {"first": [chr(0x4E00 + i) for i in range(0, 400, 2)], "second": [chr(0x4E00 + i) for i in range(100, 500, 2)], "third": [chr(0x0E01 + i) for i in range(40)]}
+
+    def text(lang):
+        return "".join(rng.choice(letters[lang], 120))
+
+    rows = [(i, text(lang), lang) for i, lang in enumerate(sorted(letters) * 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_languages(docs, F.col("doc_id") < 240)
+    got = {r["doc_id"]: r["lang_pred"] for r in rows_of(language.predict_languages(docs.where("doc_id >= 240").select("doc_id", "text"), model))}
+    assert len(got) == 60 and sum(got[i] == lang for i, _, lang in rows if i >= 240) >= 57
+
+
 # fingerprints
 
 
