@@ -50,11 +50,13 @@ class TreeWalk:
         self.subtrees = int(options.get("subtrees", "256"))
 
     def _entries(self, folder: str) -> Iterator[os.DirEntry]:
+        """What is in a folder. One that has gone since it was listed is empty; one that cannot be read is an error."""
         try:
             with os.scandir(folder) as entries:
                 yield from (e for e in entries if e.name not in self.ignored)
-        except OSError:
-            return
+        except FileNotFoundError:
+            if folder == self.root:
+                raise
 
     def split(self) -> list[Subtree]:
         level, flat = [self.root], []
@@ -125,14 +127,16 @@ def not_git_ignored(files: DataFrame, root: str) -> DataFrame:
             asked = subprocess.run(
                 ["git", "check-ignore", "-z", "--stdin"], cwd=root, input=listed.encode(), capture_output=True
             )
-            out = set(asked.stdout.decode().split("\0")) if asked.returncode == 0 else set()
+            if asked.returncode not in (0, 1):  # 1: none of the paths is ignored
+                raise RuntimeError(f"git check-ignore failed in {root}: {asked.stderr.decode(errors='replace')}")
+            out = set(asked.stdout.decode().split("\0"))
             yield batch[~batch["path"].isin(out)]
 
     return files.select("path").mapInPandas(run, "path string")
 
 
 def read_contents(files: DataFrame, root: str) -> DataFrame:
-    """Content, size and time of the files that exist, see `CONTENTS`, with their `file_id`."""
+    """Content, size and time of the files that exist (one that exists and cannot be read is an error), see `CONTENTS`, with their `file_id`."""
     schema = to_arrow_schema(CONTENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +148,8 @@ def read_contents(files: DataFrame, root: str) -> DataFrame:
                     stat = os.stat(full)
                     with open(full, "rb") as handle:
                         content = handle.read()
-                except OSError:
-                    continue
+                except (FileNotFoundError, IsADirectoryError, NotADirectoryError):
+                    continue  # no such file any more
                 seen = pd.Timestamp(stat.st_mtime_ns // 1000, unit="us", tz="UTC")
                 rows.append({"path": path, "content": content, "size_bytes": stat.st_size, "last_modified": seen})
                 held += len(content)

@@ -6,6 +6,7 @@ import pytest
 from conftest import edge_frame, node_frame
 from pyspark.sql import functions as F
 
+from codeskein.sources import repo_files
 from codeskein import CodeIndexer, GraphStore, cli
 from codeskein.operators import lookup, ranking, traversal
 from codeskein.parsing import go_reader, script_reader
@@ -152,3 +153,29 @@ def test_failures_of_git_are_errors_and_do_not_move_the_mark(spark, tree, monkey
 def test_an_unknown_commit_means_everything(spark, tree):
     indexer = CodeIndexer(str(tree), GraphStore(spark))
     assert indexer.index_incremental(since_commit="0" * 40)["functions"] == 1
+
+
+def test_unreadable_folders_and_failing_git_are_errors(spark, tmp_path, monkeypatch):
+    walk = repo_files.TreeWalk({"path": str(tmp_path)})
+    assert list(walk._entries(str(tmp_path / "gone"))) == []
+    with pytest.raises(FileNotFoundError):
+        repo_files.TreeWalk({"path": str(tmp_path / "gone")}).split()
+
+    def refuses(folder):
+        raise PermissionError(folder)
+
+    monkeypatch.setattr(repo_files.os, "scandir", refuses)
+    with pytest.raises(PermissionError):
+        walk.split()
+    monkeypatch.undo()
+    (tmp_path / "a.py").write_text("x = 1\n")
+    (tmp_path / ".git").write_text("nothing that git knows")
+    with pytest.raises(Exception, match="check-ignore"):
+        repo_files.scan(spark, str(tmp_path), [".py"]).collect()
+
+
+def test_a_file_that_has_gone_is_not_read(spark, tmp_path):
+    (tmp_path / "a.py").write_text("x = 1\n")
+    (tmp_path / "d.py").mkdir()
+    paths = spark.createDataFrame([("a.py",), ("gone.py",), ("d.py",), ("a.py/b.py",)], "path string")
+    assert [r["path"] for r in repo_files.read_contents(paths, str(tmp_path)).collect()] == ["a.py"]
