@@ -10,6 +10,7 @@ Small runs are read whole. After some commits the runs are merged into new ones.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -24,6 +25,8 @@ from codeskein.session import listed, remove
 
 #: More ids than this are joined with the whole table instead of being looked up.
 LOOKUP_IDS = 1000
+#: The ranges of so many files of a run at most are kept on the driver; those of longer runs are asked for each time.
+KNOWN_FILES = 10_000
 #: Versions before the latest whose runs are kept for those who still read them.
 KEPT_VERSIONS = 16
 _ENTRY = "name string, run string, seq long, kind string, value string"
@@ -55,10 +58,10 @@ class StoredRows:
     def near(self, column: str, ids: str | Sequence[str] | DataFrame) -> DataFrame:
         """The rows whose `column` is one of the ids; of a long table of ids (column `id`) all rows, which are then to be joined."""
         if isinstance(ids, DataFrame):
-            found = ids.select("id").distinct().limit(LOOKUP_IDS + 1).collect()
+            found = ids.select("id").limit(LOOKUP_IDS + 1).collect()
             if len(found) > LOOKUP_IDS:
                 return self.all()
-            ids = [r["id"] for r in found if r["id"] is not None]
+            ids = sorted({r["id"] for r in found if r["id"] is not None})
         ids = [ids] if isinstance(ids, str) else list(ids)
         return self._read(column, ids) if len(ids) <= LOOKUP_IDS else self.all().filter(F.col(column).isin(ids))
 
@@ -75,6 +78,7 @@ class VersionedTables:
         self.spark, self.path, self.layouts = spark, path.rstrip("/"), layouts
         self.merge_after, self.small, self.rows_per_file = merge_after, small, rows_per_file
         self._known: tuple[int, list[Row]] = (0, [])
+        self._ranges: dict[tuple[str, str], list[Row] | None] = {}
 
     # --- versions ---
 
@@ -116,15 +120,31 @@ class VersionedTables:
         elif column is None or column not in layout.lookups:
             part = read.parquet(f"{folder}/by_{layout.lookups[0]}")
         else:
-            files = self.spark.read.parquet(f"{folder}/files").filter(F.col("lookup") == column)
-            inside = F.exists(F.array(*map(F.lit, ids)), lambda v: (F.col("low") <= v) & (v <= F.col("high"))) if ids else F.lit(False)
-            found = [unquote(r["file"]) for r in files.filter(inside).select("file").collect()]
+            found = self._files(folder, column, ids)
             if not found:
                 return None
             part = read.option("basePath", f"{folder}/by_{column}").parquet(*found)
         part = part.select(*layout.schema.names)
         return part if column is None else part.filter(F.col(column).isin(ids))
 
+    def _files(self, folder: str, column: str, ids: list[str]) -> list[str]:
+        """The files of a run whose range of `column` holds one of the ids."""
+        files = self.spark.read.parquet(f"{folder}/files").filter(F.col("lookup") == column).select("file", "low", "high")
+        if (folder, column) not in self._ranges:
+            some = files.limit(KNOWN_FILES + 1).collect()
+            self._ranges[folder, column] = some if len(some) <= KNOWN_FILES else None
+        known = self._ranges[folder, column]
+        if known is None:
+            inside = F.exists(F.array(*map(F.lit, ids)), lambda v: (F.col("low") <= v) & (v <= F.col("high"))) if ids else F.lit(False)
+            known = files.filter(inside).collect()
+        ids = sorted(ids)
+
+        def holds(low: str | None, high: str | None) -> bool:
+            at = bisect_left(ids, low) if low is not None else len(ids)
+            return at < len(ids) and ids[at] <= high
+
+        return [unquote(r["file"]) for r in known if holds(r["low"], r["high"])]
+
     def _merged(self, name: str, column: str | None, ids: list[str] | None) -> DataFrame:
         layout = self.layouts[name]
         own = [e for e in self.entries() if e["name"] == name]
