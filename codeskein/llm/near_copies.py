@@ -14,9 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from codeskein.llm._hot import left_join_split
 from codeskein.llm._tables import Scratch
 from codeskein.llm._words import M2, M3, column, mix, multisets, pieces, shingles, word_hashes
 
@@ -24,6 +26,8 @@ REGISTERS, BAND = 125, 5
 SIMILAR = 0.8
 STAR_BANDS = 4
 BLOCK = 128
+#: Links that a task replaces by stars at once.
+CHUNK = 1 << 19
 #: Words of 64 bits in the map that spares texts without candidates the shuffle; 8 MB at most.
 MAP_WORDS = 1 << 20
 
@@ -198,33 +202,73 @@ def _block_rows(similar: float):
     return rows
 
 
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the numbers 0 to n - 1 that links (a, b) reach from each."""
+    up = np.arange(n)
+    while True:
+        low, high = np.minimum(up[a], up[b]), np.maximum(up[a], up[b])
+        apart = low < high
+        if not apart.any():
+            return up
+        a, b = a[apart], b[apart]
+        np.minimum.at(up, high[apart], low[apart])
+        while (up != up[up]).any():
+            up = up[up]
+
+
+def _star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) to links from each node to the smallest that it reaches, for CHUNK links at a time: any share of all
+    links may be replaced by such stars, and memory has a bound whatever a task gets."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        both = pa.chunked_array([x.column(k).cast(pa.large_binary()) for k in (0, 1) for x in held]).combine_chunks().dictionary_encode()
+        order = pc.sort_indices(both.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        at = rank[both.indices.to_numpy()]
+        root = roots(at[: len(at) // 2], at[len(at) // 2 :], len(order))
+        on = np.flatnonzero(root != np.arange(len(order)))
+        return pa.RecordBatch.from_arrays([both.dictionary.take(pa.array(order[x])).cast(pa.binary()) for x in (on, root[on])], names=["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= CHUNK:
+            yield stars(held)
+            held = []
+    if sum(x.num_rows for x in held):
+        yield stars(held)
+
+
 def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """(node, comp): the smallest node that links reach from each node; nodes without links are absent.
+    """(node, comp): the smallest node that links (a, b) of binary nodes reach from each; nodes without links are absent.
 
-    Links are drawn towards smaller ends round after round: every node tells its larger neighbours of the
-    smallest one, then the smallest tells all. Both sides of a hot node are grouped sums, and a written
-    table ends each round. Long chains shrink by half or more a round.
+    Tasks replace the links they hold by stars, before and after each exchange. A round then moves every link from a node
+    that isn't smallest to that node's own smallest. Nodes with more than a thousandth of the links, fewer than a
+    thousand, are broadcast there, so no task gets all links of a node. One sum by node, combined before its
+    shuffle, tells if only stars are left.
     """
+
+    def settled(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        seen = Observation()
+        done = rows.repartition("u").mapInArrow(_star_rows, "u binary, v binary").observe(seen, F.count("*").alias("n"))
+        return scratch.keep(done, name), seen.get["n"]
+
+    edges, n = settled(links.selectExpr("a u", "b v").mapInArrow(_star_rows, "u binary, v binary"), f"{label}-0")
     r = 0
-    edges = scratch.keep(links.selectExpr("greatest(a, b) u", "least(a, b) v").distinct(), f"{label}-0")
-    was = None
-    while True:
-        both = edges.unionByName(edges.selectExpr("v u", "u v"))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        far = both.join(low, "u").where("v > u").selectExpr("v u", "low v")
-        large = far.unionByName(low.where("low < u").selectExpr("u", "low v")).where("u <> v").distinct()
-        near = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(near, "u").where("v <> low").selectExpr("v u", "low v")
-        joined = small.unionByName(near.selectExpr("u", "low v")).where("u <> v").distinct()
-        r += 1
-        edges = scratch.keep(joined, f"{label}-{r}")
-        scratch.drop(f"{label}-{r - 1}")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == was or not now[0]:
+    while n:
+        ends = edges.selectExpr("u node", "v low", "1L below", "0L above").unionByName(edges.selectExpr("v node", "null low", "0L below", "1L above"))
+        by_node = ends.groupBy("node").agg(F.min("low").alias("low"), F.sum("below").alias("below"), F.sum("above").alias("above"))
+        seen = Observation()
+        open_ends = by_node.observe(seen, F.count_if(F.expr("below > 1 OR below > 0 AND above > 0")).alias("n"))
+        inner = scratch.keep(open_ends.where("below > 0 AND above > 0").select(F.col("node").alias("v"), "low", "above"), f"{label}-inner-{r}")
+        if not seen.get["n"]:
             break
-        was = now
-    ends = edges.selectExpr("u node", "v comp")
-    return ends.unionByName(edges.selectExpr("v node", "v comp").distinct())
+        moved = left_join_split(edges, inner, ["v"], "above", n).select("u", F.coalesce("low", "v").alias("v"))
+        edges, n = settled(moved.unionByName(inner.selectExpr("v u", "low v")), f"{label}-{r + 1}")
+        scratch.drop(f"{label}-{r}", f"{label}-inner-{r}")
+        r += 1
+    return edges.selectExpr("u node", "v comp").unionByName(edges.selectExpr("v node", "v comp").distinct())
 
 
 def _likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -268,10 +312,10 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, star_bands: int = STA
     seats = scratch.keep(_likely(seats, shared, "bucket").join(shared, "bucket"), "seats")
 
     def grouped(table: DataFrame, name: str) -> DataFrame:
-        """(node, grp): nodes that share buckets of `table`, directly or by way of others."""
-        heads = table.groupBy("bucket").agg(F.min("node").alias("b"))
-        edges = table.join(heads, "bucket").where("node <> b").select(F.col("node").alias("a"), "b")
-        return scratch.keep(components(edges, scratch, name).withColumnRenamed("comp", "grp"), f"{name}-members")
+        """(node, grp): nodes that share buckets of `table`, directly or by way of others; buckets are nodes of nine bytes meanwhile."""
+        seat = F.concat(F.lit(b"b"), F.unhex(F.lpad(F.hex("bucket"), 16, "0")))
+        found = components(table.select(F.col("node").alias("a"), seat.alias("b")), scratch, name)
+        return scratch.keep(found.where(F.length("node") == 16).withColumnRenamed("comp", "grp"), f"{name}-members")
 
     def compared(dealt: DataFrame, name: str) -> DataFrame:
         """Links among the texts of each task."""

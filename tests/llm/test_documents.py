@@ -193,6 +193,29 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 10 for i in range(10, 41)} | {i: 100 for i in range(100, 140)}
 
 
+def test_components_in_small_chunks_equal_a_plain_union(spark, monkeypatch):
+    order = np.random.default_rng(1).permutation(900).tolist()
+    pairs = [(order[i], order[i + 1]) for i in range(299)] + [(order[300], order[i]) for i in range(301, 600)]
+    pairs += [(order[i], order[i + i % 4]) for i in range(600, 890, 3)]  # pairs with themselves too
+    names = {x: hashlib.md5(str(x).encode()).digest() for x in order}
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in ((names[x], names[y]) for x, y in pairs if x != y):
+        low, high = sorted((top(a), top(b)))
+        up[high] = low
+    df = spark.createDataFrame([(bytearray(names[x]), bytearray(names[y])) for x, y in pairs], "a binary, b binary").repartition(7)
+    for chunk in (20, 1 << 19):
+        monkeypatch.setattr(near_copies, "CHUNK", chunk)
+        got = rows_of(near_copies.components(df, Scratch(spark, "chunks"), "c"))
+        assert {bytes(r["node"]): bytes(r["comp"]) for r in got} == {x: top(x) for x in up} and len(got) == len(up)
+    assert not rows_of(near_copies.components(df.where("a IS NULL"), Scratch(spark, "none"), "c"))
+
+
 def test_near_copies_of_the_table(spark, folder, documents):
     got = {r["doc_id"]: r["class_id"] for r in rows_of(QUERIES["op5_near_copies"](spark, folder))}
     assert got == plain.near_classes(documents)
