@@ -26,7 +26,7 @@ REGISTERS, BAND = 125, 5
 SIMILAR = 0.8
 STAR_BANDS = 4
 BLOCK = 128
-#: Links that a task replaces by stars at once.
+#: Links that a task replaces by stars at once; when no more are left, one task ends the search.
 CHUNK = 1 << 19
 #: Words of 64 bits in the map that spares texts without candidates the shuffle; 8 MB at most.
 MAP_WORDS = 1 << 20
@@ -233,7 +233,7 @@ def _star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(x.num_rows for x in held) >= CHUNK:
+        if sum(x.num_rows for x in held) > CHUNK:
             yield stars(held)
             held = []
     if sum(x.num_rows for x in held):
@@ -246,17 +246,21 @@ def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     Tasks replace the links they hold by stars, before and after each exchange. A round then moves every link from a node
     that isn't smallest to that node's own smallest. Nodes with more than a thousandth of the links, fewer than a
     thousand, are broadcast there, so no task gets all links of a node. One sum by node, combined before its
-    shuffle, tells if only stars are left.
+    shuffle, tells if only stars are left. As soon as at most CHUNK links are left, which is what any task
+    may hold, one task ends the search without an exchange.
     """
 
     def settled(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
         seen = Observation()
-        done = rows.repartition("u").mapInArrow(_star_rows, "u binary, v binary").observe(seen, F.count("*").alias("n"))
+        done = rows.mapInArrow(_star_rows, "u binary, v binary").observe(seen, F.count("*").alias("n"))
         return scratch.keep(done, name), seen.get["n"]
 
-    edges, n = settled(links.selectExpr("a u", "b v").mapInArrow(_star_rows, "u binary, v binary"), f"{label}-0")
+    edges, n = settled(links.selectExpr("a u", "b v"), f"{label}-0")
     r = 0
     while n:
+        if n <= CHUNK:
+            edges, n = settled(edges.coalesce(1), f"{label}-last")
+            break
         ends = edges.selectExpr("u node", "v low", "1L below", "0L above").unionByName(edges.selectExpr("v node", "null low", "0L below", "1L above"))
         by_node = ends.groupBy("node").agg(F.min("low").alias("low"), F.sum("below").alias("below"), F.sum("above").alias("above"))
         seen = Observation()
@@ -265,7 +269,7 @@ def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
         if not seen.get["n"]:
             break
         moved = left_join_split(edges, inner, ["v"], "above", n).select("u", F.coalesce("low", "v").alias("v"))
-        edges, n = settled(moved.unionByName(inner.selectExpr("v u", "low v")), f"{label}-{r + 1}")
+        edges, n = settled(moved.unionByName(inner.selectExpr("v u", "low v")).repartition("u"), f"{label}-{r + 1}")
         scratch.drop(f"{label}-{r}", f"{label}-inner-{r}")
         r += 1
     return edges.selectExpr("u node", "v comp").unionByName(edges.selectExpr("v node", "v comp").distinct())
