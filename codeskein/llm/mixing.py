@@ -1,6 +1,6 @@
 """Mixing sources to target weights: repetition rates per source, whole copies plus one hash-seeded draw.
 
-Rates and seeds need one aggregation by source each, for which every task sends one row a source; drawing is a map.
+Rates need one aggregation by source, the bounds of the draws counts by source and size; the draw itself is a map.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from codeskein.llm._tables import Scratch
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-SEEDS = 16
+#: Bins of draws in [0, 1) by which a level's bound is found.
+BINS = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -79,43 +80,74 @@ def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS,
     return SourceTargets(scratch.keep(table, "targets"), level)
 
 
-def best_seeds(sizes: DataFrame, sources: DataFrame, scratch: Scratch, seeds: int = SEEDS) -> DataFrame:
-    """`sources` with the `seed`, of 0 to `seeds` - 1, whose draws bring the source's words nearest to its target.
+def size_level(size: Column) -> Column:
+    """Ascending in size: the number of decimal digits and the first two of them; fewer than 2,000 levels."""
+    digits = size.cast("string")
+    return (F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")).alias("level")
 
-    All seeds are tried in one aggregation by source. With each seed a document is drawn by a hash with the fraction as its
-    probability; the choice between them favours totals near the target, so that in sources of few or very
-    uneven documents a document's chance is not exactly the fraction (see the README).
+
+def draw(doc_id: Column, source: Column) -> Column:
+    return unit_hash(doc_id, source, F.lit("draw"))
+
+
+def quotas(levels: DataFrame, sources: DataFrame) -> DataFrame:
+    """`levels` (source, level, n) with the columns of `sources` and `quota`, how many of the n get one copy more.
+
+    Level after level a source's running count times the fraction, plus a start in [0, 1) hashed from the source, gains a
+    whole number now and then: that many are drawn. So a level's quota is n times the fraction on average, and
+    all quotas of a source together are within one of it.
+    """
+    of = sources.withColumnRenamed("source", "_of")
+    rows = levels.join(of, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy("level"))
+    part, start = F.col("rate") - F.floor("rate"), unit_hash(F.col("source"), F.lit("start"))
+    return rows.withColumn("upto", upto).withColumn("quota", F.floor(F.col("upto") * part + start) - F.floor((F.col("upto") - F.col("n")) * part + start)).drop("upto")
+
+
+def strata(sizes: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per (source, level) of `sizes` (doc_id, source, size): source_size, target, rate, and `bound`, the largest draw that gets a
+    copy more (null: none does).
+
+    The bound is the quota-th smallest draw of the level. It is found by counts of BINS bins of draws; only rows of the one
+    bin that holds it are ranked, so no task ranks a level.
     """
-    joined = sizes.withColumnRenamed("source", "_of").join(sources, F.col("_of").eqNullSafe(F.col("source")))
-    part = F.col("rate") - F.floor("rate")
-    drawn = [F.sum(F.when(unit_hash(F.col("doc_id"), F.col("source"), F.lit(k)) < part, F.col("size")).otherwise(0)) for k in range(seeds)]
-    totals = joined.groupBy("_of").agg(*[d.alias(f"_{k}") for k, d in enumerate(drawn)])
-    both = sources.join(totals, F.col("source").eqNullSafe(F.col("_of")))
-    miss = [F.struct(F.abs(F.floor("rate") * F.col("source_size") + F.col(f"_{k}") - F.col("target")).alias("miss"), F.lit(k).alias("seed")) for k in range(seeds)]
-    seed = F.array_min(F.array(*miss))["seed"].alias("seed")
-    return scratch.keep(both.select(*sources.columns, seed), "seeds")
-
-
-def mixed(
-    docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seeds: int = SEEDS, size: Column | None = None
-) -> DataFrame:
-    """`docs` with `size`, `source_size`, `target` and `copies`: floor(rate) and one more if the row's hash is below the fraction.
-
-    `size` defaults to the number of words of `text` (null: 0). A draw depends on doc_id, source and the source's
-    seed alone, so reruns agree and repeated rows share it. A null source is a source. Columns of `docs` with the four new
-    names are replaced; other columns pass. No rows give no rows.
+    keys = sizes.select("source", size_level(F.col("size")), draw(F.col("doc_id"), F.col("source")).alias("draw")).distinct()
+    keys = scratch.keep(keys.withColumn("bin", F.floor(F.col("draw") * BINS).cast("int")), "keys")
+    bins = scratch.keep(keys.groupBy("source", "level", "bin").agg(F.count("*").alias("n")), "bins")
+    levels = scratch.keep(quotas(bins.groupBy("source", "level").agg(F.sum("n").alias("n")), sources), "levels")
+
+    def at(one: DataFrame, other: DataFrame, *columns: str):
+        return [one["source"].eqNullSafe(other["source"]), *[one[c] == other[c] for c in columns]]
+
+    counted = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("source", "level").orderBy("bin")))
+    found = counted.join(levels, at(counted, levels, "level")).where((counted["upto"] >= levels["quota"]) & (counted["upto"] - counted["n"] < levels["quota"]))
+    last = found.select(counted["source"], counted["level"], counted["bin"], (levels["quota"] - counted["upto"] + counted["n"]).alias("nth"))
+    last = scratch.keep(last, "last-bins")
+    inside = keys.join(last, at(keys, last, "level", "bin")).select(keys["source"], keys["level"], keys["draw"], "nth")
+    place = F.row_number().over(Window.partitionBy("source", "level").orderBy("draw"))
+    bounds = inside.withColumn("place", place).where("place = nth").selectExpr("source", "level", "draw AS bound")
+    whole = levels.join(bounds, at(levels, bounds, "level"), "left")
+    return scratch.keep(whole.select(*[levels[c] for c in ("source", "level", "source_size", "target", "rate")], "bound"), "strata")
+
+
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, size: Column | None = None) -> DataFrame:
+    """`docs` with `size`, `source_size`, `target` and `copies`: floor(rate), and one more for the rows that are drawn.
+
+    `size` defaults to the number of words of `text` (null: 0). A row is drawn by a hash of doc_id and source, with the fraction
+    of its source's rate as its probability. Rows of about one size share a quota (`quotas`), so that totals come near
+    their targets; where the line lies among them is decided by the hashes alone. Reruns agree, and rows that repeat a
+    doc_id within a source and level share their draw. A null source is a source. Columns of `docs` with the four new names
+    are replaced; other columns pass. No rows give no rows.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     size = n_words(F.col("text")) if size is None else size.cast("long")
     passed = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     sized = docs.select(*passed, size.alias("size"))
     slim = scratch.keep(sized.select("doc_id", "source", "size"), "sizes")
-    sources = best_seeds(slim, source_targets(slim, scratch, weights, share, most).table, scratch, seeds)
-    sources = sources.select(F.col("source").alias("_of"), "source_size", "target", F.col("rate").alias("_rate"), F.col("seed").alias("_seed"))
-    joined = sized.join(sources, sized["source"].eqNullSafe(sources["_of"]), "left")
-    whole = F.floor(sources["_rate"])
-    extra = unit_hash(sized["doc_id"], sized["source"], sources["_seed"]) < sources["_rate"] - whole
-    added = [sized["size"], sources["source_size"], sources["target"], (whole + extra.cast("long")).alias("copies")]
+    of = strata(slim, source_targets(slim, scratch, weights, share, most).table, scratch)
+    joined = sized.join(of, sized["source"].eqNullSafe(of["source"]) & (size_level(sized["size"]) == of["level"]), "left")
+    extra = F.coalesce(draw(sized["doc_id"], sized["source"]) <= of["bound"], F.lit(False))
+    added = [sized["size"], of["source_size"], of["target"], (F.floor(of["rate"]) + extra.cast("long")).alias("copies")]
     return joined.select(*[sized[c] for c in passed], *added)
 
 

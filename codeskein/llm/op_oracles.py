@@ -32,13 +32,15 @@ level AS (SELECT (words - s.caps) / s.rest AS level FROM steps s CROSS JOIN budg
 targets AS (SELECT source, source_size, least(cap, level * weight) AS target FROM weights CROSS JOIN level),
 rated AS (SELECT sized.doc_id, sized.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
-tried AS (SELECT *, ('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, 'null'), coalesce(source, 'null'), seed::VARCHAR)), 1, 13))::BIGINT
-   / 4503599627370496.0::DOUBLE < rate - floor(rate) AS more FROM rated CROSS JOIN range(16) s(seed)),
-misses AS (SELECT source, seed, abs(any_value(floor(rate) * source_size) + sum(CASE WHEN more THEN size ELSE 0 END) - any_value(target)) AS miss
-   FROM tried GROUP BY source, seed),
-seeds AS (SELECT source, arg_min(seed, (miss, seed)) AS seed FROM misses GROUP BY source)
+drawn AS (SELECT *, rate - floor(rate) AS part, length(size::VARCHAR) * 100 + substr(size::VARCHAR, 1, 2)::BIGINT AS level,
+   ('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, 'null'), coalesce(source, 'null'), 'draw')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw,
+   ('0x' || substr(md5(coalesce(source, 'null') || ':start'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS start FROM rated),
+keys AS (SELECT DISTINCT source, level, draw, part, start FROM drawn),
+places AS (SELECT *, rank() OVER (PARTITION BY source ORDER BY level) - 1 AS ahead, count(*) OVER (PARTITION BY source, level) AS n,
+   row_number() OVER (PARTITION BY source, level ORDER BY draw) AS place FROM keys),
+chosen AS (SELECT source, level, draw, place <= floor((ahead + n) * part + start) - floor(ahead * part + start) AS more FROM places)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN more THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM tried JOIN seeds ON tried.source IS NOT DISTINCT FROM seeds.source AND tried.seed = seeds.seed"""
+FROM drawn d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.level = c.level AND d.draw = c.draw"""
 
 _CONTROL = r"'([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g'"
 

@@ -272,6 +272,20 @@ def test_shares_come_near_on_many_rows(spark):
     assert mixing.emitted(mix).columns == docs.columns
 
 
+def test_a_document_is_drawn_with_the_fraction_as_its_probability(spark):
+    docs = spark.range(3_000).selectExpr("id doc_id", "concat('s', lpad(id, 4, '0')) source", "10L n")
+    mix = mixing.mixed(docs, size=F.col("n"))
+    groups = rows_of(mix.groupBy(F.round(F.col("target") / F.col("source_size"), 6).alias("rate")).agg(F.avg("copies").alias("mean"), F.count("*").alias("n")))
+    assert len(groups) > 1
+    for r in groups:
+        part = r["rate"] % 1
+        assert abs(r["mean"] - r["rate"]) <= 4 * (part * (1 - part) / r["n"]) ** 0.5 + 1e-6
+    one = docs.selectExpr("doc_id", "'s' source", "1 + doc_id % 9 n")  # and a source of one size level each
+    mix = mixing.mixed(one.unionByName(one), size=F.col("n"), share=0.3)
+    got = rows_of(mix.groupBy("size").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")))
+    assert all(abs(r["copies"] / 2 - 0.3 * r["n"] / 2) <= 1 for r in got) and sum(r["n"] for r in got) == 6_000
+
+
 # language models
 
 
