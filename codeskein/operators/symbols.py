@@ -6,7 +6,7 @@ shuffled afterwards, since ids contain their file and repeats can only be in the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeskein.functions import paths
+from codeskein.parsing.apart import in_children
 from codeskein.parsing.registry import ParserRegistry
 from codeskein.schema import EDGES, NODES, conform
 
@@ -84,17 +85,22 @@ def _declarations(registry: ParserRegistry, file: dict, content) -> list[dict]:
     return [{**row, "file_id": file["file_id"], "language": language} for row in rows]
 
 
-def parse_files(files: DataFrame, registry: ParserRegistry | None = None) -> DataFrame:
+def parse_files(files: DataFrame, registry: ParserRegistry | None = None, columns: Sequence[str] = ()) -> DataFrame:
     """Declarations of `files` (file_id, path, content[, size_bytes, last_modified]).
 
     `content` is text or raw bytes. Whole texts are parsed, each content is read once, and rows
-    stream through in small batches, so that memory holds a few files at a time.
+    stream through in small batches, so that memory holds a few files at a time. Of declarations of which only
+    some `columns` are asked for, no others leave Python.
+
+    CPython never frees the names that its parser has seen. So some thousand files at a time are read in a child of the
+    worker, whose end gives the memory back.
     """
     registry = registry or ParserRegistry()
-    schema = to_arrow_schema(DECLARATIONS)
+    kinds = T.StructType([f for f in DECLARATIONS if not columns or f.name in columns])
+    schema = to_arrow_schema(kinds)
     described = [c for c in ("file_id", "path", "size_bytes", "last_modified") if c in files.columns]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             rows: list[dict] = []
@@ -109,7 +115,7 @@ def parse_files(files: DataFrame, registry: ParserRegistry | None = None) -> Dat
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select(*described, "content").mapInArrow(run, DECLARATIONS)
+    return files.select(*described, "content").mapInArrow(lambda batches: in_children(read, batches, schema), kinds)
 
 
 # --- declarations to ids, nodes, edges, references -------------------------------------------

@@ -229,7 +229,8 @@ UNION ALL SELECT 'func:' || f || ':class:' || f || ':Order_' || k || ':total', '
 UNION ALL SELECT 'func:' || f || ':module:main_' || k, 'func:*:*:Order_' || k, 'calls' FROM {_O}"""
 )
 def p4_python_edges_and_references(spark, folder):
-    declarations = symbols.parse_files(_python_files(spark, folder))
+    needed = ("file_id", "language", "ord", "is_last", "kind", "name", "scope", "module", "items", "bases", "calls")
+    declarations = cut(symbols.parse_files(_python_files(spark, folder), columns=needed), "declarations")  # read once for both
     both = symbols.symbol_edges(declarations).unionByName(symbols.symbol_references(declarations))
     return both.select("source_id", "target_id", "type")
 
@@ -240,7 +241,7 @@ def p4_python_edges_and_references(spark, folder):
  3 * count(*) FILTER (WHERE o_orderkey % 5 <> 0) AS imports FROM orders"""
 )
 def a3_index_counts(spark, folder):
-    declarations = symbols.parse_files(_python_files(spark, folder, broken=True))
+    declarations = symbols.parse_files(_python_files(spark, folder, broken=True), columns=("language", "kind"))
     return symbols.index_counts(declarations)
 
 

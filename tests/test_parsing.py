@@ -1,5 +1,10 @@
+import os
+
+import pyarrow as pa
+import pytest
+
 from codeskein.operators import symbols
-from codeskein.parsing import go_reader, python_reader, rust_reader, script_reader
+from codeskein.parsing import apart, go_reader, python_reader, rust_reader, script_reader
 from codeskein.parsing.registry import ParserRegistry
 
 
@@ -138,3 +143,37 @@ def test_registry_takes_new_languages(spark):
     assert "java" in registry.supported_languages() and ".java" in registry.supported_extensions()
     nodes = symbols.symbol_nodes(symbols.parse_files(_files(spark, ("A.java", "class A\nclass B\n")), registry))
     assert {n["id"] for n in nodes.collect()} == {"class:file:A.java:A", "class:file:A.java:B"}
+
+
+def test_portions_are_read_in_children_that_end(monkeypatch):
+    schema = pa.schema([("pid", pa.int64()), ("x", pa.int64())])
+    batches = [pa.RecordBatch.from_pydict({"x": [10 * i, 10 * i + 1]}) for i in range(3)]
+
+    def work(portion):
+        for batch in portion:
+            yield pa.RecordBatch.from_pylist([{"pid": os.getpid(), "x": x} for x in batch["x"].to_pylist()], schema)
+
+    monkeypatch.setattr(apart, "CHILD_ROWS", 3)
+    rows = [r for b in apart.in_children(work, iter(batches), schema) for r in b.to_pylist()]
+    assert [r["x"] for r in rows] == [0, 1, 10, 11, 20, 21]
+    assert len({r["pid"] for r in rows}) == 2 and os.getpid() not in {r["pid"] for r in rows}
+    for pid in {r["pid"] for r in rows}:  # none is left behind
+        with pytest.raises(ChildProcessError):
+            os.waitpid(pid, os.WNOHANG)
+    with pytest.raises(RuntimeError):
+        list(apart.in_children(lambda portion: [schema.no_such], iter(batches), schema))
+
+
+def test_only_the_columns_asked_for(spark):
+    files = _files(spark, ("a.py", "class A(B):\n    def f(self): g()\n"), ("b.py", "def ("), ("c.txt", ""))
+    some = symbols.parse_files(files, columns=("kind", "language"))
+    assert some.columns == ["language", "kind"]
+    assert symbols.index_counts(some).first() == symbols.index_counts(symbols.parse_files(files)).first()
+
+
+def test_a_bracket_is_closed_as_the_outline_says():
+    from codeskein.parsing.scan import Outline, closing
+
+    for code in ("f(a, (b[1]), {c})(d)", "f(a, ]b) x", "f((a)", ") f(a[)])", "f({(})})"):
+        opening = code.find("(")
+        assert closing(code, opening) == Outline(code).closing(opening)
