@@ -206,8 +206,13 @@ def expand_hits(
     """
     starts = hits.filter(F.col("rank") <= seeds).select(F.col("rank").alias("seed_rank"), "id")
     reached = bfs(edges, starts, max_depth, carry=["seed_rank"])
-    owner = F.min(F.struct("seed_rank", "depth"))
-    first = reached.groupBy("id").agg(owner.alias("first")).select("id", "first.*")
+    # both numbers in one, as the least struct would be found by sorting all that was reached
+    owner = F.min(F.col("seed_rank").cast("long") * F.lit(1 << 32) + F.col("depth")).alias("first")
+    first = reached.groupBy("id").agg(owner).select(
+        "id",
+        F.expr("first div 4294967296").cast(hits.schema["rank"].dataType).alias("seed_rank"),
+        (F.col("first") % F.lit(1 << 32)).cast("int").alias("depth"),
+    )
     base = hits.select(F.col("rank").alias("seed_rank"), F.col("score").alias("seed_score"))
     return (
         first.join(hits.select("id"), "id", "left_anti")

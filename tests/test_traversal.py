@@ -201,3 +201,13 @@ def test_search_by_words_fills_up_with_unrelated_documents(spark):
     only = ranking.nearest_by_words(words, listed, "red", 9, ["function"]).orderBy("rank").collect()
     assert [r["id"] for r in only] == ["d1", "d3"]
     assert ranking.nearest_by_words(words, listed, "?", 9).count() == 4
+
+
+def test_the_first_hit_owns_a_neighbour_and_nothing_is_sorted_for_it(spark):
+    edges = edge_frame(spark, [("a", "m", "calls"), ("m", "x", "calls"), ("b", "x", "calls"), ("b", "y", "calls")])
+    hits = spark.createDataFrame([("a", 1, 0.8), ("b", 2, 0.4)], "id string, rank int, score double")
+    found = traversal.expand_hits(edges, hits, 2)
+    assert found.schema["seed_rank"].dataType.simpleString() == "int"
+    rows = {r["id"]: (r["seed_rank"], r["depth"], r["score"]) for r in found.collect()}
+    assert rows == {"m": (1, 1, 0.4), "x": (1, 2, 0.2), "y": (2, 1, 0.2)}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
