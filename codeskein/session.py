@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +56,18 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4, *columns)
 
 
+@contextmanager
+def writers_by_value(spark: SparkSession, most: int = 16) -> Iterator[None]:
+    """Tasks that write a folder a value keep a file open for each of `most` values instead of sorting their rows by it."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, label: str = "cut", partition_by: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back, if asked in one folder per column value.
 
@@ -62,8 +76,11 @@ def cut(df: DataFrame, label: str = "cut", partition_by: str | None = None) -> D
     """
     spark = df.sparkSession
     folder = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(folder)
+    if partition_by:
+        with writers_by_value(spark):
+            df.write.partitionBy(partition_by).parquet(folder)
+    else:
+        df.write.parquet(folder)
     written = spark.read.schema(df.schema).parquet(folder)
     written._cut_folder = folder
     return written

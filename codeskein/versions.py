@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeskein.session import listed, remove
+from codeskein.session import listed, remove, writers_by_value
 
 #: More ids than this are joined with the whole table instead of being looked up.
 LOOKUP_IDS = 1000
@@ -183,20 +183,29 @@ class VersionedTables:
         layout = self.layouts[name]
         entry = Row(name=name, run=uuid.uuid4().hex, seq=seq, kind="rows", value=None)
         folder = self._folder(entry)
-        self._write(rows.select(*layout.schema.names), f"{folder}/rows")
-        plain = self.spark.read.schema(layout.schema).parquet(f"{folder}/rows")
-        n = plain.count()
-        if n <= self.small:
-            return entry if n else None
+        # what was cut lies in files already; a long table of that kind is not written once more before it is laid out
+        cut = getattr(rows, "_cut_folder", None) is not None and rows.columns == layout.schema.names
+        plain, n = rows, rows.count() if cut else 0
+        if not cut or n <= self.small:
+            self._write(rows.select(*layout.schema.names), f"{folder}/rows")
+            plain = self.spark.read.schema(layout.schema).parquet(f"{folder}/rows")
+            n = plain.count()
+            if n <= self.small:
+                return entry if n else None
+        width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         for column in layout.lookups:
             # by the rest of the key as well: a node of very many edges is spread over several files
             order = [*(["type"] if layout.by_type else []), column, *[k for k in layout.key if k not in (column, "type")]]
-            lined = plain.repartitionByRange(*order).sortWithinPartitions(*order)
+            # a task sorts `rows_per_file` rows at most on average, however long the table is
+            many = -(-n // self.rows_per_file)
+            lined = plain.repartitionByRange(*([many] if many > width else []), *order).sortWithinPartitions(*order)
             self._write(lined, f"{folder}/by_{column}", layout.by_type, maxRecordsPerFile=self.rows_per_file)
+        # Least and greatest strings alone would be found by sorting all rows of a task by file. Beside a set, that of whether the
+        # column has NULLs, Spark keeps them in a hash table of the task's files.
         seen = [
             self.spark.read.schema(layout.schema).parquet(f"{folder}/by_{column}")
             .groupBy(F.col("_metadata.file_path").alias("file"))
-            .agg(F.min(column).alias("low"), F.max(column).alias("high"))
+            .agg(F.min(column).alias("low"), F.max(column).alias("high"), F.collect_set(F.col(column).isNull()).alias("holes"))
             .withColumn("lookup", F.lit(column))
             for column in layout.lookups
         ]
@@ -232,10 +241,9 @@ class VersionedTables:
             return self.compact()
         return seq
 
-    @staticmethod
-    def _at_once(work: list[tuple]) -> list[Row | None]:
+    def _at_once(self, work: list[tuple]) -> list[Row | None]:
         """The runs of a commit do not depend on each other; their jobs share the cluster."""
-        with ThreadPoolExecutor(max(1, len(work))) as pool:
+        with writers_by_value(self.spark), ThreadPoolExecutor(max(1, len(work))) as pool:
             return [done.result() for done in [pool.submit(*job) for job in work]]
 
     def _publish(self, seq: int, entries: list[Row]) -> None:

@@ -224,3 +224,38 @@ def test_collection_versions(spark, tmp_path, monkeypatch):
     store.compact()
     assert store.count() == 30 and len([e for e in store.tables.entries() if e["kind"] != "fact"]) == 2
     assert store.search("word3 common", 1).first()["id"] == "3"
+
+
+def test_ranges_of_files_are_found_without_sorting_the_rows(spark, tmp_path, monkeypatch):
+    plans = {}
+    write = VersionedTables._write
+
+    def noted(self, rows, folder, by_type=False, **options):
+        plans[folder.rsplit("/", 1)[-1], by_type] = rows._jdf.queryExecution().executedPlan().toString()
+        write(self, rows, folder, by_type, **options)
+
+    monkeypatch.setattr(VersionedTables, "_write", noted)
+    edges = edge_frame(spark, [(f"a{i % 7}", f"b{i}", "calls") for i in range(50)] + [(None, "b3", "uses")])
+    store = GraphStore(spark, str(tmp_path / "g"), small=10, rows_per_file=4)
+    store.replace_all({"nodes": node_frame(spark, []), "edges": edges, "references": edge_frame(spark, [])})
+    assert "SortAggregate" not in plans["files", False]
+    # and a long table is cut into more parts than the session's shuffles have
+    assert "rangepartitioning" in plans["by_source_id", True] and ", 13)" in plans["by_source_id", True].replace(", REPARTITION_BY_NUM", ")")
+    for i in range(7):
+        assert sorted(r["target_id"] for r in store.get_edges_from(f"a{i}").collect()) == sorted(f"b{j}" for j in range(50) if j % 7 == i)
+    assert store.edges.count() == 51
+    store.close()
+
+
+def test_folders_by_value_are_written_without_a_sort(spark):
+    from codeskein.session import cut, release, writers_by_value
+
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    with writers_by_value(spark, 9):
+        assert spark.conf.get(key) == "9"
+    rows = spark.range(1000).selectExpr("id", "concat('t', id % 40) AS type")  # more values than open files
+    written = cut(rows, "by_type", "type")
+    assert sorted(map(tuple, written.collect())) == sorted(map(tuple, rows.collect()))
+    assert spark.conf.get(key) == before
+    release(written)
