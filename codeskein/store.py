@@ -18,7 +18,7 @@ _ENDS = Layout(EDGES, _EDGE_KEY, ("source_id", "target_id"), by_type=True)
 LAYOUTS = {
     "nodes": Layout(NODES, ("id",), ("id", "file_id"), by_type=True),
     "edges": _ENDS,
-    "references": Layout(EDGES, ("owner",), ("owner",)),
+    "references": Layout(EDGES, ("owner",), ("owner",), ties=("source_id", "target_id")),
     "resolved": _ENDS,
 }
 

@@ -40,6 +40,8 @@ class Layout:
     key: tuple[str, ...]
     lookups: tuple[str, ...]
     by_type: bool = False
+    #: Further columns by which rows of one key are spread over parts, where many rows may share a key (or have none).
+    ties: tuple[str, ...] = ()
 
 
 class StoredRows:
@@ -195,7 +197,7 @@ class VersionedTables:
         width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         for column in layout.lookups:
             # by the rest of the key as well: a node of very many edges is spread over several files
-            order = [*(["type"] if layout.by_type else []), column, *[k for k in layout.key if k not in (column, "type")]]
+            order = [*(["type"] if layout.by_type else []), column, *[k for k in (*layout.key, *layout.ties) if k not in (column, "type")]]
             # a task sorts `rows_per_file` rows at most on average, however long the table is
             many = -(-n // self.rows_per_file)
             lined = plain.repartitionByRange(*([many] if many > width else []), *order).sortWithinPartitions(*order)

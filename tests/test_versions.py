@@ -259,3 +259,14 @@ def test_folders_by_value_are_written_without_a_sort(spark):
     assert sorted(map(tuple, written.collect())) == sorted(map(tuple, rows.collect()))
     assert spark.conf.get(key) == before
     release(written)
+
+
+def test_references_of_one_owner_fill_several_files(spark, tmp_path):
+    rows = edge_frame(spark, [(f"a{i:03}", f"func:?:n{i % 9}", "calls") for i in range(400)])
+    for name, refs in (("none", rows.withColumn("owner", F.lit(None).cast("string"))), ("one", rows.withColumn("owner", F.lit("file:x")))):
+        store = GraphStore(spark, str(tmp_path / name), small=10, rows_per_file=50)  # eight parts
+        store.replace_all({"nodes": node_frame(spark, []), "edges": edge_frame(spark, []), "references": refs})
+        [entry] = [e for e in store.tables.entries() if e["name"] == "references"]
+        stored = spark.read.parquet(f"{store.tables._folder(entry)}/by_owner")
+        tasks = {r["f"].split("part-")[1][:5] for r in stored.select(F.col("_metadata.file_path").alias("f")).distinct().collect()}
+        assert len(tasks) > 4 and store.references.count() == 400
