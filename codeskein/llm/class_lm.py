@@ -439,10 +439,17 @@ def scored_texts(docs: DataFrame, training: Column, head_words: int = HEAD_WORDS
     numbered = sum(r["words"] for r in levels)
     others = numbered > len(hashes)  # words seen twice that have no number
 
-    def with_seen(of, placed, kinds):
-        known = placed.withColumn("class", F.lit(tail_class))
-        if others and kinds is not None:
-            known = placed.where("n > 1").join(kinds, "word").unionByName(placed.where("n = 1").withColumn("class", F.lit(tail_class)))
+    if others:  # each such word once with all its places in texts that teach: at most about tokens / head_words
+        places = spots.where("training and n > 1").groupBy("word", "n").agg(F.collect_list(F.struct("row", "pos")).alias("places"))
+        places = scratch.keep(places, "places", compression="zstd")
+
+    def taught(kinds):
+        """The places of words seen twice in texts that teach, with their classes: words are joined, not their tokens."""
+        if kinds is None:
+            return spots.where("training and n > 1").withColumn("class", F.lit(tail_class))
+        return places.join(kinds, "word").select("word", "n", "class", F.explode("places").alias("place")).select("place.*", "word", "n", "class")
+
+    def with_seen(of, known):
         lists = known.groupBy("row").agg(F.collect_list(F.struct("pos", "word", "n", F.col("class").cast("int").alias("class"))).alias("seen"))
         joined = of.drop("training").join(lists, "row", "left")
         return joined.withColumn("seen", F.coalesce("seen", F.array().cast("array<struct<pos:int,word:bigint,n:bigint,class:int>>")))
@@ -451,8 +458,8 @@ def scored_texts(docs: DataFrame, training: Column, head_words: int = HEAD_WORDS
 
     def contexts(sent, kinds, named):
         one = learn.mapInArrow(_contexts(sent, width, named), event)
-        placed = spots.where("training" if not others else "training and n > 1")
-        two = with_seen(beside.where("training"), placed, kinds).mapInArrow(_tail_contexts(sent, width, named), event)
+        known = taught(kinds) if others else spots.where("training").withColumn("class", F.lit(tail_class))
+        two = with_seen(beside.where("training"), known).mapInArrow(_tail_contexts(sent, width, named), event)
         return one.unionByName(two)
 
     def table_of(found):
@@ -496,7 +503,11 @@ def scored_texts(docs: DataFrame, training: Column, head_words: int = HEAD_WORDS
     model = sc.broadcast(ClassModel(counts, own, steps, table.sum(0), int(all_tokens) + texts, int(all_words) + (texts > 0), int(all_words) - numbered))
     schema = "row long, doc_id long, training boolean, n_tokens long, n_known long, base_score double, score double"
     scores = coded.select("row", "doc_id", "training", "ids").mapInArrow(_scores(model), schema)
-    more = with_seen(beside, spots, kinds).mapInArrow(_tail_scores(model), "row long, more_known long, more_base double, more_score double")
+    known = spots.withColumn("class", F.lit(tail_class))
+    if others and kinds is not None:
+        known, once = spots.where("n > 1 and not training").join(kinds, "word"), known.where("n = 1")
+        known = known.unionByName(taught(kinds), allowMissingColumns=True).unionByName(once)
+    more = with_seen(beside, known).mapInArrow(_tail_scores(model), "row long, more_known long, more_base double, more_score double")
     out = scores.join(more, "row", "left")
     return out.select(
         "doc_id",

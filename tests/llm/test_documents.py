@@ -343,6 +343,23 @@ def test_words_beyond_the_first_set_take_classes_from_both_sides(spark):
     assert all(runs[0][d] == pytest.approx(x) for d, x in runs[1].items())
 
 
+def test_rounds_join_words_with_their_classes_not_their_tokens(spark, monkeypatch):
+    """Beyond the first set 60 words occur 20 times each; a join of tokens makes 1,200 rows, which only that with the counts may."""
+    texts = [" ".join(f"w{(i * 7 + k * k) % 60}" for k in range(12)) for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, join = [], type(docs).join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        made.extend([out.count()] if on == "word" else [])
+        return out
+
+    monkeypatch.setattr(type(docs), "join", counted)
+    got = rows_of(class_lm.scored_texts(docs, F.lit(True), head_words=1, clustered=1, classes=4))
+    assert len(got) == 100 and made[0] > 1_000 and len(made) > 3
+    assert all(n <= 60 for n in made[1:])
+
+
 def test_exchange_finds_alternating_classes():
     rng = np.random.default_rng(2)
     side = rng.integers(0, 2, 40)
