@@ -10,7 +10,7 @@ from codeskein.sources import repo_files
 from codeskein import CodeIndexer, GraphStore, cli
 from codeskein.operators import lookup, ranking, traversal
 from codeskein.parsing import go_reader, script_reader
-from codeskein.plans import hybrid
+from codeskein.plans import hybrid, table_graph
 from codeskein.schema import EDGES, NODES, conform
 from codeskein.sources.git import GitError, GitTracker
 
@@ -179,3 +179,28 @@ def test_a_file_that_has_gone_is_not_read(spark, tmp_path):
     (tmp_path / "d.py").mkdir()
     paths = spark.createDataFrame([("a.py",), ("gone.py",), ("d.py",), ("a.py/b.py",)], "path string")
     assert [r["path"] for r in repo_files.read_contents(paths, str(tmp_path)).collect()] == ["a.py"]
+
+
+def test_orders_and_customers_of_the_table_graph_are_not_broadcast(spark, tmp_path):
+    """Tables of a few rows, which the planner would send through the driver; their graph has all of them."""
+    tables = {
+        "nation": ("n_nationkey long, n_name string, n_regionkey long", [(0, "ALGERIA", 0), (1, "BRAZIL", 1)]),
+        "customer": ("c_custkey long, c_nationkey long, c_mktsegment string", [(0, 0, "A"), (1, 1, "B"), (1, 0, "B"), (2, None, "C"), (None, 1, "D")]),
+        "orders": (
+            "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string",
+            [(1, 0, "O", "1"), (2, 1, "F", None), (3, 2, "P", "1"), (4, None, "O", "1"), (5, 9, "O", "1")],
+        ),
+        "supplier": ("s_suppkey long, s_nationkey long", [(1, 0)]),
+        "part": ("p_partkey long, p_name string, p_brand string, p_size int", [(1, "p", "b", 3)]),
+        "lineitem": ("l_orderkey long, l_partkey long", [(1, 1)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    lazy, written = table_graph.build(spark, str(tmp_path)), table_graph.stored(spark, str(tmp_path))
+    for part in ("nodes", "edges", "references"):
+        plan = getattr(lazy, part)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [o_custkey" in plan and "BroadcastHashJoin [o_custkey" not in plan
+        same = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+        assert same(getattr(lazy, part)) == same(getattr(written, part))
+    functions = written.nodes.filter("type = 'function'").select("id", "file_id").collect()
+    assert sorted(r[0] for r in functions) == ["func:1", "func:2", "func:2"]
