@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeskein.functions import paths
+from codeskein.parsing import python_reader
 from codeskein.parsing.apart import in_children
-from codeskein.parsing.registry import ParserRegistry
+from codeskein.parsing.registry import ParserRegistry, Reader
+from codeskein.parsing.shapes import Shapes
 from codeskein.schema import EDGES, NODES, conform
 
 _STRINGS = T.ArrayType(T.StringType())
@@ -53,6 +55,7 @@ DECLARATIONS = T.StructType(
         ]
     ]
 )
+_IDENTITY = ("kind", "scope", "name", "module", "items")
 _ROWS_PER_BATCH = 2000
 
 
@@ -62,10 +65,11 @@ def _identity(language: str, row: dict) -> tuple:
     return (row["kind"], row.get("scope"), row.get("name"), row.get("module"), items)
 
 
-def _declarations(registry: ParserRegistry, file: dict, content) -> list[dict]:
+def _declarations(registry: ParserRegistry, file: dict, content, readers: dict[str, Reader], ranked: bool) -> list[dict]:
     """A `file` row, then one row per declaration, or one `error` row if the text cannot be read.
 
-    A file without a reader keeps a NULL language and has no further rows.
+    A file without a reader keeps a NULL language and has no further rows. Readers of `readers` stand in for the registry's.
+    Places, and which of equal ids is last, are told if `ranked`.
     """
     path, language = file["path"], registry.language_of(file["path"])
     rows = [{"kind": "file", "line_count": 0, **file}]
@@ -75,13 +79,15 @@ def _declarations(registry: ParserRegistry, file: dict, content) -> list[dict]:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
         rows[0]["line_count"] = text.count("\n") + (text[-1:] not in ("", "\n"))
         if language is not None:
-            found = registry.get_parser(language)(text, path)
+            found = (readers.get(language) or registry.get_parser(language))(text, path)
     except Exception as error:
         if language is not None:
             found = [{"kind": "error", "docstring": f"Failed to parse {path}: {error}"}]
-    keys = [_identity(language, row) for row in found]
-    last = {key: i for i, key in enumerate(keys)}
-    rows += [{**row, "ord": i, "is_last": last[key] == i} for i, (key, row) in enumerate(zip(keys, found))]
+    if ranked:
+        keys = [_identity(language, row) for row in found]
+        last = {key: i for i, key in enumerate(keys)}
+        found = [{**row, "ord": i, "is_last": last[key] == i} for i, (key, row) in enumerate(zip(keys, found))]
+    rows += found
     return [{**row, "file_id": file["file_id"], "language": language} for row in rows]
 
 
@@ -92,15 +98,21 @@ def parse_files(files: DataFrame, registry: ParserRegistry | None = None, column
     stream through in small batches, so that memory holds a few files at a time. Of declarations of which only
     some `columns` are asked for, no others leave Python.
 
+    Python texts that differ in names and literals only are parsed once a child (`parsing/shapes.py`).
+
     CPython never frees the names that its parser has seen. So some thousand files at a time are read in a child of the
     worker, whose end gives the memory back.
     """
     registry = registry or ParserRegistry()
     kinds = T.StructType([f for f in DECLARATIONS if not columns or f.name in columns])
     schema = to_arrow_schema(kinds)
+    ranked = "ord" in kinds.names or "is_last" in kinds.names
+    fields = frozenset([*columns, *(_IDENTITY if ranked else ("kind",))]) if columns else frozenset()
     described = [c for c in ("file_id", "path", "size_bytes", "last_modified") if c in files.columns]
 
     def read(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = registry.get_parser("python") is python_reader.read
+        readers = {"python": Shapes(python_reader.read, fields)} if plain else {}
         for batch in batches:
             names = batch.schema.names
             rows: list[dict] = []
@@ -108,7 +120,7 @@ def parse_files(files: DataFrame, registry: ParserRegistry | None = None, column
                 file = {n: c[i].as_py() for n, c in zip(names, batch.columns)}
                 content = file.pop("content")
                 file.setdefault("size_bytes", len(content.encode() if isinstance(content, str) else content))
-                rows += _declarations(registry, file, content)
+                rows += _declarations(registry, file, content, readers, ranked)
                 if len(rows) >= _ROWS_PER_BATCH:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows = []

@@ -6,6 +6,7 @@ import pytest
 from codeskein.operators import symbols
 from codeskein.parsing import apart, go_reader, python_reader, rust_reader, script_reader
 from codeskein.parsing.registry import ParserRegistry
+from codeskein.parsing.shapes import Shapes
 
 
 def of(rows, kind):
@@ -177,3 +178,66 @@ def test_a_bracket_is_closed_as_the_outline_says():
     for code in ("f(a, (b[1]), {c})(d)", "f(a, ]b) x", "f((a)", ") f(a[)])", "f({(})})"):
         opening = code.find("(")
         assert closing(code, opening) == Outline(code).closing(opening)
+
+
+SHAPED = '''
+import os.path as {0}
+from .{1} import {2}, b  # of {0}
+
+
+@deco({0}, "(")
+class A_{1}({2}, x.{0}):
+    """ About "{1}" %s
+    twice """
+    limit: int = {3}
+
+    async def f(self, a: {1} = {3}, *, c=(1.5, '{0})')) -> {2}[{3}]:
+        return {0}({2}.run(), {1}.run(), {3})
+
+
+V = {3}
+'''
+
+
+def test_texts_of_one_shape_are_parsed_once_and_read_as_alone():
+    parsed = []
+
+    def reader(text, path):
+        parsed.append(text)
+        return python_reader.read(text, path)
+
+    texts = [SHAPED.format(*names) for names in (("p", "q", "r", 1), ("p", "p", "p", 23), ("a_7", "run", "helper", 70000017))]
+    texts += [SHAPED.format(f"n{i}", f"m{i}", "z000001z", i + 1) for i in range(50)]
+    shapes = Shapes(reader)
+    assert [shapes(text, "") for text in texts] == [python_reader.read(text, "") for text in texts]
+    assert len(parsed) <= 3
+
+
+def test_texts_that_differ_in_more_than_names_have_other_shapes():
+    groups = [
+        ("x = 1\n", "x = 01\n", "x = 1.5\n", "x = 1.e5\n", "x = 1.a5\n", "x = 1_0\n"),
+        ('"""a\n"""; x = 1\n', '"""a"""\n; x = 1\n'),
+        ("def f():\n    'a'\n", 'def f():\n    "a"\n', "def f():\n    '''a'''\n", "def f():\n    f'{a}'\n", "def f():\n    b'a'\n"),
+        ("x = ''\"a\"\n", 'x = """a"\n', 'x = "a" "b"\n', 'x = "a"b"\n', "x = 'a\n", "x = 'a\\\n'\n"),
+        ("a = b\n", "a = if\n", "a = None\n", "None = a\n", "é = b\n", "a = \x0cb\n"),
+        ("match a:\n    case b: pass\n", "catch a:\n    case b: pass\n"),
+    ]
+
+    def told(read, text):
+        try:
+            return read(text, "")
+        except SyntaxError as error:
+            return str(error)
+
+    for texts in groups:
+        shapes = Shapes(python_reader.read)
+        for text in [*texts * 3, *reversed(texts)]:
+            assert told(shapes, text) == told(python_reader.read, text)
+
+
+def test_counts_of_many_texts_of_one_shape(spark):
+    rows = [(f"f{i}.py", f"import a{i}, b\nclass C{i}(D{i}):\n    def g(self): h{i}()\n" + "def (" * (i % 5 == 0)) for i in range(100)]
+    counts = symbols.index_counts(symbols.parse_files(_files(spark, *rows).coalesce(1), columns=("language", "kind"))).first()
+    assert tuple(counts) == (100, 0, 20, 80, 80, 160)
+    errors = symbols.parse_files(_files(spark, *rows).coalesce(1)).filter("kind = 'error'").select("docstring").collect()
+    assert all(e[0].startswith("Failed to parse f") and "line 4" in e[0] for e in errors) and len(errors) == 20
