@@ -65,11 +65,11 @@ def _identity(language: str, row: dict) -> tuple:
     return (row["kind"], row.get("scope"), row.get("name"), row.get("module"), items)
 
 
-def _declarations(registry: ParserRegistry, file: dict, content, readers: dict[str, Reader], ranked: bool) -> list[dict]:
+def _declarations(registry: ParserRegistry, file: dict, content, readers: dict[str, Reader], ranked: bool, only: frozenset[str]) -> list[dict]:
     """A `file` row, then one row per declaration, or one `error` row if the text cannot be read.
 
     A file without a reader keeps a NULL language and has no further rows. Readers of `readers` stand in for the registry's.
-    Places, and which of equal ids is last, are told if `ranked`.
+    Places, and which of equal ids is last, are told if `ranked`. If kinds are given, rows of `only` these are kept.
     """
     path, language = file["path"], registry.language_of(file["path"])
     rows = [{"kind": "file", "line_count": 0, **file}]
@@ -83,20 +83,23 @@ def _declarations(registry: ParserRegistry, file: dict, content, readers: dict[s
     except Exception as error:
         if language is not None:
             found = [{"kind": "error", "docstring": f"Failed to parse {path}: {error}"}]
-    if ranked:
-        keys = [_identity(language, row) for row in found]
-        last = {key: i for i, key in enumerate(keys)}
-        found = [{**row, "ord": i, "is_last": last[key] == i} for i, (key, row) in enumerate(zip(keys, found))]
-    rows += found
+    placed = [(i, row) for i, row in enumerate(found) if not only or row["kind"] in only]
+    if ranked:  # rows of equal ids are of one kind
+        keys = [_identity(language, row) for _, row in placed]
+        last = {key: i for key, (i, _) in zip(keys, placed)}
+        placed = [(i, {**row, "ord": i, "is_last": last[key] == i}) for key, (i, row) in zip(keys, placed)]
+    rows = [row for row in rows if not only or "file" in only] + [row for _, row in placed]
     return [{**row, "file_id": file["file_id"], "language": language} for row in rows]
 
 
-def parse_files(files: DataFrame, registry: ParserRegistry | None = None, columns: Sequence[str] = ()) -> DataFrame:
+def parse_files(
+    files: DataFrame, registry: ParserRegistry | None = None, columns: Sequence[str] = (), only: Sequence[str] = ()
+) -> DataFrame:
     """Declarations of `files` (file_id, path, content[, size_bytes, last_modified]).
 
     `content` is text or raw bytes. Whole texts are parsed, each content is read once, and rows
     stream through in small batches, so that memory holds a few files at a time. Of declarations of which only
-    some `columns` are asked for, no others leave Python.
+    some `columns`, or `only` rows of some kinds, are asked for, no others leave Python.
 
     Python texts that differ in names and literals only are parsed once a child (`parsing/shapes.py`).
 
@@ -108,11 +111,12 @@ def parse_files(files: DataFrame, registry: ParserRegistry | None = None, column
     schema = to_arrow_schema(kinds)
     ranked = "ord" in kinds.names or "is_last" in kinds.names
     fields = frozenset([*columns, *(_IDENTITY if ranked else ("kind",))]) if columns else frozenset()
+    only = frozenset(only)
     described = [c for c in ("file_id", "path", "size_bytes", "last_modified") if c in files.columns]
 
     def read(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = registry.get_parser("python") is python_reader.read
-        readers = {"python": Shapes(python_reader.read, fields)} if plain else {}
+        readers = {"python": Shapes(python_reader.read, fields, only)} if plain else {}
         for batch in batches:
             names = batch.schema.names
             rows: list[dict] = []
@@ -120,7 +124,7 @@ def parse_files(files: DataFrame, registry: ParserRegistry | None = None, column
                 file = {n: c[i].as_py() for n, c in zip(names, batch.columns)}
                 content = file.pop("content")
                 file.setdefault("size_bytes", len(content.encode() if isinstance(content, str) else content))
-                rows += _declarations(registry, file, content, readers, ranked)
+                rows += _declarations(registry, file, content, readers, ranked, only)
                 if len(rows) >= _ROWS_PER_BATCH:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows = []
@@ -186,7 +190,9 @@ def _identified(declarations: DataFrame) -> DataFrame:
 
 
 def symbol_nodes(declarations: DataFrame) -> DataFrame:
-    """Nodes of declarations; of those that share an id the last one in its file."""
+    """Nodes of declarations; of those that share an id the last one in its file. Columns that were not asked for are NULL."""
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in DECLARATIONS if f.name not in declarations.columns]
+    declarations = declarations.select("*", *missing)
     kind = F.col("kind")
     is_function, is_class, is_variable = kind == "function", kind == "class", kind == "variable"
     has_line = kind.isin("import", "variable")

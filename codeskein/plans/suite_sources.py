@@ -337,7 +337,9 @@ def j6_resolved_across_files(spark, folder):
     """Parsed classes of one set of files inherit from classes defined in another."""
     part = spark.read.parquet(f"{folder}/part.parquet")
     bases = _texts(part, "py/b{p}.py", "class Base_{z}:\n    pass", p=F.col("p_partkey"), z=F.col("p_size") * 10)
-    declarations = cut(symbols.parse_files(_python_files(spark, folder).unionByName(bases)), "declarations")
+    needed = ("file_id", "language", "ord", "is_last", "kind", "name", "scope", "module", "items", "bases", "calls")
+    files = _python_files(spark, folder).unionByName(bases)
+    declarations = cut(symbols.parse_files(files, columns=needed, only=("function", "class")), "declarations")  # what names resolve to
     references = symbols.symbol_references(declarations).filter("type = 'inherits'")
     edges = resolve.resolved_edges(symbols.symbol_nodes(declarations), references)
     return edges.select("source_id", "target_id")

@@ -241,3 +241,17 @@ def test_counts_of_many_texts_of_one_shape(spark):
     assert tuple(counts) == (100, 0, 20, 80, 80, 160)
     errors = symbols.parse_files(_files(spark, *rows).coalesce(1)).filter("kind = 'error'").select("docstring").collect()
     assert all(e[0].startswith("Failed to parse f") and "line 4" in e[0] for e in errors) and len(errors) == 20
+
+
+def test_only_the_kinds_asked_for(spark):
+    texts = [f"import a\nclass A{i}(B):\n    x = 1\n    def f(self): g()\ndef h(): pass\ndef h(a): k{i}(a)\n" for i in range(6)]
+    files = _files(spark, *[(f"f{i}.py", text) for i, text in enumerate(texts)], ("b.py", "def (")).coalesce(1)
+    needed = ("file_id", "language", "ord", "is_last", "kind", "name", "scope", "module", "items", "bases", "calls")
+    some = symbols.parse_files(files, columns=needed, only=("function", "class"))
+    every = symbols.parse_files(files)
+    wanted = every.filter("kind IN ('function', 'class')")
+    assert sorted(map(str, some.collect())) == sorted(map(str, wanted.select(some.columns).collect()))
+    assert some.count() == 24
+    fields = ("id", "type", "name", "file_id", "ord")
+    assert sorted(symbols.symbol_nodes(some).select(*fields).collect()) == sorted(symbols.symbol_nodes(wanted).select(*fields).collect())
+    assert sorted(map(str, symbols.symbol_references(some).collect())) == sorted(map(str, symbols.symbol_references(every).collect()))
